@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigframe.llm.mixing import Mix
+from sigframe.llm.packing import oversized, pack_items, packing_report
 from sigframe.llm.splits import assign_splits, record_keys, related_records
+from sigframe.llm.tokens import count_tokens
 from sigframe.session import table
 
 
@@ -29,7 +32,45 @@ def p1_shares(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "split_targets").join(reached, "split_name", "left")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares)}
+def _capacity(spark: SparkSession, root: str) -> int:
+    return int(table(spark, root, "bin_capacity").where("bin_kind = 'sequence'").first()["capacity_tokens"])
+
+
+def p6_bins(spark: SparkSession, root: str) -> DataFrame:
+    """Every piece of every text in its sequence."""
+    sized = count_tokens(table(spark, root, "documents").select("doc_id", "text"))
+    return pack_items(sized, "doc_id", "n_tokens", _capacity(spark, root))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return oversized(p6_bins(spark, root), "doc_id")
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Number of sequences, and how much of their room is used."""
+    return packing_report(p6_bins(spark, root), _capacity(spark, root))
+
+
+def _mix(spark: SparkSession, root: str) -> Mix:
+    sized = count_tokens(table(spark, root, "documents").select("doc_id", "source", "text"))
+    return Mix(sized, table(spark, root, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _mix(spark, root).found()
+
+
+def p7_draws(spark: SparkSession, root: str) -> DataFrame:
+    """Every text of the mix with the number of its uses."""
+    return _mix(spark, root).draws()
+
+
+def p7_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and reached shares of every source."""
+    return _mix(spark, root).report()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p6_found, p6_bins, p6_fill, p7_found, p7_draws, p7_shares)}
 ORACLE = {
     "p1_found": r"""
 with s as (select regexp_replace(lower(domain_tag), '[^a-z0-9]', '', 'g') as k from studies),
