@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigframe.llm.mixing import Mix
 from sigframe.llm.packing import oversized, pack_items, packing_report
+from sigframe.llm.pii import find_entities, redact_texts
 from sigframe.llm.splits import assign_splits, record_keys, related_records
 from sigframe.llm.tokens import count_tokens
 from sigframe.session import table
@@ -70,7 +71,16 @@ def p7_shares(spark: SparkSession, root: str) -> DataFrame:
     return _mix(spark, root).report()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p6_found, p6_bins, p6_fill, p7_found, p7_draws, p7_shares)}
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return find_entities(table(spark, root, "documents")).select("doc_id", "start_pos", "kind")
+
+
+def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with its personal information replaced by typed placeholders."""
+    return redact_texts(table(spark, root, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p6_found, p6_bins, p6_fill, p7_found, p7_draws, p7_shares, p8_found, p8_redacted)}
 ORACLE = {
     "p1_found": r"""
 with s as (select regexp_replace(lower(domain_tag), '[^a-z0-9]', '', 'g') as k from studies),
