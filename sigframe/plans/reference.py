@@ -1,6 +1,8 @@
-"""Queries of the recording, signal, event and epoch operators, each with its SQL."""
+"""Queries of the recording, signal, event and epoch operators, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from sigframe.plans import catalogue
+
+QUERIES = {**catalogue.QUERIES}
+ORACLE = {**catalogue.ORACLE}
