@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -446,7 +447,7 @@ def redact_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the entities of ``text`` replaced by [EMAIL], [PHONE], [IDENTITY], [ADDRESS] and [NAME]; null stays null."""
 
     @F.pandas_udf("string")
-    def redacted(it):
+    def redacted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from sigframe.llm.pii_weights import WEIGHTS
 
         for s in it:
