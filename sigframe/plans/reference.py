@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigframe.plans import catalogue
+from sigframe.plans import catalogue, recordings
 
-QUERIES = {**catalogue.QUERIES}
-ORACLE = {**catalogue.ORACLE}
+QUERIES = {**catalogue.QUERIES, **recordings.QUERIES}
+ORACLE = {**catalogue.ORACLE, **recordings.ORACLE}
