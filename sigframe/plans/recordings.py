@@ -160,7 +160,7 @@ def csv_rate_inference(spark: SparkSession, root: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- moments, units
-@register(SM + "select source_id, ch, count(*) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from sm group by source_id, ch")
+@register(SM + "select source_id, ch, count(*) as n, round(avg(value), 6) + 0.0::double as mean, round(stddev_pop(value), 6) as std from sm group by source_id, ch")
 def mean_std_channel(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(signals.moments(_samples(spark, root), ["source_id", "ch"], "value"))
 
@@ -169,7 +169,7 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
-@register(SM + "select source_id, count(*) as n, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std from sm group by source_id")
+@register(SM + "select source_id, count(*) as n, round(avg(value), 6) + 0.0::double as mean, round(stddev_pop(value), 6) as std from sm group by source_id")
 def mean_std_recording(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(signals.moments(_samples(spark, root), ["source_id"], "value"))
 
@@ -185,7 +185,7 @@ def _domain_stats(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return per, signals.domain_moments(per, "domain", ["ch"])
 
 
-@register(_DOMAIN + "select domain, ch, round(mean, 6) as mean, round(std, 6) as std, recordings from d")
+@register(_DOMAIN + "select domain, ch, round(mean, 6) + 0.0::double as mean, round(std, 6) as std, recordings from d")
 def mean_std_domain(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(_domain_stats(spark, root)[1])
 
@@ -199,7 +199,7 @@ def domain_mean_std_join(spark: SparkSession, root: str) -> DataFrame:
 
 
 _Z = "case when s <= 2.220446049250313e-16 * greatest(1.0, a) then 0.0 else (value - m) / s end"
-_ZSUM = "count(*) as n, round(max(z), 5) as highest, round(min(z), 5) as lowest"
+_ZSUM = "count(*) as n, round(max(z), 5) + 0.0::double as highest, round(min(z), 5) + 0.0::double as lowest"
 
 
 @register(SM + f", t as (select source_id, ch, avg(value) as m, stddev_pop(value) as s, max(abs(value)) as a from sm group by source_id, ch), y as (select source_id, ch, {_Z} as z from sm join t using (source_id, ch)) select source_id, ch, {_ZSUM} from y group by source_id, ch")
@@ -330,7 +330,7 @@ def quality_shady(spark: SparkSession, root: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- store
-@register("select epoch_id, list_transform([4, 1], lambda c: case when isfinite(epoch_data[c][17]::double) then round(epoch_data[c][17]::double, 6) end) as picked, len(epoch_data[4][17:32]) as width from epochs")
+@register("select epoch_id, list_transform([4, 1], lambda c: case when isfinite(epoch_data[c][17]::double) then round(epoch_data[c][17]::double, 6) + 0.0::double end) as picked, len(epoch_data[4][17:32]) as width from epochs")
 def epoch_window_read(spark: SparkSession, root: str) -> DataFrame:
     """Sixteen samples of two channels in the order asked for, from a store written before."""
     folder = scratch_path(spark, "store")
@@ -395,7 +395,7 @@ def greedy_split(spark: SparkSession, root: str) -> DataFrame:
 
 
 @register("""with x as (select epoch_id, generate_subscripts(epoch_data[1], 1) - 1 as sample, unnest(epoch_data[1])::double as a, unnest(epoch_data[2])::double as b from epochs)
-select x.epoch_id, x.sample, case when isfinite(a) then round(a, 6) end as C3, case when isfinite(b) then round(b, 6) end as C4, case when x.sample = 0 then l.name end as marker
+select x.epoch_id, x.sample, case when isfinite(a) then round(a, 6) + 0.0::double end as C3, case when isfinite(b) then round(b, 6) + 0.0::double end as C4, case when x.sample = 0 then l.name end as marker
 from x join epochs e using (epoch_id) left join event_labels l on l.code = e.event_code""")
 def wide_export_with_marker(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "epochs")
