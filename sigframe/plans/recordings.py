@@ -423,7 +423,7 @@ def data_hash(spark: SparkSession, root: str) -> DataFrame:
     return hashing.data_hash(e, ["epoch_id"], "fs")
 
 
-@register("select e.epoch_id, s.name, c.name as ch_name, len(e.epoch_data[c.ordinal + 1]) as n from epochs e join sources s using (source_id) cross join channels c where c.type = 'eeg' and s.sfreq between 200 and 600")
+@register("select e.epoch_id, s.name, c.name as ch_name, len(e.epoch_data[c.ordinal + 1])::int as n from epochs e join sources s using (source_id) cross join channels c where c.type = 'eeg' and s.sfreq between 200 and 600")
 def load_pipeline(spark: SparkSession, root: str) -> DataFrame:
     """Load steps in their order: choose recordings, name and type channels, pick types."""
     chosen = table(spark, root, "sources").where(F.col("sfreq").between(200, 600)).select("source_id", "name")
