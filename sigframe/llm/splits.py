@@ -29,7 +29,7 @@ def record_keys(locator: DataFrame, sources: DataFrame, studies: DataFrame) -> D
             F.lit(kind).alias("rec_table"),
             F.col(key).cast("long").alias("rec_id"),
             person.alias("person"),
-            F.array_compact(F.array(F.concat(F.lit("p:"), person), hashed, F.concat(F.lit("f:"), path))).alias("keys"),
+            F.array_compact(F.array(F.concat(F.lit("a:"), person), hashed, F.concat(F.lit("u:"), path))).alias("keys"),
         )
 
     digest = F.lower(F.trim("source_hash"))
@@ -103,6 +103,7 @@ def assign_splits(records: DataFrame, targets: DataFrame, node_components: DataF
     rows = [(r[0], r[1]) for r in targets.select("split_name", "proportion").limit(1001).collect()]
     if len(rows) > 1000:
         raise ValueError("at most 1,000 splits")
+    records = written(records, "record-keys")
     found = components(records) if node_components is None else node_components
     keyed = records.withColumn("node", F.get("keys", F.lit(0)))
     alone = F.concat(F.lit("r:"), F.col("rec_table"), F.lit(":"), F.col("rec_id").cast("string"))
@@ -120,6 +121,7 @@ def related_records(records: DataFrame, node_components: DataFrame | None = None
     smallest ``loc_id`` among them. That record itself gives no row; sources of participants
     without a locator record give none; nor do records without a participant.
     """
+    records = written(records, "record-keys")  # read twice, and costly to parse
     found = components(records) if node_components is None else node_components
     named = records.where("person is not null").select("rec_table", "rec_id", F.get("keys", F.lit(0)).alias("node"))
     per_node = named.groupBy("node").agg(F.min(F.when(F.col("rec_table") == "locator", F.col("rec_id"))).alias("lo"))
