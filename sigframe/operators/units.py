@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions.naming import known_studies, study_key
-from sigframe.operators.packed_fields import packed_values
+from sigframe.operators.packed_fields import let, packed_values
 from sigframe.operators.reference_match import BROADCAST_ENTRIES, channel_matcher
 
 #: How a unit is written (lower case, whole text).
@@ -51,19 +51,22 @@ SMOOTHING = 0.05
 _KEY = r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')"""
 _ENTRY = _KEY + r"""\s*:\s*[(\[{]([^)\]}]*)[)\]}]"""
 _PAIR = _KEY + r"""\s*:\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')"""
-_NUMBER = r"(?i)(?<![\w.])[-+]?(?:nan|null|none|inf(?:inity)?|(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?)(?![\w.])"
+_NUMBER = r"(?<![\w.])[-+]?(?:nan|null|none|inf(?:inity)?|(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?)(?![\w.])"
 #: Phrases of descriptions that state the unit of the potentials, the temperature or the conductance.
 _SAYS = r"(?i)(?:amplitudes are stored in|signal values:|einheit der kanäle:|exported in|unit=|valeurs en|all potentials given as|physical dimension|stored as|units?:)\s*(1e-\d+ v|adc counts?|[a-zµμ]+)"
 _LSB = r"(?i)(?:1\s*(?:lsb|count|adu)\s*=\s*|lsb_uv\s*=\s*|resolution\s+)([0-9.]+(?:e[-+]?\d+)?)"
 
 
-def _unescaped(v: Column) -> Column:
-    plain = F.from_json(F.concat(F.lit('["'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"]')), "array<string>")[0]
-    return F.when(v.contains("\\u"), F.coalesce(plain, v)).otherwise(F.regexp_replace(v, r"\\(['\"\\])", "$1"))
+def _unescaped(value: Column) -> Column:
+    def plain(v: Column) -> Column:
+        decoded = F.from_json(F.concat(F.lit('["'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"]')), "array<string>")[0]
+        return F.when(v.contains("\\u"), F.coalesce(decoded, v)).when(v.contains("\\"), F.regexp_replace(v, r"\\(['\"\\])", "$1")).otherwise(v)
 
+    return let(value, plain)
 
-def _key_of(e: Column) -> Column:
-    return _unescaped(F.concat(F.regexp_extract(e, "^" + _KEY, 1), F.regexp_extract(e, "^" + _KEY, 2)))
+
+#: Parts of an entry are put apart by this character.
+_PART = "\x1f"
 
 
 def moments(text: Column) -> Column:
@@ -76,18 +79,19 @@ def moments(text: Column) -> Column:
     s = F.regexp_replace(text, r"np\.float\d*\(([^()]*)\)", "$1")
     found = F.regexp_extract_all(s, F.lit(_ENTRY), F.lit(0))
 
-    def entry(e: Column) -> Column:
-        body = F.regexp_extract(e, _ENTRY, 3)
-        nums = F.regexp_extract_all(body, F.lit(_NUMBER), F.lit(0))
-        by_name = lambda n: F.nullif(F.regexp_extract(body, rf"""(?i)["']{n}["']\s*:\s*([^,]*)""", 1), F.lit(""))
-        named = body.rlike(r"""(?i)["'](?:mean|std)["']\s*:""")
+    def number(x: Column) -> Column:
+        return let(F.trim(x).try_cast("double"), lambda v: F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v))
 
-        def number(name: str, i: int) -> Column:
-            x = F.when(named, by_name(name)).otherwise(F.get(nums, F.lit(i)))
-            v = F.trim(x).try_cast("double")
-            return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+    def parsed(key: Column, body: Column, nums: Column) -> Column:
+        at_mean, at_std = F.instr(body, "mean"), F.instr(body, "std")
+        mean_at = F.when((at_std > 0) & (at_mean == 0), -1).when((at_std > 0) & (at_std < at_mean), 1).otherwise(0)
+        std_at = F.when((at_mean > 0) & (at_std == 0), -1).when((at_std > 0) & ((at_mean == 0) | (at_std < at_mean)), 0).otherwise(1)
+        pick = lambda i: F.when(i >= 0, F.get(nums, i))
+        return F.struct(_unescaped(key).alias("key"), number(pick(mean_at)).alias("mean"), number(pick(std_at)).alias("std"))
 
-        return F.struct(_key_of(e).alias("key"), number("mean", 0).alias("mean"), number("std", 1).alias("std"))
+    def entry(e: Column) -> Column:
+        parts = F.split(F.regexp_replace(e, _ENTRY, "$1$2" + _PART + "$3"), _PART, 2)
+        return let(parts, lambda p: let(F.lower(F.get(p, F.lit(1))), lambda body: parsed(F.get(p, F.lit(0)), body, F.regexp_extract_all(body, F.lit(_NUMBER), F.lit(0)))))
 
     return F.coalesce(F.transform(found, entry), F.array().cast("array<struct<key:string,mean:double,std:double>>"))
 
@@ -100,8 +104,8 @@ def unit_pairs(text: Column) -> Column:
     pairs = F.regexp_extract_all(text, F.lit(_PAIR), F.lit(0))
 
     def pair(e: Column) -> Column:
-        value = F.concat(F.regexp_extract(e, _PAIR, 3), F.regexp_extract(e, _PAIR, 4))
-        return F.struct(_key_of(e).alias("key"), _unescaped(value).alias("unit"))
+        parts = F.split(F.regexp_replace(e, _PAIR, "$1$2" + _PART + "$3$4"), _PART, 2)
+        return let(parts, lambda p: F.struct(_unescaped(F.get(p, F.lit(0))).alias("key"), _unescaped(F.get(p, F.lit(1))).alias("unit")))
 
     whole = F.array(F.struct(F.lit("*").alias("key"), text.alias("unit")))
     empty = F.array().cast("array<struct<key:string,unit:string>>")
@@ -133,25 +137,37 @@ def written_unit(text: str | None) -> str | None:
     return next((code for code, p in _CODES.items() if p.fullmatch(t)), None)
 
 
-def unit_evidence(locator: DataFrame, studies: DataFrame) -> DataFrame:
-    """One row per recording with numbers: what its entries are and what is told about their units."""
+_RAW = ("mean_std", "channel_names", "number_of_channels", "infer_unit", "description")
+
+
+def by_device(locator: DataFrame, studies: DataFrame) -> DataFrame:
+    """Recordings with numbers, raw, ordered by (device, time, id) over range partitions.
+
+    The device is the study, whose amplifier is one. Only raw text is moved, and parsed after it: range
+    partitioning reads its input twice, the first time for the bounds.
+    """
+    device = F.coalesce(study_key(F.col("file_path"), F.col("domain_tag"), known_studies(studies)), F.lit("?"))
+    rows = locator.where(F.col("mean_std").isNotNull()).select(F.col("loc_id").cast("long").alias("loc_id"), device.alias("device"), F.col("meas_date").alias("at"), *_RAW)
+    n = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(n, "device", "at", "loc_id").sortWithinPartitions("device", "at", "loc_id")
+
+
+def unit_evidence(rows: DataFrame) -> DataFrame:
+    """What the entries of each recording are, and what is told about their units; one row for one row."""
     m = moments(F.col("mean_std"))
-    slots = packed_values(F.col("channel_names"), F.col("number_of_channels").try_cast("int"))
-    told = unit_pairs(F.col("infer_unit"))
-    says = F.regexp_extract("description", _SAYS, 1)
-    temp = F.regexp_extract("description", r"(?i)temperature in ([^\s.]+)", 1)
-    cond = F.regexp_extract("description", r"(?i)conductance in ([^\s.]+)", 1)
     lsb = F.regexp_extract("description", _LSB, 1).try_cast("double")
-    base = locator.where(F.col("mean_std").isNotNull()).select(
-        F.col("loc_id").cast("long").alias("loc_id"),
-        F.coalesce(study_key(F.col("file_path"), F.col("domain_tag"), known_studies(studies)), F.lit("?")).alias("device"),
-        F.col("meas_date").alias("at"),
+    base = rows.select(
+        "loc_id", "device",
         F.filter(m, lambda e: (e["key"] != "all_eeg") & e["mean"].isNotNull() & e["std"].isNotNull()).alias("m"),
-        slots.alias("slots"), told.alias("told"), says.alias("says"), temp.alias("temp"), cond.alias("cond"),
+        packed_values(F.col("channel_names"), F.col("number_of_channels").try_cast("int")).alias("slots"),
+        unit_pairs(F.col("infer_unit")).alias("told"),
+        F.regexp_extract("description", _SAYS, 1).alias("says"),
+        F.regexp_extract("description", r"(?i)temperature in ([^\s.]+)", 1).alias("temp"),
+        F.regexp_extract("description", r"(?i)conductance in ([^\s.]+)", 1).alias("cond"),
         F.when(lsb > 0, lsb).alias("lsb"),
     )
-    return base.where(F.size("m") > 0).select(
-        "loc_id", "device", "at", "says", "temp", "cond", "lsb", "slots",
+    return base.select(
+        "loc_id", "device", "says", "temp", "cond", "lsb", "slots",
         *[F.col("m")[c].alias(c + "s") for c in ("key", "mean", "std")],
         F.col("told")["key"].alias("told_keys"), F.col("told")["unit"].alias("told_units"),
     )
@@ -273,10 +289,7 @@ def decode_units(locator: DataFrame, studies: DataFrame, electrodes: DataFrame)
     names = sorted((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None)
     kinds = {r[0]: r[4] for r in rows}
     run = _decoder(lambda: (channel_matcher(names), kinds))
-    seq = unit_evidence(locator, studies)
-    n = max(2, int(seq.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = seq.repartitionByRange(n, "device", "at", "loc_id").sortWithinPartitions("device", "at", "loc_id")
-    return ordered.mapInPandas(run, _DECODED)
+    return unit_evidence(by_device(locator, studies)).mapInPandas(run, _DECODED)
 
 
 def to_common(decoded: DataFrame) -> DataFrame:
