@@ -6,6 +6,9 @@ its place and renamed when it is complete, with a marker that the reader asks fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,24 +65,30 @@ def window(data: Column, channels: list[int], start: int, length: int) -> Column
 def greedy_parts(sizes: DataFrame, key: str, size: str, limit: int, lanes: int = 1) -> DataFrame:
     """(key, size, part): consecutive items by ``key`` filled into parts of at most ``limit``; a larger item has its own.
 
-    A first-fit-in-order fold is sequential, so it runs over one array per lane; the items are sources or
-    files, of which ``lanes`` hash lanes hold an even share each, and parts never cross a lane.
+    Filling in order is sequential, so each lane is one sorted stream of which only the running sum is held; the sort
+    spills. With several ``lanes`` (column ``lane``) items are dealt by a hash of their key and parts never cross a lane.
+    Null sizes count as 0; repeated keys are items of their own.
     """
-    lane = F.pmod(F.xxhash64(key), F.lit(lanes)) if lanes > 1 else F.lit(0)
-    item = F.struct(F.col(key).alias("k"), F.col(size).cast("bigint").alias("s"))
-    grouped = sizes.groupBy(lane.alias("lane")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    # the state holds the room used and the part; parts are kept as a list of numbers
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(-1).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["part"] < 0) | (acc["used"] + x["s"] > limit)
-        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
-        return F.struct(F.when(fresh, x["s"]).otherwise(acc["used"] + x["s"]).alias("used"), part.alias("part"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-    folded = grouped.withColumn("parts", F.aggregate("items", start, step, lambda a: a["parts"]))
-    out = folded.select("lane", F.explode(F.arrays_zip("items", "parts")).alias("x"))
-    cols = [F.col("x.items.k").alias(key), F.col("x.items.s").alias(size), F.col("x.parts").alias("part")]
-    return out.select(*cols) if lanes == 1 else out.select("lane", *cols)
+    kind = sizes.schema[key].dataType.simpleString()
+    lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int") if lanes > 1 else F.lit(0)
+    items = sizes.select(lane.alias("lane"), F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("s"))
+    ordered = items.repartitionByRange(lanes, "lane").sortWithinPartitions("lane", "k", "s")
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, part = None, 0, -1
+        for pdf in batches:
+            parts = []
+            for at, s in zip(pdf["lane"].tolist(), pdf["s"].tolist(), strict=True):
+                if at != current:
+                    current, used, part = at, 0, -1
+                if part < 0 or used + s > limit:
+                    used, part = 0, part + 1
+                used += s
+                parts.append(part)
+            yield pdf.assign(part=parts).astype({"part": "int32"})
+
+    out = ordered.mapInPandas(fill, f"lane int, k {kind}, s bigint, part int").withColumnsRenamed({"k": key, "s": size})
+    return out.drop("lane") if lanes == 1 else out
 
 
 def write_store(tables: dict[str, DataFrame], folder: str, *, overwrite: bool = False) -> None:

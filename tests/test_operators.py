@@ -281,3 +281,12 @@ def test_streaming(spark, root, tmp_path):
     q.stop()
     e = spark.read.parquet(f"{root}/events.parquet")
     assert spark.table("chg").count() == events.changes(e, "user_id", ["ts", "event_id"], "event_type").count()
+
+
+def test_greedy_lanes(spark):
+    rows = [(i, (i * 37) % 90 + 1) for i in range(300)] + [(300, None), (301, 500)]
+    got = store.greedy_parts(spark.createDataFrame(rows, "k long, s long"), "k", "s", 100, lanes=4).collect()
+    totals: dict = {}
+    for r in got:
+        totals.setdefault((r.lane, r.part), []).append(r.s)
+    assert len(got) == 302 and all(sum(v) <= 100 or max(v) > 100 for v in totals.values())
