@@ -1,4 +1,4 @@
-"""Readers of recordings: CSV with an inferred rate, EDF, BrainVision and WFDB.
+"""Readers of recordings: CSV with an inferred rate, EDF, BrainVision, WFDB and MAT.
 
 Headers and signals are separate reads, so that a catalogue never touches samples. The binary formats are
 parsed from their bytes by NumPy in Arrow-batched functions, a file being the unit of work.
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigframe.sources.matfile import find_recording
+
 HEADER = "path string, file_type string, n_channels int, n_samples long, sfreq double, duration_s double, channels array<string>, error string"
 SIGNAL = "path string, ch int, ch_name string, sfreq double, block int, start long, samples array<double>"
 
@@ -151,14 +153,17 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 def _paired(spark: SparkSession, folder: str) -> DataFrame:
     """Main files with the content of their sidecar of the same stem: a join by stem, no driver-side listing."""
     files = _files(spark, folder)
-    main = files.where(F.col("ext").isin("edf", "bdf", "rec", "csv", "txt", "vhdr", "hea"))
+    main = files.where(F.col("ext").isin("edf", "rec", "csv", "txt", "vhdr", "hea", "mat"))
     side = files.where(F.col("ext").isin("eeg", "dat")).select("stem", F.when(F.col("ext") == "eeg", "vhdr").otherwise("hea").alias("ext"), F.col("content").alias("side"))
     return main.join(side, ["stem", "ext"], "left").select("path", "ext", "content", "side")
 
 
 def _parsed(ext: str, content: bytes, side: bytes | None) -> tuple[str, dict]:
-    if ext in ("edf", "bdf", "rec"):
+    if ext in ("edf", "rec"):
         return "standard_data", parse_edf(content)
+    if ext == "mat":
+        h = find_recording(content)
+        return h.pop("file_type"), h
     if ext in ("csv", "txt"):
         return "csvData", parse_csv(content)
     if side is None:
@@ -197,7 +202,9 @@ def read_signals(spark: SparkSession, folder: str, block: int = 8192) -> DataFra
                     _, h = _parsed(r.ext, r.content, r.side)
                 except Exception:  # noqa: BLE001, S112
                     continue
-                for c, (name, x) in enumerate(zip(h["channels"], h["signals"], strict=True)):
+                # epochs of a MAT file follow one another
+                signals = h["signals"] if "signals" in h else list(np.concatenate(list(h["epochs"]), axis=1))
+                for c, (name, x) in enumerate(zip(h["channels"], signals, strict=True)):
                     starts = range(0, len(x), block)
                     yield pd.DataFrame({
                         "path": r.path, "ch": c, "ch_name": name, "sfreq": h["sfreq"], "block": [s // block for s in starts], "start": list(starts),
