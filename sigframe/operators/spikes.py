@@ -277,7 +277,7 @@ def flag_epochs(epochs: DataFrame, sources: DataFrame, channel_masks: DataFrame,
     e = epochs.select(F.coalesce("source_id", F.lit(-1)).cast("int").alias("source_id"), F.col("epoch_id").cast("long").alias("epoch_id"), "epoch_data")
     m = source_models(e) if models is None else models
     masks = sources.select(F.col("source_id").cast("int").alias("source_id"), F.col("channel_mask_id").alias("mask_id")).dropDuplicates(["source_id"])
-    masks = masks.join(channel_masks.select("mask_id", "mask"), "mask_id", "left").select("source_id", "mask")
+    masks = masks.join(channel_masks.select("mask_id", "mask").dropDuplicates(["mask_id"]), "mask_id", "left").select("source_id", "mask")
     row = F.array(*[F.col(c).cast("double") for c in ("level", "scale", "drift", "phi1", "phi2", "repeat", "n")])
     by_source = m.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", row.alias("m")))).alias("by"), (F.max("channel") + 1).alias("top"))
     both = by_source.join(masks, "source_id", "full").withColumn("top", F.greatest(F.coalesce("top", F.lit(1)), F.coalesce(F.size("mask"), F.lit(1)), F.lit(1)))

@@ -59,6 +59,7 @@ def test_masks_nulls_and_shapes(spark):
     s, m = _sources(spark, {7: 1, 8: 0})
     got = {(r.epoch_id, r.ch, r.n_stuck) for r in spikes.flag_epochs(df, s, m).collect()}
     assert got == {(100, 0, 64)}  # the masked channel of source 7 is no case, the dead one of source 8 is
+    assert spikes.flag_epochs(df, s.unionByName(s), m.unionByName(m)).count() == 1  # repeated dimension rows add nothing
     assert spikes.flag_epochs(df.limit(0), s, m).count() == 0
 
 
