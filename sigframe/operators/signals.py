@@ -114,7 +114,8 @@ def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float, *, l_
 
     ``kind`` is lowpass, highpass, bandpass (FIR, zero phase), notch, or butter (Butterworth band-pass, forward and
     backward). FIR kinds read half a filter of each neighbouring block, so that the
-    result does not depend on the size of the blocks; every task holds three blocks at a time.
+    result does not depend on the size of the blocks; the Butterworth filter reads both neighbours, in which its
+    transients die out. Blocks of a channel are numbered by ``block``; null and empty ones become null.
     """
     if kind not in ("lowpass", "highpass", "bandpass", "notch", "butter"):
         raise ValueError(kind)
@@ -122,16 +123,27 @@ def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float, *, l_
         raise ValueError("notch needs a frequency")
     h = h_freq if h_freq is None or h_freq < sfreq / 2 else sfreq / 2 - 1
     w = Window.partitionBy(*keys).orderBy("block")
-    if kind == "butter":
-        return mapped_rows(df, "samples", lambda x: dsp.butter_bandpass_filter(x, l_freq, h, sfreq, order))
-    taps = dsp.firwin(kind, sfreq, l_freq=l_freq, h_freq=h, notch=notch)
-    half = len(taps) // 2
     empty = F.array().cast("array<double>")
     around = df.withColumn("_before", F.coalesce(F.lag("samples").over(w), empty)).withColumn("_after", F.coalesce(F.lead("samples").over(w), empty))
+    if kind == "butter":
+        kernel = lambda b, m, a: dsp.butter_bandpass_filter(np.concatenate([b, m, a], axis=1), l_freq, h, sfreq, order)[:, b.shape[1] : b.shape[1] + m.shape[1]]
+    else:
+        taps = dsp.firwin(kind, sfreq, l_freq=l_freq, h_freq=h, notch=notch)
+        half = len(taps) // 2
+        kernel = lambda b, m, a: [dsp.fir_with_halo(x, y, z, taps, half) for x, y, z in zip(b, m, a, strict=True)]
 
     @F.pandas_udf("array<double>")
     def run(before: pd.Series, mid: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([dsp.fir_with_halo(b, m, a, taps, half) for b, m, a in zip(before, mid, after, strict=True)])
+        out: list = [None] * len(mid)
+        groups: dict[tuple, list[int]] = {}
+        for i, three in enumerate(zip(before, mid, after, strict=True)):
+            if three[1] is not None and len(three[1]):
+                groups.setdefault(tuple(map(len, three)), []).append(i)
+        for shape, rows in groups.items():
+            parts = [np.array([np.asarray(s.iloc[i], float) for i in rows]).reshape(len(rows), n) for s, n in zip((before, mid, after), shape, strict=True)]
+            for i, v in zip(rows, kernel(*parts), strict=True):
+                out[i] = v
+        return pd.Series(out)
 
     return around.withColumn("samples", run("_before", "samples", "_after")).drop("_before", "_after")
 

@@ -278,7 +278,7 @@ def psd_bands(spark: SparkSession, root: str) -> DataFrame:
 @register()
 def butterworth_filter(spark: SparkSession, root: str) -> DataFrame:
     """Deviation of each channel of each epoch after an 8 to 13 Hz band-pass."""
-    out = signals.filter_blocks(_blocks(spark, root), ["source_id", "ch"], "butter", 250.0, l_freq=8, h_freq=13)
+    out = signals.filter_blocks(_blocks(spark, root).withColumn("block", F.lit(0)), ["epoch_id", "ch"], "butter", 250.0, l_freq=8, h_freq=13)
     return out.select("epoch_id", "ch", F.round(signals.array_std(F.col("samples")), 6).alias("std"))
 
 

@@ -107,6 +107,10 @@ def test_filter_does_not_depend_on_blocks(spark):
         out = signals.filter_blocks(spark.createDataFrame(rows, "rec int, block int, samples array<double>"), ["rec"], "lowpass", 250.0, h_freq=30)
         answers.append(np.concatenate([r.samples for r in out.orderBy("block").collect()]))
     assert np.abs(answers[0] - answers[1]).max() < 1e-12 and len(answers[0]) == 6000
+    one = spark.createDataFrame([(1, b, [float(v) for v in x[b * 2000 : (b + 1) * 2000]]) for b in range(3)] + [(2, 0, None), (3, 0, [])], "rec int, block int, samples array<double>")
+    out = signals.filter_blocks(one, ["rec"], "butter", 250.0, l_freq=8, h_freq=30).orderBy("rec", "block").collect()
+    assert np.abs(np.concatenate([r.samples for r in out[:3]]) - dsp.butter_bandpass_filter(x, 8, 30, 250.0)).max() < 1e-6
+    assert out[3].samples is None and out[4].samples is None
     with pytest.raises(ValueError):
         signals.filter_blocks(None, ["rec"], "notch", 250.0)
 
