@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions.naming import NULL_WORDS, known_studies, participant_key, path_text
-from sigframe.session import written
+from sigframe.session import discard, written, written_at
 
 def record_keys(locator: DataFrame, sources: DataFrame, studies: DataFrame) -> DataFrame:
     """One row (rec_table, rec_id, person, keys) per recording and per source.
@@ -44,7 +44,7 @@ def hash_to_min(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds:
     The component is its smallest node. Clusters are kept as rows (v, u), never as arrays, so
     that a component of any size stays distributed; the minimum of a hub's cluster
     is a pre-aggregated ``min``. Every round is written once to the shared folder, which cuts
-    the lineage and survives the loss of an executor.
+    the lineage and survives the loss of an executor; the round before is then discarded.
 
     Null ends give no edge, self-loops give a node of its own, repeated edges count once, an
     empty input gives an empty result. RuntimeError if ``max_rounds`` do not suffice.
@@ -52,7 +52,7 @@ def hash_to_min(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds:
     e = edges.select(F.col(src).alias("v"), F.col(dst).alias("u")).where("v is not null and u is not null")
     both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
     start = both.unionByName(both.select("v", F.col("v").alias("u"))).distinct()
-    clusters = written(start, "hash-to-min")
+    clusters, path = written_at(start, "hash-to-min")
     before = None
     for _ in range(max_rounds):
         now = clusters.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
@@ -62,7 +62,9 @@ def hash_to_min(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds:
         state = clusters.join(clusters.groupBy("v").agg(F.min("u").alias("m")), "v")
         to_min = state.select(F.col("m").alias("v"), "u")
         to_members = state.select(F.col("u").alias("v"), F.col("m").alias("u"))
-        clusters = written(to_min.unionByName(to_members).distinct(), "hash-to-min")
+        clusters, fresh = written_at(to_min.unionByName(to_members).distinct(), "hash-to-min")
+        discard(clusters.sparkSession, path)
+        path = fresh
     raise RuntimeError("components did not settle")
 
 
