@@ -81,8 +81,8 @@ def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p6_found, p6_bins, p6_fill, p7_found, p7_draws, p7_shares, p8_found, p8_redacted)}
-ORACLE = {
-    "p1_found": r"""
+#: Participants of recordings and sources by the naming habits of their paths.
+_PERSONS = r"""
 with s as (select regexp_replace(lower(domain_tag), '[^a-z0-9]', '', 'g') as k from studies),
 r as (
   select 'locator' as rec_table, loc_id as rec_id, url_decode(lower(replace(file_path, '\', '/'))) as p from locator
@@ -99,10 +99,23 @@ k as (
     nullif(regexp_extract(p, '__vp0*([0-9]+)[.]', 1), ''),
     nullif(regexp_extract(p, '/p0*([0-9]+)[a-z]_', 1), ''),
     nullif(regexp_extract(p, '(?:^|/)participant[ _-]?0*([0-9]+)(?:[/_.]|$)', 1), '')) as num
-  from r where p is not null),
+  from r where p is not null)
+"""
+ORACLE = {
+    "p1_found": _PERSONS + r""",
 f as (select study, num, min(rec_id) as first_loc_id from k where rec_table = 'locator' group by study, num)
 select f.first_loc_id, k.rec_table, k.rec_id
 from k join f on k.study = f.study and k.num = f.num
 where k.rec_table = 'sources' or k.rec_id > f.first_loc_id
-"""
+""",
+    # content hashes tie records without a participant to those with one; no hash ties two participants
+    "p1_splits": _PERSONS + r""",
+h as (select 'locator' as rec_table, loc_id as rec_id, case when lower(trim(source_hash)) not in ('', 'nan', 'none', 'null', 'n/a', 'na', '<na>', 'nat', 'unknown', 'not_specified', '-') then 'h:' || lower(trim(source_hash)) end as h
+  from locator union all select 'sources', source_id::bigint, null from sources),
+n as (select h.rec_table, h.rec_id, h.h, 'a:' || k.study || '#' || k.num as person from h left join k on k.rec_table = h.rec_table and k.rec_id = h.rec_id),
+g as (select h, min(person) as person from n where h is not null group by h),
+c as (select n.rec_table, n.rec_id, coalesce(n.person, g.person, n.h, 'r:' || n.rec_table || ':' || n.rec_id) as component from n left join g on g.h = n.h),
+d as (select c.*, t.split_name, -t.proportion / ln((('0x' || substr(md5(c.component || '|' || t.split_name), 1, 12))::bigint + 0.5) / 281474976710656.0::double) as draw from c cross join split_targets t)
+select rec_table, rec_id, component, arg_max(split_name, draw) as split_name from d group by rec_table, rec_id, component
+""",
 }
