@@ -12,16 +12,18 @@ from __future__ import annotations
 import heapq
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.session import written
 
-BLOCKS = 10_000
+#: Blocks of the total size at least, and for each shard.
+BLOCKS, BLOCKS_PER_SHARD = 10_000, 1000
 SHARD_TEXTS = 100_000
 
 
-def sainte_lague(weights: dict[str, float], seats: int, most: dict[str, float] | None = None) -> tuple[dict[str, int], dict[str, int]]:
+def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> tuple[dict, dict]:
     """(seats won, seats forfeited) by weight; ties go to the smaller name.
 
     >>> sainte_lague({"a": 53.0, "b": 24.0, "c": 23.0}, 7)[0]
@@ -62,9 +64,9 @@ class Mix:
         names = self.sized.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
         size = self.sized.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
         self.total = int(size[0] or 0)
-        self.block = max(1, self.total // blocks)
-        self.seats = self.total // self.block
         n_shards = max(1, math.ceil(int(size[1]) / shard_texts))
+        self.block = max(1, self.total // max(blocks, BLOCKS_PER_SHARD * n_shards))
+        self.seats = self.total // self.block
         #: texts of the mixed sources, with their shard
         self.texts = names.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n_shards)))
         self.shards = self.texts.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("texts"))
@@ -78,19 +80,22 @@ class Mix:
         return sorted(s for s, w in self.share.items() if self.most[s] < w * self.total)
 
     def quotas(self) -> DataFrame:
-        """(source, shard, quota): tokens to draw from each shard.
+        """(source, shard, tokens, quota): tokens to draw from each shard.
 
-        A source with a shortfall gives all it may; another one's blocks are apportioned among its shards by
-        largest quotient of their tokens, in closed form: the floor of the exact share, then one block more to the largest remainders.
+        A source's blocks are apportioned among its shards by the same method, by their tokens; one task per source handles
+        the table of its shards, a row for each ``shard_texts`` texts. A source with a shortfall gives all it may.
         """
-        short = set(self.short())
-        rows = [(s, self.most[s] if s in short else self.won[s] * self.block) for s in sorted(self.share)]
-        goal = self.spark.createDataFrame(rows, "source string, goal long")
-        w = Window.partitionBy("source")
-        exact = self.shards.join(F.broadcast(goal), "source").withColumn("share", F.col("goal") * F.col("tokens") / F.sum("tokens").over(w))
-        base = exact.withColumn("quota", F.floor("share")).withColumn("left", F.col("goal") - F.sum("quota").over(w))
-        order = Window.partitionBy("source").orderBy((F.col("quota") - F.col("share")).asc(), "shard")
-        return base.withColumn("quota", F.col("quota") + F.when(F.row_number().over(order) <= F.col("left"), 1).otherwise(0)).select("source", "shard", "tokens", "quota")
+        goals, repeats, block, short = dict(self.won), dict(self.repeats), self.block, set(self.short())
+
+        def apportion(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            tokens = dict(zip(pdf["shard"].tolist(), pdf["tokens"].tolist(), strict=True))
+            if key[0] in short:
+                quota = {k: repeats[key[0]] * t for k, t in tokens.items()}
+            else:
+                quota = {k: n * block for k, n in sainte_lague(tokens, goals[key[0]])[0].items()}
+            return pd.DataFrame([(key[0], k, t, quota[k]) for k, t in tokens.items()], columns=["source", "shard", "tokens", "quota"])
+
+        return self.shards.groupBy("source").applyInPandas(apportion, "source string, shard long, tokens long, quota long")
 
     def draws(self) -> DataFrame:
         """(doc_id, source, n_tokens, uses): every drawn text with the number of its uses.
