@@ -129,13 +129,16 @@ def align(signals: DataFrame, order: DataFrame, *, missing: str = "drop", least:
     """
     if missing not in ("drop", "zero"):
         raise ValueError(missing)
-    want = F.broadcast(order.select("ordinal", "ch_name", F.lower("ch_name").alias("_k")))
+    rows = order.select(F.col("ordinal").cast("int"), "ch_name").where("ordinal is not null and ch_name is not null").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("an order of at most 10,000 channels")
+    wanted = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("ch_name"), F.lit(n.lower()).alias("_k")) for i, n in sorted(map(tuple, rows))])
     have = signals.withColumn("_k", F.lower("ch_name")).drop("ch_name")
-    found = have.join(want, "_k")
+    found = have.withColumn("_w", F.explode(F.filter(wanted, lambda w: w["_k"] == F.col("_k")))).select(*have.columns, "_w.ordinal", "_w.ch_name")
     enough = found.groupBy("rec_id").agg(F.countDistinct("_k").alias("_n")).where(F.col("_n") >= least).select("rec_id")
     if missing == "drop":
         return found.join(enough, "rec_id").select("rec_id", "ordinal", "ch_name", "value", F.lit(True).alias("present"))
-    grid = enough.join(want)
+    grid = enough.select("rec_id", F.explode(wanted).alias("_w")).select("rec_id", "_w.*")
     return grid.join(have, ["rec_id", "_k"], "left").select(
         "rec_id", "ordinal", "ch_name", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().alias("present")
     )

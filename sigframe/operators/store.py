@@ -39,7 +39,7 @@ def epoch_indices(df: DataFrame, source: str, order: str, out: str = "source_epo
     Numbers are given within stretches of ``width`` order values and moved by the count of all
     earlier stretches, so that a source with any share of the rows spreads over tasks.
     """
-    stretched = df.withColumn("_stretch", F.floor(F.col(order) / width))
+    stretched = df.withColumn("_stretch", F.expr(f"`{order}` div {width}"))
     counts = stretched.groupBy(source, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(source).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(source, "_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
@@ -148,7 +148,7 @@ class EpochStore:
 def denormalised(epochs: DataFrame, sources: DataFrame, labels: DataFrame) -> DataFrame:
     """Epochs with the path and name of their source and the name of their event beside them."""
     s = sources.select("source_id", F.coalesce("file_path", F.concat(F.lit("unresolved:"), F.col("name"))).alias("source"))
-    names = F.broadcast(labels.select(F.col("code").alias("event_code"), F.col("name").alias("event_name")))
+    names = labels.select(F.col("code").alias("event_code"), F.col("name").alias("event_name"))
     return epochs.join(s, "source_id", "left").join(names, "event_code", "left")
 
 

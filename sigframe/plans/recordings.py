@@ -147,7 +147,7 @@ def epoch_totals(spark: SparkSession, root: str) -> DataFrame:
 select s.source_id, s.name, s.sfreq, (select string_agg(n.name || '=' || n.n, ',' order by n.name) from n where n.source_id = s.source_id) as events from sources s""")
 def meta_projection(spark: SparkSession, root: str) -> DataFrame:
     """Sources with their counts of events by name."""
-    named = table(spark, root, "epochs").select("source_id", "event_code").join(F.broadcast(table(spark, root, "event_labels").withColumnRenamed("code", "event_code")), "event_code")
+    named = table(spark, root, "epochs").select("source_id", "event_code").join(table(spark, root, "event_labels").withColumnRenamed("code", "event_code"), "event_code")
     counts = events.event_counts(named, "source_id", "name").groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "name", F.col("n").cast("string")))), ",").alias("events"))
     return table(spark, root, "sources").select("source_id", "name", "sfreq").join(counts, "source_id", "left")
 
@@ -352,20 +352,20 @@ def star_epochs(spark: SparkSession, root: str) -> DataFrame:
 @register("select s.source_id, coalesce(e.n, 0) as n_epochs, m.mask::varchar as mask from sources s left join (select source_id, count(distinct source_epoch_index) as n from epochs group by 1) e using (source_id) left join (select mask_id, array_to_string(mask, '') as mask from channel_masks) m on m.mask_id = s.channel_mask_id")
 def star_sources(spark: SparkSession, root: str) -> DataFrame:
     n = table(spark, root, "epochs").groupBy("source_id").agg(F.countDistinct("source_epoch_index").alias("n_epochs"))
-    masks = F.broadcast(table(spark, root, "channel_masks").select(F.col("mask_id").alias("channel_mask_id"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask")))
+    masks = table(spark, root, "channel_masks").select(F.col("mask_id").alias("channel_mask_id"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
     s = table(spark, root, "sources").select("source_id", "channel_mask_id").join(n, "source_id", "left").join(masks, "channel_mask_id", "left")
     return s.select("source_id", F.coalesce("n_epochs", F.lit(0).cast("bigint")).alias("n_epochs"), "mask")
 
 
 @register("with f as (select l.name, min(e.epoch_id) as first from epochs e join event_labels l on l.code = e.event_code group by 1) select name, (row_number() over (order by first, name) - 1)::int as code from f")
 def star_labels(spark: SparkSession, root: str) -> DataFrame:
-    named = table(spark, root, "epochs").select("epoch_id", F.col("event_code").alias("code")).join(F.broadcast(table(spark, root, "event_labels")), "code")
+    named = table(spark, root, "epochs").select("epoch_id", F.col("event_code").alias("code")).join(table(spark, root, "event_labels"), "code")
     return store.coded(named.select("epoch_id", "name"), "name", "epoch_id", "code")
 
 
 @register("with f as (select array_to_string(m.mask, '') as mask, min(s.source_id) as first from sources s join channel_masks m on m.mask_id = s.channel_mask_id group by 1) select mask, (row_number() over (order by first, mask) - 1)::int as code from f")
 def star_masks(spark: SparkSession, root: str) -> DataFrame:
-    masks = F.broadcast(table(spark, root, "channel_masks").select(F.col("mask_id").alias("channel_mask_id"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask")))
+    masks = table(spark, root, "channel_masks").select(F.col("mask_id").alias("channel_mask_id"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"))
     return store.coded(table(spark, root, "sources").join(masks, "channel_mask_id").select("source_id", "mask"), "mask", "source_id", "code")
 
 
@@ -402,7 +402,7 @@ def wide_export_with_marker(spark: SparkSession, root: str) -> DataFrame:
     names = F.array(F.lit("C3"), F.lit("C4"))
     long = e.select("epoch_id", F.posexplode(F.slice("epoch_data", 1, 2)).alias("ch", "data")).select("epoch_id", names[F.col("ch")].alias("name"), F.posexplode("data").alias("sample", "v"))
     long = long.select("epoch_id", F.col("sample").cast("bigint").alias("sample"), "name", F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.round(F.col("v").cast("double"), 6)).alias("v"))
-    labels = F.broadcast(table(spark, root, "event_labels").select(F.col("code").alias("event_code"), F.col("name").alias("marker")))
+    labels = table(spark, root, "event_labels").select(F.col("code").alias("event_code"), F.col("name").alias("marker"))
     marks = e.select("epoch_id", "event_code").join(labels, "event_code").select("epoch_id", F.lit(0).cast("bigint").alias("sample"), "marker")
     return store.wide_export(long, "epoch_id", "sample", "name", "v", ["C3", "C4"], marks)
 
@@ -427,7 +427,7 @@ def data_hash(spark: SparkSession, root: str) -> DataFrame:
 def load_pipeline(spark: SparkSession, root: str) -> DataFrame:
     """Load steps in their order: choose recordings, name and type channels, pick types."""
     chosen = table(spark, root, "sources").where(F.col("sfreq").between(200, 600)).select("source_id", "name")
-    names = F.broadcast(table(spark, root, "channels").select(F.col("ordinal").alias("ch"), F.col("name").alias("ch_name"), F.col("type").alias("ch_type")))
+    names = table(spark, root, "channels").select(F.col("ordinal").alias("ch"), F.col("name").alias("ch_name"), F.col("type").alias("ch_type"))
     steps = batch.Pipeline([
         lambda d: d.join(chosen, "source_id"),
         lambda d: d.select("epoch_id", "name", F.posexplode("epoch_data").alias("ch", "samples")),
