@@ -144,7 +144,7 @@ def dominant_frequency(x: np.ndarray, sfreq: float) -> np.ndarray:
     return np.fft.rfftfreq(np.shape(x)[-1], 1 / sfreq)[spec.argmax(axis=-1)]
 
 
-def fast_ica(x: np.ndarray, n_components: int | None = None, seed: int = 0, rounds: int = 200, tol: float = 1e-6) -> np.ndarray:
+def fast_ica(x: np.ndarray, n_components: int | None = None, seed: int = 0, rounds: int = 200, tol: float = 1e-4) -> np.ndarray:
     """Independent components (components, samples) by symmetric FastICA with a tanh contrast."""
     x = np.asarray(x, float) - np.mean(x, axis=1, keepdims=True)
     u, s, _ = np.linalg.svd(x @ x.T / x.shape[1])
