@@ -145,8 +145,13 @@ def dominant_frequency(x: np.ndarray, sfreq: float) -> np.ndarray:
 
 
 def fast_ica(x: np.ndarray, n_components: int | None = None, seed: int = 0, rounds: int = 200, tol: float = 1e-4) -> np.ndarray:
-    """Independent components (components, samples) by symmetric FastICA with a tanh contrast."""
+    """Independent components (components, samples) by symmetric FastICA with a tanh contrast.
+
+    Channels are scaled to unit deviation first, so that one of a far larger scale does not make the others count as rank lost.
+    """
     x = np.asarray(x, float) - np.mean(x, axis=1, keepdims=True)
+    dev = x.std(axis=1, keepdims=True)
+    x = x / np.where(dev > 0, dev, 1.0)
     u, s, _ = np.linalg.svd(x @ x.T / x.shape[1])
     live = int((s > s[0] * 1e-12).sum()) if len(s) and s[0] > 0 else 0
     k = min(n_components or live, live)

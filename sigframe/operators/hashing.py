@@ -48,7 +48,8 @@ def data_hash(df: DataFrame, keys: list[str], fs: str, decimals: int = 6) -> Dat
     """(keys, data_hash) of recordings of rows (keys, ch_name, fs, samples).
 
     The three blocks are cut on the JVM side first, so that a task receives only them; channels count
-    in order of their names, values are rounded. A recording that cannot be hashed has null.
+    in order of their names, values are rounded. Absent and NaN samples count as such and differ from
+    each other and from any number. A recording that cannot be hashed has null.
     """
     n = F.size("samples").cast("bigint")
     cut = F.flatten(F.transform(block_starts(n, F.col(fs)), lambda b: F.slice(F.col("samples"), (b["start"] + 1).cast("int"), b["length"].cast("int"))))
@@ -56,12 +57,16 @@ def data_hash(df: DataFrame, keys: list[str], fs: str, decimals: int = 6) -> Dat
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            x = np.array([np.asarray(v, float) for v in pdf.sort_values("ch_name")["samples"]])
-            digest = hashlib.sha256(np.ascontiguousarray(np.round(x, decimals)).tobytes()).hexdigest()
+            rows = pdf.sort_values("ch_name")
+            x = np.array([np.asarray(v, float) for v in rows["samples"]])
+            absent = np.array([np.asarray(v, bool) for v in rows["absent"]])
+            x = np.where(np.isnan(x), np.nan, np.round(x, decimals))
+            digest = hashlib.sha256(np.ascontiguousarray(x).tobytes() + (absent.tobytes() if absent.any() else b"")).hexdigest()
         except (ValueError, TypeError):
             digest = None
         return pd.DataFrame([(*key, digest)], columns=[*keys, "data_hash"])
 
-    return df.select(*keys, "ch_name", cut.alias("samples")).groupBy(*keys).applyInPandas(run, schema)
+    held = df.select(*keys, "ch_name", cut.alias("samples")).withColumn("absent", F.transform("samples", lambda v: v.isNull()))
+    return held.groupBy(*keys).applyInPandas(run, schema)
 
 

@@ -32,7 +32,7 @@ def _events(spark: SparkSession, root: str) -> DataFrame:
 def _samples(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "epochs").select("epoch_id", "source_id", F.posexplode("epoch_data").alias("ch", "data"))
     x = e.select("epoch_id", "source_id", "ch", F.posexplode("data").alias("sample", "v")).select("epoch_id", "source_id", "ch", F.col("sample").cast("bigint").alias("sample"), F.col("v").cast("double").alias("value"))
-    return x.where("value is not null and not isnan(value) and abs(value) < 1e6")
+    return x.where("value is not null and not isnan(value) and abs(value) < double('Infinity')")
 
 
 # ---------------------------------------------------------------------------- segments and epochs
@@ -254,10 +254,16 @@ def channel_corr(spark: SparkSession, root: str) -> DataFrame:
     return signals.channel_correlation(table(spark, root, "lineitem"), _COLUMNS).select("a", "b", F.round("r", 6).alias("r"))
 
 
-def _blocks(spark: SparkSession, root: str) -> DataFrame:
+def _stored(spark: SparkSession, root: str) -> DataFrame:
+    """Each channel of each epoch with its samples as they are stored."""
     e = table(spark, root, "epochs").select("epoch_id", "source_id", F.posexplode("epoch_data").alias("ch", "data"))
-    clean = F.transform("data", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e6), x.cast("double")).otherwise(0.0))
-    return e.select("epoch_id", "source_id", "ch", clean.alias("samples"))
+    return e.select("epoch_id", "source_id", "ch", F.col("data").cast("array<double>").alias("samples"))
+
+
+def _blocks(spark: SparkSession, root: str) -> DataFrame:
+    """As ``_stored``, with 0 for absent and non-finite samples, which the kernels cannot take."""
+    clean = F.transform("samples", lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(0.0))
+    return _stored(spark, root).withColumn("samples", clean)
 
 
 @register()
@@ -419,7 +425,7 @@ def data_hash_blocks(spark: SparkSession, root: str) -> DataFrame:
 @register()
 def data_hash(spark: SparkSession, root: str) -> DataFrame:
     """Hash of each epoch's data, by which re-appended epochs are found."""
-    e = _blocks(spark, root).select("epoch_id", F.concat(F.lit("ch"), F.col("ch").cast("string")).alias("ch_name"), F.lit(4.0).alias("fs"), "samples")
+    e = _stored(spark, root).select("epoch_id", F.concat(F.lit("ch"), F.col("ch").cast("string")).alias("ch_name"), F.lit(4.0).alias("fs"), "samples")
     return hashing.data_hash(e, ["epoch_id"], "fs")
 
 
