@@ -38,14 +38,22 @@ def rank_score(df: DataFrame, group: list[str], value: str, tie: str) -> DataFra
     return df.withColumn("score", F.when(rank <= F.ceil(n * 0.5), 1.0).when(rank <= F.ceil(n * 0.75), 0.5).otherwise(0.0))
 
 
-def signal_scores(df: DataFrame, samples: str, sfreq: float) -> DataFrame:
+def band(df: DataFrame, samples: str, out: str, low: float, high: float, sfreq: float | str) -> DataFrame:
+    """``df`` with ``out``: the samples after a zero-phase Butterworth band-pass, null where a column of rates has none or one too low."""
+    if not isinstance(sfreq, str):
+        return mapped_rows(df.withColumn(out, F.col(samples)), out, lambda x: dsp.butter_bandpass_filter(x, low, high, sfreq))
+    return mapped_rows(df.withColumn(out, F.col(samples)), out, lambda x, fs: dsp.butter_bandpass_filter(x, low, high, fs) if high < fs / 2 else None, sfreq=sfreq)
+
+
+def signal_scores(df: DataFrame, samples: str, sfreq: float | str) -> DataFrame:
     """``df`` with ``scores``: amplitude, beta amplitude, beta energy and theta amplitude of each row's signal.
 
-    Beta is 12 to 30 Hz and theta 4 to 8 Hz by a zero-phase Butterworth band-pass.
+    Beta is 12 to 30 Hz and theta 4 to 8 Hz by a zero-phase Butterworth band-pass; ``sfreq`` is a rate or the name
+    of a column of rates. Scores of a band that the rate does not hold are null.
     """
-    beta = mapped_rows(df.withColumn("_beta", F.col(samples)), "_beta", lambda x: dsp.butter_bandpass_filter(x, 12, 30, sfreq))
-    both = mapped_rows(beta.withColumn("_theta", F.col(samples)), "_theta", lambda x: dsp.butter_bandpass_filter(x, 4, 8, sfreq))
-    parts = F.array(amplitude_score(F.col(samples)), share_below(F.col("_beta"), 20, True), energy_score(F.col("_beta")), share_below(F.col("_theta"), 30, False))
+    both = band(band(df, samples, "_beta", 12, 30, sfreq), samples, "_theta", 4, 8, sfreq)
+    known = lambda c, score: F.when(F.col(c).isNotNull(), score)
+    parts = F.array(amplitude_score(F.col(samples)), known("_beta", share_below(F.col("_beta"), 20, True)), known("_beta", energy_score(F.col("_beta"))), known("_theta", share_below(F.col("_theta"), 30, False)))
     return both.withColumn("scores", parts).drop("_beta", "_theta")
 
 

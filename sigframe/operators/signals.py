@@ -72,28 +72,38 @@ def nearest_resample(samples: Column, n_new: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n_new - 1)), lambda i: F.element_at(samples, (F.rint(i * step) + 1).cast("int")))
 
 
-def mapped_rows(df: DataFrame, samples: str, fn, element: str = "double") -> DataFrame:
+def mapped_rows(df: DataFrame, samples: str, fn, element: str = "double", sfreq: str | None = None) -> DataFrame:
     """``df`` with ``fn(matrix of equally long rows)`` applied to the arrays of ``samples`` by Arrow batches.
 
-    Rows are grouped by length within a batch; null and empty arrays stay as they are.
+    Rows are grouped by length within a batch; null and empty arrays stay as they are. With ``sfreq``, a column of
+    rates, rows are grouped by rate too and ``fn(matrix, rate)`` is called; rows without a positive rate become
+    null, as do those for which it returns None.
     """
 
+    def grouped(s: pd.Series, rate: pd.Series | None) -> pd.Series:
+        out: list = [None] * len(s)
+        groups: dict[tuple, list[int]] = {}
+        for i, a in enumerate(s):
+            if a is not None and (rate is None or rate.iloc[i] > 0):
+                groups.setdefault((len(a), None if rate is None else float(rate.iloc[i])), []).append(i)
+        for (n, fs), rows in groups.items():
+            x = np.array([np.asarray(s.iloc[i], dtype=float) for i in rows]) if n else np.zeros((len(rows), 0))
+            y = x if not n else fn(x) if fs is None else fn(x, fs)
+            for i, v in zip(rows, [None] * len(rows) if y is None else y, strict=True):
+                out[i] = v
+        return pd.Series(out)
+
     @F.pandas_udf(f"array<{element}>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
-            out: list = [None] * len(s)
-            by_length: dict[int, list[int]] = {}
-            for i, a in enumerate(s):
-                if a is not None:
-                    by_length.setdefault(len(a), []).append(i)
-            for n, rows in by_length.items():
-                x = np.array([np.asarray(s.iloc[i], dtype=float) for i in rows]) if n else np.zeros((len(rows), 0))
-                y = fn(x) if n else x
-                for i, v in zip(rows, y, strict=True):
-                    out[i] = v
-            yield pd.Series(out)
+            yield grouped(s, None)
 
-    return df.withColumn(samples, run(F.col(samples)))
+    @F.pandas_udf(f"array<{element}>")
+    def run_rated(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for s, rate in it:
+            yield grouped(s, rate)
+
+    return df.withColumn(samples, run(F.col(samples)) if sfreq is None else run_rated(F.col(samples), F.col(sfreq).cast("double")))
 
 
 def fir(df: DataFrame, rec: list[str], order: list[str], value: str, taps: list[float], out: str) -> DataFrame:
@@ -109,48 +119,70 @@ def fir(df: DataFrame, rec: list[str], order: list[str], value: str, taps: list[
     return df.withColumn(out, total)
 
 
-def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float, *, l_freq: float | None = None, h_freq: float | None = None, notch: float | None = None, order: int = 4) -> DataFrame:
+def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float | str, *, l_freq: float | None = None, h_freq: float | None = None, notch: float | None = None, order: int = 4) -> DataFrame:
     """Filtered signals of rows (keys, block, samples), blocks of one channel handled with their neighbours.
 
     ``kind`` is lowpass, highpass, bandpass (FIR, zero phase), notch, or butter (Butterworth band-pass, forward and
     backward). FIR kinds read half a filter of each neighbouring block, so that the
     result does not depend on the size of the blocks; the Butterworth filter reads both neighbours, in which its
     transients die out. Blocks of a channel are numbered by ``block``; null and empty ones become null.
+    ``sfreq`` is a rate or the name of a column of rates; a row whose rate is missing or too low for the band becomes null.
     """
     if kind not in ("lowpass", "highpass", "bandpass", "notch", "butter"):
         raise ValueError(kind)
     if kind == "notch" and not notch:
         raise ValueError("notch needs a frequency")
-    h = h_freq if h_freq is None or h_freq < sfreq / 2 else sfreq / 2 - 1
     w = Window.partitionBy(*keys).orderBy("block")
     empty = F.array().cast("array<double>")
     around = df.withColumn("_before", F.coalesce(F.lag("samples").over(w), empty)).withColumn("_after", F.coalesce(F.lead("samples").over(w), empty))
-    if kind == "butter":
-        kernel = lambda b, m, a: dsp.butter_bandpass_filter(np.concatenate([b, m, a], axis=1), l_freq, h, sfreq, order)[:, b.shape[1] : b.shape[1] + m.shape[1]]
-    else:
-        taps = dsp.firwin(kind, sfreq, l_freq=l_freq, h_freq=h, notch=notch)
+
+    def kernel_of(fs: float):
+        h = h_freq if h_freq is None or h_freq < fs / 2 else fs / 2 - 1
+        if kind == "butter":
+            return lambda b, m, a: dsp.butter_bandpass_filter(np.concatenate([b, m, a], axis=1), l_freq, h, fs, order)[:, b.shape[1] : b.shape[1] + m.shape[1]]
+        taps = dsp.firwin(kind, fs, l_freq=l_freq, h_freq=h, notch=notch)
         half = len(taps) // 2
-        kernel = lambda b, m, a: [dsp.fir_with_halo(x, y, z, taps, half) for x, y, z in zip(b, m, a, strict=True)]
+        return lambda b, m, a: [dsp.fir_with_halo(x, y, z, taps, half) for x, y, z in zip(b, m, a, strict=True)]
+
+    def holds(fs: float) -> bool:
+        top = max(f for f in (l_freq, notch, 0.0) if f is not None)
+        return fs > 0 and top < (fs / 2 if h_freq is None or h_freq < fs / 2 else fs / 2 - 1)
+
+    by_column = isinstance(sfreq, str)
 
     @F.pandas_udf("array<double>")
-    def run(before: pd.Series, mid: pd.Series, after: pd.Series) -> pd.Series:
+    def run(before: pd.Series, mid: pd.Series, after: pd.Series, rate: pd.Series) -> pd.Series:
         out: list = [None] * len(mid)
         groups: dict[tuple, list[int]] = {}
-        for i, three in enumerate(zip(before, mid, after, strict=True)):
-            if three[1] is not None and len(three[1]):
-                groups.setdefault(tuple(map(len, three)), []).append(i)
-        for shape, rows in groups.items():
+        for i, (b, m, a, fs) in enumerate(zip(before, mid, after, rate, strict=True)):
+            if m is not None and len(m) and (holds(fs) or not by_column):
+                groups.setdefault((float(fs), len(b), len(m), len(a)), []).append(i)
+        for (fs, *shape), rows in groups.items():
             parts = [np.array([np.asarray(s.iloc[i], float) for i in rows]).reshape(len(rows), n) for s, n in zip((before, mid, after), shape, strict=True)]
-            for i, v in zip(rows, kernel(*parts), strict=True):
+            for i, v in zip(rows, kernel_of(fs)(*parts), strict=True):
                 out[i] = v
         return pd.Series(out)
 
-    return around.withColumn("samples", run("_before", "samples", "_after")).drop("_before", "_after")
+    fs = F.col(sfreq).cast("double") if by_column else F.lit(float(sfreq))
+    return around.withColumn("samples", run("_before", "samples", "_after", fs)).drop("_before", "_after")
+
+
+def welch(df: DataFrame, samples: str, sfreq: float | str, nperseg: int = 1024, unified: float | None = None) -> DataFrame:
+    """``df`` with the power spectral density of ``samples`` (Hann windows, half overlap) in their place.
+
+    ``sfreq`` is a rate or the name of a column of rates. With ``unified``, signals are brought to that rate first and
+    all spectra have the bins of ``nperseg`` samples of it, so that bins of different rates can be averaged.
+    """
+    if not isinstance(sfreq, str):
+        return mapped_rows(df, samples, lambda x: dsp.welch(x, sfreq, nperseg)[1])
 
+    def kernel(x: np.ndarray, fs: float) -> np.ndarray:
+        if unified is None:
+            return dsp.welch(x, fs, nperseg)[1]
+        n = max(1, round(x.shape[-1] * unified / fs))
+        return dsp.welch(x if n == x.shape[-1] else dsp.resample(x, n), unified, nperseg, nfft=nperseg)[1]
 
-def welch(df: DataFrame, samples: str, sfreq: float, nperseg: int = 1024) -> DataFrame:
-    """``df`` with the power spectral density of ``samples`` (Hann windows, half overlap) in their place."""
-    return mapped_rows(df, samples, lambda x: dsp.welch(x, sfreq, nperseg)[1])
+    return mapped_rows(df, samples, kernel, sfreq=sfreq)
 
 
 def ica(df: DataFrame, keys: list[str], n_components: int | None = None, seed: int = 0) -> DataFrame:

@@ -266,25 +266,38 @@ def _blocks(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, root).withColumn("samples", clean)
 
 
+def _rates(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "sources").select("source_id", "sfreq")
+
+
+def _rated(spark: SparkSession, root: str) -> DataFrame:
+    """As ``_blocks``, with the rate of each epoch's source, null where that is not known."""
+    return _blocks(spark, root).join(_rates(spark, root), "source_id", "left")
+
+
 @register()
 def psd_mean(spark: SparkSession, root: str) -> DataFrame:
-    """Mean spectrum of each channel over all epochs."""
-    p = signals.welch(_blocks(spark, root), "samples", 250.0, 64)
+    """Mean spectrum of each channel over all epochs whose rate is known, at the lowest of their rates; bin k is k/64 of it."""
+    low = table(spark, root, "epochs").select("source_id").join(_rates(spark, root).where("sfreq > 0"), "source_id").agg(F.min("sfreq")).first()[0]
+    p = signals.welch(_rated(spark, root), "samples", "sfreq", 64, unified=low)
     return p.select("ch", F.posexplode("samples").alias("bin", "density")).groupBy("ch", "bin").agg(F.avg("density").alias("density"), F.count(F.lit(1)).alias("n"))
 
 
 @register()
 def psd_bands(spark: SparkSession, root: str) -> DataFrame:
-    """Band powers of every epoch and channel."""
-    freqs, _ = dsp.welch([0.0] * 64, 250.0, 64)
-    bands = signals.mapped_rows(_blocks(spark, root), "samples", lambda x: dsp.band_power(freqs, dsp.welch(x, 250.0, 64)[1]))
+    """Band powers of every epoch and channel at its own rate; spectra are padded so that each band has bins at any rate."""
+    def powers(x, fs):
+        freqs, p = dsp.welch(x, fs, 64, nfft=2048)
+        return dsp.band_power(freqs, p)
+
+    bands = signals.mapped_rows(_rated(spark, root), "samples", powers, sfreq="sfreq")
     return bands.select("epoch_id", "ch", *[F.col("samples")[i].alias(b) for i, b in enumerate(dsp.BANDS)])
 
 
 @register()
 def butterworth_filter(spark: SparkSession, root: str) -> DataFrame:
-    """Deviation of each channel of each epoch after an 8 to 13 Hz band-pass."""
-    out = signals.filter_blocks(_blocks(spark, root).withColumn("block", F.lit(0)), ["epoch_id", "ch"], "butter", 250.0, l_freq=8, h_freq=13)
+    """Deviation of each channel of each epoch after an 8 to 13 Hz band-pass at its own rate."""
+    out = signals.filter_blocks(_rated(spark, root).withColumn("block", F.lit(0)), ["epoch_id", "ch"], "butter", "sfreq", l_freq=8, h_freq=13)
     return out.select("epoch_id", "ch", F.round(signals.array_std(F.col("samples")), 6).alias("std"))
 
 
@@ -331,8 +344,8 @@ def amp_rank_score(spark: SparkSession, root: str) -> DataFrame:
 @register()
 def quality_shady(spark: SparkSession, root: str) -> DataFrame:
     """Mean of the four scores of each channel of each epoch, averaged per source."""
-    s = quality.signal_scores(_blocks(spark, root), "samples", 250.0)
-    return s.groupBy("source_id").agg(F.round(F.avg(signals.array_mean(F.col("scores"))), 4).alias("score"), F.count(F.lit(1)).alias("channels"))
+    s = quality.signal_scores(_rated(spark, root), "samples", "sfreq")
+    return s.groupBy("source_id").agg(F.round(F.avg(signals.array_mean(F.filter("scores", lambda x: x.isNotNull()))), 4).alias("score"), F.count(F.lit(1)).alias("channels"))
 
 
 # ---------------------------------------------------------------------------- store

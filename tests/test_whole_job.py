@@ -76,3 +76,43 @@ def test_components_of_other_channels_outlast_an_extreme_one():
     x = np.random.default_rng(5).normal(size=(4, 64))
     x[1, 7] = 3e38
     assert len(dsp.fast_ica(x)) == 4
+
+
+@pytest.fixture(scope="module")
+def two_rates(spark, tmp_path_factory):
+    """The same 10 Hz wave recorded at 128 and at 256 Hz, and a source without rate."""
+    folder = str(tmp_path_factory.mktemp("rates"))
+    wave = lambda fs: [[float(np.float32((c + 1) * 5 * math.sin(2 * math.pi * 10 * i / fs))) for i in range(64)] for c in range(4)]
+    rows = [(1, 0, wave(128)), (2, 1, wave(256)), (3, 2, wave(128))]
+    _epochs(spark, folder, rows)
+    spark.createDataFrame([(0, 128.0), (1, 256.0), (2, None)], "source_id int, sfreq double").coalesce(1).write.parquet(f"{folder}/sources.parquet")
+    spark.createDataFrame([(i, n, "eeg") for i, n in enumerate(["C3", "C4", "P3", "P4"])], "ordinal int, name string, type string").coalesce(1).write.parquet(f"{folder}/channels.parquet")
+    return folder, {e: (np.array(d, np.float32).astype(float), {1: 128.0, 2: 256.0, 3: None}[e]) for e, _, d in rows}
+
+
+def test_spectra_are_at_the_rate_of_each_source(spark, two_rates):
+    folder, data = two_rates
+    got = {(r.epoch_id, r.ch): r for r in QUERIES["psd_bands"](spark, folder).collect()}
+    assert len(got) == 12
+    for (e, c), r in got.items():
+        x, fs = data[e]
+        if fs is None:
+            assert r.alpha is None
+            continue
+        assert r.alpha > max(r.theta, r.beta)
+        f, p = dsp.welch(x[c], fs, 64, nfft=2048)
+        assert r.alpha == pytest.approx(p[0, (f >= 8) & (f < 13)].mean())
+    mean = {(r.ch, r.bin): r for r in QUERIES["psd_mean"](spark, folder).collect()}
+    assert {b for _, b in mean} == set(range(33)) and {r.n for r in mean.values()} == {2}
+    for c in range(4):
+        want = (dsp.welch(data[1][0][c], 128.0, 64)[1][0] + dsp.welch(dsp.resample(data[2][0][c], 32), 128.0, 64, nfft=64)[1][0]) / 2
+        assert [mean[c, b].density for b in range(33)] == pytest.approx(list(want))
+        assert max(range(33), key=lambda b: mean[c, b].density) == 5
+
+
+def test_band_pass_is_at_the_rate_of_each_source(spark, two_rates):
+    folder, data = two_rates
+    for r in QUERIES["butterworth_filter"](spark, folder).collect():
+        x, fs = data[r.epoch_id]
+        want = None if fs is None else pytest.approx(dsp.butter_bandpass_filter(x[r.ch], 8, 13, fs).std(), abs=2e-6)
+        assert r["std"] == want
