@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,51 @@ def signal_scores(df: DataFrame, samples: str, sfreq: float | str) -> DataFrame:
     return both.withColumn("scores", parts).drop("_beta", "_theta")
 
 
+def signal_score(df: DataFrame, keys: list[str], name: str, side: str, samples: str, sfreq: float | str) -> DataFrame:
+    """(keys, score, channels) of recordings of rows (keys, name, side, samples): the mean of their scores.
+
+    The four scores of ``signal_scores`` are means over the channels. Where ``side`` (as ``hemisphere`` gives it) is
+    known for all channels, two come in addition: the rank of the largest alpha amplitudes (8 to 12 Hz) over the midline channels and
+    the symmetry of the dominant alpha frequencies of left and right channels, paired in order of ``name``. A score
+    that is not defined (no midline channel, no band at the rate, no two differing frequencies for the correlation)
+    is left out of the mean.
+    """
+    scored = band(signal_scores(df, samples, sfreq), samples, "_alpha", 8, 12, sfreq)
+    fs = F.col(sfreq).cast("double") if isinstance(sfreq, str) else F.lit(float(sfreq))
+    scored = scored.withColumns({"_name": F.col(name), "_side": F.col(side), "_fs": fs})
+    dominant = mapped_rows(scored, "_alpha", lambda x, r: dsp.dominant_frequency(x, r)[:, None], sfreq="_fs")
+    row = F.struct("_name", "_side", F.get("_alpha", F.lit(0)).alias("_freq"))
+    one = dominant.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("c"), *[F.avg(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(4)])
+
+    @F.pandas_udf("double")
+    def mean(four: pd.Series, sides: pd.Series, freqs: pd.Series) -> pd.Series:
+        out = []
+        for f, *rest in zip(four, sides, freqs, strict=True):
+            known = [v for v in np.asarray(f, float) if not np.isnan(v)] + _further(*rest)
+            out.append(float(np.mean(known)) if known else None)
+        return pd.Series(out, dtype=object)
+
+    score = mean(F.array("s0", "s1", "s2", "s3"), F.col("c._side"), F.col("c._freq"))
+    return one.select(*keys, score.alias("score"), F.size("c").alias("channels"))
+
+
+def _further(sides, freqs) -> list[float]:
+    """Alpha rank and symmetry of a recording's channels, those of them that are defined.
+
+    The ranks 1, 0.5 and 0 go to fixed shares of the midline channels, so that their mean depends on the number only.
+    """
+    sides, freqs = np.asarray(sides, object), np.asarray(freqs, float)
+    if any(s is None or s == "other" for s in sides) or np.isnan(freqs).any():
+        return []
+    out = []
+    if n := int((sides == "midline").sum()):
+        out.append(100 * (int(n * 0.5) + 0.5 * (int(n * 0.75) - int(n * 0.5))) / n)
+    left, right = freqs[sides == "left"], freqs[sides == "right"]
+    if len(left) == len(right) and len(left) > 1 and np.std(left) > 0 and np.std(right) > 0:
+        out.append(float(100 * abs(np.corrcoef(left, right)[0, 1])))
+    return out
+
+
 def symmetry_score(left: np.ndarray, right: np.ndarray, sfreq: float) -> float:
     """100 times the magnitude of the correlation of the dominant frequencies of paired channels, 0 where undefined."""
     a, b = dsp.dominant_frequency(left, sfreq), dsp.dominant_frequency(right, sfreq)

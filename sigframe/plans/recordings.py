@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.functions import dsp
-from sigframe.operators import batch, events, hashing, quality, signals, store
+from sigframe.operators import batch, channels, events, hashing, quality, signals, store
 from sigframe.plans.registry import Registry
 from sigframe.session import scratch_path, table
 from sigframe.sources.timeseries import infer_rate
@@ -343,9 +343,10 @@ def amp_rank_score(spark: SparkSession, root: str) -> DataFrame:
 
 @register()
 def quality_shady(spark: SparkSession, root: str) -> DataFrame:
-    """Mean of the four scores of each channel of each epoch, averaged per source."""
-    s = quality.signal_scores(_rated(spark, root), "samples", "sfreq")
-    return s.groupBy("source_id").agg(F.round(F.avg(signals.array_mean(F.filter("scores", lambda x: x.isNotNull()))), 4).alias("score"), F.count(F.lit(1)).alias("channels"))
+    """Mean of the scores of each epoch over all its channels, averaged per source."""
+    names = table(spark, root, "channels").select(F.col("ordinal").alias("ch"), "name", channels.hemisphere(F.col("name")).alias("side"))
+    s = quality.signal_score(_rated(spark, root).join(F.broadcast(names), "ch", "left"), ["source_id", "epoch_id"], "name", "side", "samples", "sfreq")
+    return s.groupBy("source_id").agg(F.round(F.avg("score"), 4).alias("score"), F.sum("channels").alias("channels"))
 
 
 # ---------------------------------------------------------------------------- store

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from sigframe.functions import dsp
+from sigframe.operators import quality
 
 QUERIES = entry.queries()
 EPOCHS = "epoch_id bigint, source_id int, epoch_data array<array<float>>"
@@ -116,3 +117,24 @@ def test_band_pass_is_at_the_rate_of_each_source(spark, two_rates):
         x, fs = data[r.epoch_id]
         want = None if fs is None else pytest.approx(dsp.butter_bandpass_filter(x[r.ch], 8, 13, fs).std(), abs=2e-6)
         assert r["std"] == want
+
+
+def test_quality_counts_symmetry_where_all_channels_are_classified(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    data = np.float32(np.cumsum(rng.normal(size=(4, 64)) * 20, axis=1)).astype(float)
+    _epochs(spark, str(tmp_path), [(1, 0, data.tolist())])
+    spark.createDataFrame([(0, 128.0)], "source_id int, sfreq double").coalesce(1).write.parquet(f"{tmp_path}/sources.parquet")
+    x, fs = data, 128.0
+    beta, theta, alpha = (dsp.butter_bandpass_filter(x, a, b, fs) for a, b in ((12, 30), (4, 8), (8, 12)))
+    high = np.where(np.abs(beta) > 0.01 * np.abs(beta).max(axis=1, keepdims=True), np.abs(beta), 0).sum(axis=1) / np.abs(beta).sum(axis=1)
+    within = ((x >= -1000) & (x <= 1000)).sum(axis=1)
+    four = [np.mean(100 * ((x >= -100) & (x < 110)).sum(axis=1) / within), 100 * np.mean(np.abs(beta) <= 20), 100 * high.mean(), 100 * np.mean(theta <= 30)]
+    freq = dsp.dominant_frequency(alpha, fs)
+    for names, more in (
+        (["C3", "C4", "P3", "P4"], [quality.symmetry_score(alpha[[0, 2]], alpha[[1, 3]], fs)] if freq[0] != freq[2] and freq[1] != freq[3] else []),
+        (["C3", "C4", "Cz", "Pz"], [50.0]),
+        (["C3", "C4", "X1", "P4"], []),
+    ):
+        spark.createDataFrame([(i, n, "eeg") for i, n in enumerate(names)], "ordinal int, name string, type string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/channels.parquet")
+        got = QUERIES["quality_shady"](spark, str(tmp_path)).first()
+        assert got.channels == 4 and got.score == pytest.approx(np.mean(four + more), abs=1e-3)
