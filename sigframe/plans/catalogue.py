@@ -142,7 +142,9 @@ def report_file_type(spark: SparkSession, root: str) -> DataFrame:
 
 @register(_share("rate", "cast(sfreq as bigint)").replace("from rec)", "from rec where sfreq between 0 and 1e6)", 1))
 def report_rate(spark: SparkSession, root: str) -> DataFrame:
-    return catalog.share_report(recordings(spark, root).where("sfreq between 0 and 1e6"), F.rint("sfreq").cast("bigint"), "rate")
+    """Shares of all recordings; missing and implausible rates are groups of their own."""
+    whole = F.when(F.abs("sfreq") < 1e18, F.rint("sfreq").cast("bigint").cast("string")).otherwise(F.col("sfreq").cast("string"))
+    return catalog.share_report(recordings(spark, root), whole, "rate")
 
 
 @register(_share("configuration", "'configuration ' || n_channels"))

@@ -138,3 +138,11 @@ def test_quality_counts_symmetry_where_all_channels_are_classified(spark, tmp_pa
         spark.createDataFrame([(i, n, "eeg") for i, n in enumerate(names)], "ordinal int, name string, type string").coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/channels.parquet")
         got = QUERIES["quality_shady"](spark, str(tmp_path)).first()
         assert got.channels == 4 and got.score == pytest.approx(np.mean(four + more), abs=1e-3)
+
+
+def test_report_rate_counts_every_recording(spark, root):
+    total = spark.read.parquet(f"{root}/locator.parquet").count()
+    rows = QUERIES["report_rate"](spark, root).where("domain is null").collect()
+    assert sum(r.n for r in rows) == total
+    assert any(r.rate is None for r in rows)
+    assert all(r.percent == pytest.approx(100 * r.n / total, abs=0.0051) for r in rows)
