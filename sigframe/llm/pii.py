@@ -1,16 +1,19 @@
 """Personal information inside free text: e-mail addresses, phone and identity numbers, street addresses, names.
 
-Method: a semi-Markov conditional random field. Whole spans are scored by features of the span
-and its surroundings; a dynamic programme over the bounded spans of a text chooses boundaries and types
-jointly. Text outside all spans scores 0, so the programme runs only where spans
-can begin or end; the spans that can score above 0 at all are found by anchors (an at sign, a run of
-digits, a street word, a given name, an initial, two capitalised words).
-
-The weights are fitted by ``sigframe.llm.pii_train`` on labelled sentences and kept in ``pii_weights``.
+Method: a semi-Markov conditional random field of order one. Whole spans are scored by features of the span and
+of its surroundings, neighbouring entities by features of their types and the gap between them; a dynamic
+programme over the bounded spans of a text chooses boundaries and types jointly. Text outside all spans scores 0, so the
+programme runs only over spans that may be entities: every bounded run of capitalised words, initials and particles (in
+all its parts, reversed with a comma as well), pairs of small-written rare words, digit groups, codes, at signs, and numbers beside street words.
+
+The model knows no list of persons. Whether a word may be part of a name is judged by its shape, its affixes and its
+rarity in the vocabularies of public tokenizers (a path, read on every executor); the words around count by learnt weights.
+The weights are fitted by ``sigframe.llm.pii_train`` on generated, labelled sentences and kept in ``pii_weights``.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -24,35 +27,32 @@ from pyspark.sql import functions as F
 KINDS = ("email", "phone", "identity", "address", "name")
 #: A span longer than this is no entity.
 MAX_SPAN = 160
+#: Two entities closer than this are neighbours.
+NEAR = 32
+#: Vocabulary of a word-level tokenizer: how common a lower-case word is.
+WORDS_PATH = "/opt/tokenizers/word_bpe_49k.json"
+#: Ranks of a byte-level tokenizer for many languages, for the same purpose.
+MULTI_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 # ------------------------------------------------------------------------- fixed values
-#: Given names (lower case).
-GIVEN = """
-amadis amélie-rose anke benno catrin dario emrys gaspard hale ilka ivo joris jürn keno liora lorcan maelle maëlle mirela
-nerea oriane oskár oskar petronel rufo selwyn solvi sølvi sunniva teodor tilda tobin wiebke yselt zdenka
-anna maria john mary peter paul thomas michael david sarah laura julia jan jonas lukas emma sophie marie pierre jean luc
-claire camille hugo léa carlos josé juan pedro lucía carmen elena sofia pablo miguel hans karl heinrich greta ingrid lars
-erik nils astrid olga ivan nina jakob moritz felix clara helena robert james william george alice martin daniel simon andrea
-""".split()
-#: Words that make an ending of a family name probable.
-FAMILY_ENDINGS = """
-ard ault by gate hall ienko iger in ín ington ler low mere anto opoulis ovec qvist rand stadt stad wick wieser
-son sen ez ski sky ova ström berg mann meier bauer stein dahl lund owski enko idis oulos
-""".split()
-PARTICLES = r"(?:von der|von|van der|van den|van|de la|de las|de los|del|de|di|da|al|el|le|la|ter|zu|af|ben|bin|o')"
-#: Words of the domain and of addresses that are capitalised like names but are none.
-NOT_NAMES = """
-left right night mastoid two one quantar lumen polyscope unit head box hann butterworth window filter welch fourier hilbert
-street avenue lane drive court road reach blvd boulevard ferry old west east north south suite apt participant subject session
-im am an in auf mit nach für bei die der das den ein eine the as if no el la los las le les des un une du en por
-run note block channel channels overview known problems changes events units preparation contact licence dear best regards hello
-""".split()
+#: Particles of family names.
+PARTICLES = "von van de del della di da dos du la las los der den ter ten zu zur af av ben bin ibn al el le".split()
+#: Function words of English, German, French and Spanish by class; none of them is part of a name unless it is a particle.
+CLOSED = {
+    "det": "the a an this that these those der die das dem den ein eine einen einem einer kein keine le la les un une des cet cette ces el los las una unos unas este esta".split(),
+    "prep": "by from with of to for at in on near via against after before during since until per von mit bei für nach aus zu zum zur im am an auf unter vor par pour avec chez selon dans sur por para con según en entre sin desde hasta laut gemäß".split(),
+    "conj": "and or but und oder aber et ou mais y o e pero sowie &".split(),
+    "title": "mr mrs ms miss dr prof sir frau herr herrn fräulein mme mlle m sr sra srta don doña professor doctor nurse".split(),
+    "pron": "i we you he she it they who all each both wir sie er es ich ihr man alle nous vous il elle ils on je tous yo él ella ellos nosotros".split(),
+    "adv": "as if no not when while if then so please also zwei drei two three one four hi hello dear hallo bonjour hola liebe lieber bitte nicht wenn cher chère estimado estimada".split(),
+}
 STREET_WORDS = {
     "en": "street avenue blvd boulevard court lane drive reach road rd square terrace way place close crescent".split(),
     "de": "straße strasse str. gasse allee weg platz ring ufer damm".split(),
     "fr": "rue avenue boulevard bd chemin place quai allée impasse cours".split(),
     "es": "calle c/ paseo avda avenida plaza camino carrera ronda".split(),
 }
+#: What identity numbers are called.
 _LABEL = re.compile(
     r"(?:passports?|passeport|pasaporte|reisepass(?:nr)?|pass-?nr|identity (?:number|no|card)|id (?:number|no|card)|mrn|national id|patient id|patient(?:en)?-?(?:nr|nummer|number)|"
     r"social security(?: (?:number|no))?|ssn|insurance (?:number|no)|ausweis-?(?:nr|nummer)?|personalausweis(?:nummer)?|versicherten-?(?:nummer|nr)|versicherungs-?(?:nummer|nr)|"
@@ -61,32 +61,16 @@ _LABEL = re.compile(
     r"[\s.:#№°º)-]{0,4}(?:n(?:o|r|°|º|um(?:ber)?)?[.:º°]?\s{0,2})?$",
     re.IGNORECASE,
 )
-_NO_LABEL = re.compile(r"(?:serial|part number|part no\.?|ticket|sample(?: index)?|index|version|release|firmware|nummer|numéro|amplificador|amplifier|order|block|samples?|von|le|el|am|:)\s*$", re.IGNORECASE)
-_CALL = re.compile(r"(?:phone|tel(?:\.|:|efon\w*)?|call|ring|under|unter|reach|rings?,|alarm|alarme|alarma|dial|mobile|fax|appeler le|composer le|llamar al|marcar el|handy|contact|[|,])[ :]*$", re.IGNORECASE)
-_WHERE = re.compile(r"(?:\bto|\bat|\bin|lives at|delivered to|caps to|taxi to|\ban|nähe \(|steht|wohnt|au|habite|à|\ba|vive en|,|^|\n|en)\s*$", re.IGNORECASE)
-_WHO = re.compile(
-    r"(?:\b(?:by|from:?|with|of|met|and|und|et|y|to|contact ?:|contacto:|ansprechpartner:|operator:|von|frau|herrn?|dr\.|prof\.|mr\.?|mrs\.?|ms\.?|selon|según|laut|par|por|dirigió|field|rater:?|requested by|signed by|comment':|cc|mme|m\.|sra\.|sr\.)|[('\"|,:])\s*['\"(]?$",
-    re.IGNORECASE,
-)
-_NEXT = re.compile(r"\s*(?:noticed|signed|was|war|était|tenía|asked|answers|said|[;,)<|'.\n]|$|and\b|for the|on \d|am \d|liegt|et\b|y\b|is\b|wrote|copied)", re.IGNORECASE)
 
 # ------------------------------------------------------------------------- anchors
 _SPELT_AT = re.compile(r" ?\(at\) ?| ?\[at\] ?| at (?=[\w-]+(?:(?:\.| dot )[\w-]+){0,3} dot \w)", re.IGNORECASE)
 _LOCAL = re.compile(r"[\w.+-]*\w$")
 _DOMAIN = re.compile(r"\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}(?![\w@])")
 _DOMAIN_SPELT = re.compile(r"\w[\w-]*(?:(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )\w[\w-]*)*(?:\.| ?\[dot\] ?| ?\(dot\) ?| dot )[^\W\d_]{2,}", re.IGNORECASE)
-_DIGITS = re.compile(r"[+(\d](?:[ ./()-]{0,2}\d){7,16}(?:[-]?[A-Z]\b)?")
+_DIGITS = re.compile(r"[+(\d](?:(?:[ ./-]| ?\(|\)[ ./-]?)?\d){7,16}(?:[-]?[A-Z]\b)?")
 _EXT = re.compile(r"\s?(?:ext\.?|x|extension|durchwahl|poste|ext)\s?\d{1,5}\b", re.IGNORECASE)
-_CODE = re.compile(r"[A-Z]\d[A-Z0-9]{5,11}(?![\w-])")
+_CODE = re.compile(r"[A-Z]{1,3}\d[A-Z0-9]{5,11}(?![\w-])")
 _DATE = re.compile(r"(?:\d{4}[-./]\d\d?[-./]\d\d?|\d\d?[-./]\d\d?[-./]\d{4}|(?:19|20)\d\d[01]\d[0-3]\d)(?!\d)")
-_FAMILY_PART = r"[^\W\d_][^\W\d_'’]+"
-_FAMILY = rf"(?:{_FAMILY_PART}(?:-{_FAMILY_PART}){{0,2}})"
-_FORWARD = re.compile(rf" {{1,3}}(?:([^\W\d_])\.? {{1,3}})?((?:{PARTICLES}(?: {{1,3}}|(?<='))|al-|el-)?)({_FAMILY})", re.IGNORECASE)
-_BACKWARD = re.compile(rf"(?:(?<=[\s('\"|,:;>])|^)((?:{PARTICLES} {{1,3}}|al-|el-)?)({_FAMILY}), {{1,3}}$", re.IGNORECASE)
-_INITIAL = re.compile(rf"[A-ZÀ-Ý]\. {{1,3}}((?:{PARTICLES} {{1,3}}|al-)?)([A-ZÀ-Ý][^\W\d_'’]+(?:-{_FAMILY_PART})?)")
-_COMMA_INITIAL = re.compile(r", {1,3}[A-ZÀ-Ý]\.(?!\w)")
-_REV_FAMILY = re.compile(rf"(?:(?<=[\s('\"|:;>])|^)((?:{PARTICLES} {{1,3}}|al-)?)([A-ZÀ-Ý][^\W\d_'’]{{2,}}(?:-{_FAMILY_PART})?)$")
-_BIGRAM = re.compile(r"([A-ZÀ-Ý][a-zß-ÿ]+(?:-[A-ZÀ-Ý][a-zß-ÿ]+)?)(?: [A-Z]\.)? {1,3}([A-ZÀ-Ý][a-zß-ÿ]{3,}(?:-[A-ZÀ-Ý][a-zß-ÿ]+)?)(?![\w@-])")
 _EN_BEFORE = re.compile(r"(?<![\w.-])(\d{1,5}[a-z]?) ((?:[^\W\d_](?:\. |[\w'’-]* )){1,3})$", re.IGNORECASE)
 _DE_PREPOSITION = re.compile(r"(?:Am|An der|An den|Im|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der|In der) [A-ZÄÖÜ][\wäöüß-]+ \d{1,3} ?[a-z]?(?![\w:.])")
 _EN_UNIT = re.compile(r"\.?(?:,? (?:suite|apt\.?|unit|floor|room|flat|#) ?\w{1,5}\b)?", re.IGNORECASE)
@@ -96,70 +80,274 @@ _FR_AFTER = re.compile(r" (?:(?:de la|de l'|des|du|de|d')\s?)?[^\W\d_][\w'’-]+
 _ES_AFTER = re.compile(r"\.? (?:(?:de la|de los|de las|del|de) )?[^\W\d_][\w'’-]+(?: (?:de |del )?[^\W\d_][\w'’-]+){0,2}?,? (?:n\.?º ?|núm\.? ?|no\. ?)?(\d{1,4})(?![\d:])(?:, (?:bajo|\d\.?º ?[A-Z]?\b|piso \d))?", re.IGNORECASE)
 
 
+
 @lru_cache(1)
 def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
     words: dict[str, tuple] = {}
-    for g in GIVEN:
-        words[g] = ("given", len(g), ())
     for lang, ws in STREET_WORDS.items():
         for w in ws:
-            old = words.get(w, ("street", len(w), ()))
-            words[w] = ("street", len(w), (*old[2], lang))
+            words[w] = (len(w), (*words.get(w, (0, ()))[1], lang))
     for w, v in words.items():
         a.add_word(w, v)
     a.make_automaton()
     return a
 
 
-_ENDINGS = tuple(sorted(set(FAMILY_ENDINGS), key=len, reverse=True))
-_NOT_NAMES, _GIVEN = frozenset(NOT_NAMES), frozenset(GIVEN)
+_SEP = r" {1,3}"
+_PARTICLE = rf"(?:{'|'.join(PARTICLES)})"
+_JOINED = r"(?:-(?:[A-Z]['’])?[^\W\d_]{2,}){0,2}(?![\w@-])"
+_TITLED = rf"[A-ZÀ-ÖØ-Þ](?:(?:[^\W\d_]+(?:['’][^\W\d_]{{2,}})?|['’][^\W\d_]{{2,}}){_JOINED}|\.(?!\w))"
+_UNIT = rf"(?:[a-z]{{1,3}}[-'’])?{_TITLED}"
+_RUN = re.compile(rf"{_TITLED}(?:,?{_SEP}(?:{_PARTICLE}{_SEP}){{0,2}}{_UNIT})+")
+_LEAD = re.compile(rf"(?:(?<![\w@.+/-]){_PARTICLE}{_SEP}){{1,2}}$|(?<![\w@.+/-])(?:{_PARTICLE}{_SEP})?[a-z]{{1,3}}[-'’]$")
+_PIECE = re.compile(r"(,?)( *)([^\s,]+)")
+_EDGES = ".,;:!?()[]{}<>|\"'*“”„«»…=#"
+#: At most so many words of a run are looked at together, and make one name.
+MAX_UNITS = 5
+
+
+@lru_cache(1)
+def _vocabulary() -> tuple[dict[str, int], frozenset[str], frozenset[str]]:
+    """Rank of lower-case words, and the words that a multilingual vocabulary has small and capitalised."""
+    import base64
+
+    with open(WORDS_PATH, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    rank = {w[:-4]: i for w, i in vocab.items() if w.endswith("</w>") and w[:-4].isalpha()}
+    small, title = set(), set()
+    with open(MULTI_PATH, "rb") as f:
+        for line in f:
+            t = base64.b64decode(line.split()[0]) if line.strip() else b""
+            if t[:1] == b" " and len(t) > 2:
+                w = t[1:].decode("utf-8", "ignore")
+                if w.isalpha():
+                    (small if w.islower() else title).add(w)
+    return rank, frozenset(small), frozenset(title)
+
+
+_CLASS = {w: c for c, ws in reversed(CLOSED.items()) for w in ws}
+_PARTICLE_SET = frozenset(PARTICLES)
+
+
+def _common(word: str) -> str:
+    """How common a lower-case word is: ``top``, ``known``, ``seldom`` or ``rare``; ``proper`` if only its capitalised form is known."""
+    rank, small, title = _vocabulary()
+    r = rank.get(word, 99_999)
+    if r < 6_000 or word in small and r < 49_408:
+        return "top"
+    if word in small:
+        return "known"
+    if word.title() in title:
+        return "proper"
+    return "known" if r < 20_000 else "seldom" if r < 49_408 else "rare"
+
+
+_ORDER = ("rare", "seldom", "proper", "known", "top")
+
+
+@lru_cache(300_000)
+def _word(word: str, slot: str) -> tuple[str, ...]:
+    """Features of one word of a name; ``slot`` is g (given), f (family) or m (between them)."""
+    low = word.lower()
+    parts = [p for p in re.split(r"[-'’]", low) if p]
+    f = [slot + ":" + ("U" if word.isupper() else "T" if word[:1].isupper() else "p" if word[:2].islower() and any(map(str.isupper, word)) else "l")]
+    f.append(f"{slot}:c={min((_common(p) for p in parts if len(p) > 2), key=_ORDER.index, default='rare') if len(parts) > 1 else _common(low)}")
+    if low in _CLASS:
+        f += [f"{slot}:closed", f"{slot}:{_CLASS[low]}"]
+    last = parts[-1] if parts else low
+    f += [f"{slot}:2={last[-2:]}", f"{slot}:3={last[-3:]}", f"{slot}:n={min(len(last), 9)}"]
+    if len(parts) > 1:
+        f.append(slot + ":joined")
+    return tuple(f)
 
 
-@lru_cache(200_000)
-def _family_features(family: str) -> tuple[str, ...]:
-    low = family.lower()
-    parts = low.split("-")
+_OPEN = "'\"(<[|„“‘«*"
+
+
+@lru_cache(300_000)
+def _before(tail: str) -> tuple[str, ...]:
+    """Features of what stands before a span on its line; ``tail`` ends at the span."""
     f = []
-    if all(p.endswith(_ENDINGS) for p in parts):
-        f.append("family_ending")
-    if any(p in _NOT_NAMES for p in parts):
-        f.append("not_name")
-    if len(low) < 4:
-        f.append("family_short")
-    f.append("upper" if family.isupper() else "title" if family[:1].isupper() else "lower")
+    t = tail.rstrip(" ")
+    while t and t[-1] in _OPEN:
+        if not f:
+            f.append("p:open" + t[-1])
+        t = t[:-1].rstrip(" ")
+    typed = t.split()
+    if not typed:
+        return (*f, "p:line")
+    words = [w.lower() for w in typed[-2:]]
+    one = re.sub(r"\d", "0", words[-1].lstrip(_OPEN))
+    core = one.rstrip(".:;,!?)'\"")
+    if one[-1:] in ".:;,!?)":
+        f.append("p:" + one[-1])
+        if one[-1] == ".":
+            f.append("p:stop=" + typed[-1].lstrip(_OPEN)[: len(core)] if len(core) < 5 else "p:stop")
+    kind = _CLASS.get(core)
+    if kind == "title" and typed[-1].islower() and len(core) < 4:  # ms and m are units as well
+        kind = None
+    if kind:
+        f.append("p:class=" + kind)
+    f.append("p=" + one)
+    if core.isalpha():
+        if kind is None:
+            f += ["p:2=" + core[-2:], "p:word"]
+    else:
+        f.append("p:sign")
+    if len(words) > 1:
+        f.append("pp=" + re.sub(r"\d", "0", words[-2].lstrip(_OPEN)) + " " + one)
+    return tuple(f)
+
+
+@lru_cache(300_000)
+def _after(tail: str) -> tuple[str, ...]:
+    """Features of what stands behind a span; ``tail`` begins there."""
+    c = tail[:1]
+    if not c or c == "\n":
+        return ("n:line",)
+    if c != " ":
+        return ("n:" + ("letter" if c.isalnum() else c),) + (("n:glued",) if c in "@-_/.'’" and tail[1:2].isalnum() else ())
+    t = tail.lstrip(" ")
+    if not t or t[0] == "\n":
+        return ("n:line",)
+    if not t[0].isalnum():
+        return ("n:" + t[0], "n:spaced")
+    word = re.match(r"\w+", t)[0]
+    low = word.lower()
+    f = ["n=" + re.sub(r"\d", "0", low)]
+    if low in _CLASS:
+        f.append("n:class=" + _CLASS[low])
+    else:
+        f.append("n:cap" if word[0].isupper() else "n:digit" if word[0].isdigit() else "n:word")
+        if word.isalpha():
+            f.append("n:2=" + low[-2:])
     return tuple(f)
 
 
-def _name(text: str, start: int, end: int, given: str | None, family: str, particle: str, form: str) -> tuple:
-    f = ["bias", form, *_family_features(family)]
+def _around(text: str, start: int, end: int) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]:
+    a = max(text.rfind("\n", max(0, start - NEAR), start) + 1, start - NEAR, 0)
+    before, after = _before(text[a:start]), _after(text[end : end + 20])
+    line: tuple[str, ...] = ()
+    if before[-1] == "p:line" and len(before) == 1 and (a == 0 or text[a - 1] == "\n") and after[0] == "n:line":
+        above = text[max(0, a - 40) : max(a - 1, 0)].rstrip()
+        line = ("line", "line:" + (above[-1:] if above[-1:] in ",-:.!" else "other"))
+    return before, after, line
+
+
+_FORMS = {c: ("bias", "form:" + c) for c in ("gf", "gif", "if", "fg", "fi", "ggf", "low")}
+
+
+def _names(text: str) -> list[tuple]:
+    """Every part of a run of capitalised words that has the form of a name."""
+    out = []
+    for run in _RUN.finditer(text):
+        a = run.start()
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_@.+/"):
+            continue
+        if a and text[a - 1] in " -'’":
+            lead = _LEAD.search(text, max(0, a - 16), a)
+            a = lead.start() if lead else a
+        units = []  # (start, end, word, type, comma before)
+        for p in _PIECE.finditer(text[a : run.end()]):
+            w = p[3]
+            low = w.lower()
+            kind = "I" if len(w) == 2 and w[1] == "." else "P" if low in _PARTICLE_SET and (w.islower() or w.isupper()) else "C"
+            units.append((a + p.start(3), a + p.end(3), w, kind, p[1] == ","))
+        for i in range(len(units)):
+            form, commas, words = "", 0, 0
+            for j in range(i, min(len(units), i + MAX_UNITS)):
+                _, _, _, kind, comma = units[j]
+                if comma and j > i:
+                    commas += 1
+                    form += ","
+                form += kind
+                words += kind != "P"
+                if commas > 1 or words > 4:
+                    break
+                if words >= 2 and kind != "P":
+                    span = _name(text, units[i : j + 1], form)
+                    if span:
+                        out.append(span)
+    return out
+
+
+_SHAPES = {
+    "CC": "gf", "CPC": "gf", "CPPC": "gf", "CIC": "gif", "CIPC": "gif", "CIPPC": "gif", "IC": "if", "IPC": "if", "IPPC": "if", "IIC": "if", "CCC": "ggf", "CCPC": "ggf",
+    "C,C": "fg", "PC,C": "fg", "PPC,C": "fg", "C,CI": "fg", "PC,CI": "fg", "C,I": "fi", "PC,I": "fi", "PPC,I": "fi", "CC,C": "fg",
+}
+
+
+def _name(text: str, units: list[tuple], form: str) -> tuple | None:
+    shape = _SHAPES.get(form)
+    if shape is None:
+        return None
+    start, end = units[0][0], units[-1][1]
+    cores = [u[2] for u in units if u[3] == "C"]
+    if shape in ("fg", "fi"):
+        given, family = (cores[-1] if shape == "fg" else None), cores[0]
+    else:
+        given, family = (cores[0] if form[0] == "C" else None), cores[-1]
+    groups = [_FORMS[shape], _word(family, "f"), *_around(text, start, end)]
     if given is not None:
-        low = given.lower()
-        f.append("given_known" if low in _GIVEN else "given_unknown")
-        if low in _NOT_NAMES:
-            f.append("not_name")
-        if given[:1].islower() != family[:1].islower():
-            f.append("mixed_case")
-        if low not in _GIVEN and "family_ending" not in f:
-            f.append("neither_known")
-    elif "family_ending" not in f:
-        f.append("initial_no_ending")
-    if particle:
-        f.append("particle")
-    if _WHO.search(text, max(0, start - 24), start):
-        f.append("who_before")
-    elif start == 0 or text[start - 1] == "\n":
-        f.append("line_start")
-    if _NEXT.match(text, end):
-        f.append("next_fits")
-    nxt = text[end : end + 1]
-    if nxt in "@-/_" and nxt:
-        f.append("glued")
-    if text[end : end + 1] == "." and text[end + 1 : end + 2].isalpha():
-        f.append("glued")
-    return (start, end, "name", tuple(f))
+        groups.append(_word(given, "g"))
+        if given.isupper() != family.isupper():
+            groups.append(("mixed_case",))
+        groups.append((f"c={_word(given, 'g')[1][4:]}+{_word(family, 'f')[1][4:]}",))
+    else:
+        groups.append((f"c=I+{_word(family, 'f')[1][4:]}",))
+    if len(cores) > 2:
+        groups.append(_word(cores[1], "m"))
+    if "P" in form:
+        groups.append(("particle",))
+    return (start, end, "name", tuple(groups))
+
+
+@lru_cache(500_000)
+def _small_rare(token: str) -> str | None:
+    """The word of ``token`` if it is small-written and in no vocabulary."""
+    w = token.strip(_EDGES)
+    if len(w) < 3 or not w.islower() or not w.replace("-", "").isalpha():
+        return None
+    return w if _word(w, "f")[1] == "f:c=rare" else None
+
+
+def _small_names(text: str) -> list[tuple]:
+    """Pairs of small-written words of which the second is in no vocabulary."""
+    out = []
+    for w in {x for x in map(_small_rare, set(text.split())) if x}:
+        at = text.find(" " + w)
+        while at >= 0:
+            start, end = at + 1, at + 1 + len(w)
+            at = text.find(" " + w, end)
+            if end < len(text) and (text[end].isalnum() or text[end] in "_@/-"):
+                continue
+            before = text[max(0, start - 26) : start].rstrip(" ")
+            first = max(before.rfind(" "), before.rfind("\n")) + 1
+            given = before[first:].lstrip("('\"")
+            if not before or len(given) < 3 or not given.islower() or not given.replace("-", "").isalpha():
+                continue
+            gap = start - max(0, start - 26) - len(before)
+            f, g = _word(w, "f"), _word(given, "g")
+            if gap < 3 and "g:closed" not in g:
+                a = start - gap - len(given)
+                out.append((a, end, "name", (_FORMS["low"], ("low:" + f[2][2:],), f, g, (f"c={g[1][4:]}+rare",), *_around(text, a, end))))
+    return out
+
+
+_LABEL_WORD = re.compile(r"([^\W\d_]+)[^\w\n]{0,6}$")
+_LABEL_LAST = frozenset(
+    "passport passports passeport pasaporte reisepass reisepassnr passnr nr number no card mrn id social security ssn insurance ausweis ausweisnr nummer ausweisnummer personalausweis personalausweisnummer versichertennummer "
+    "versicherungsnummer sozialversicherungsnummer steuer identité sociale patient dni nie nif nss paciente afiliación identidad historia clínica identificación patientennr patientennummer patientnumber n no nr um num patienten".split()
+)
+
+
+def _labelled(text: str, a: int) -> bool:
+    """Whether the name of an identity number stands before position ``a``."""
+    m = _LABEL_WORD.search(text, max(0, a - 26), a)
+    return m is not None and m[1].lower() in _LABEL_LAST and _LABEL.search(text, max(0, a - 40), a) is not None
 
 
 def _number(text: str, a: int, b: int) -> list[tuple]:
@@ -171,40 +359,23 @@ def _number(text: str, a: int, b: int) -> list[tuple]:
         cut = max(text.rfind(" ", a, cut), a)
         if cut > a and sum(c.isdigit() for c in text[a:cut]) >= 8:
             ends.append(cut)
-    before = text[max(0, a - 40) : a]
-    label = _LABEL.search(before) is not None
-    refused = _NO_LABEL.search(before) is not None and not label
-    call = _CALL.search(before) is not None
+    label = _labelled(text, a)
     for e in ends:
-        s = text[a:e]
-        shape = re.sub(r"\d", "9", s)
+        shape = re.sub(r"\d", "9", text[a:e])
+        before, after, line = _around(text, a, e)
+        f = ["bias", "cut" if e != b else "whole", "label" if label else "no_label"]
         digits = shape.count("9")
-        f = ["bias", _phone_shape(shape)]
-        if e != b:
-            f.append("cut")
-        if label:
-            f.append("label")
-        if refused:
-            f.append("refused")
-        if call:
-            f.append("call_before")
-        if text[e : e + 1] == ":" or text[e : e + 2] in (" %", "0%"):
-            f.append("colon_after")
-        if not 9 <= digits <= 14:
-            f.append("digits_unlike")
         ext = _EXT.match(text, e)
         if not shape[-1:].isalpha():
-            out.append((a, ext.end() if ext else e, "phone", (*f, "ext") if ext else tuple(f)))
-        g = ["bias", _id_shape(shape), *[x for x in f[2:] if x not in ("digits_unlike", "call_before")]]
-        if label is False:
-            g.append("no_label")
-        out.append((a, e, "identity", tuple(g)))
+            own = (*f, _phone_shape(shape, text.startswith("00", a)), "usual" if 9 <= digits <= 14 else "unusual", *(("ext",) if ext else ()))
+            out.append((a, ext.end() if ext else e, "phone", (own, before, after, line)))
+        out.append((a, e, "identity", ((*f, _id_shape(shape)), before, after, line)))
     return out
 
 
 @lru_cache(50_000)
-def _phone_shape(shape: str) -> str:
-    if shape.startswith("+") or re.match(r"99\d?99[- ]", shape) and shape.startswith("9999-"):
+def _phone_shape(shape: str, zeros: bool) -> str:
+    if shape.startswith("+") or zeros and re.match(r"99\d?99[- ]", shape):
         return "international"
     if re.fullmatch(r"\(?999\)?[ .-]999[ .-]9999", shape):
         return "nanp"
@@ -231,12 +402,6 @@ def _id_shape(shape: str) -> str:
 _PLACE_ENDING = re.compile(r"(?:holz|wiese|berg|tal|hof|graben|markt|park|see|bach|feld|kamp|hang|tor|brücke|garten|wald|mühle|kirche|ufer|rain|teich|anger)n? \d", re.IGNORECASE)
 
 
-def _where(text: str, start: int) -> list[str]:
-    m = _WHERE.search(text, max(0, start - 24), start)
-    if not m:
-        return []
-    return ["where_before"] if m[0].strip(" \n,") else ["where_edge"]
-
 
 def _addresses(text: str, a: int, b: int, word: str, langs: tuple[str, ...]) -> list[tuple]:
     out = []
@@ -245,10 +410,9 @@ def _addresses(text: str, a: int, b: int, word: str, langs: tuple[str, ...]) ->
 
     def add(start: int, end: int, form: str, body: str) -> None:
         f = ["bias", form, "capitalised" if re.search(r"[A-ZÀ-Ý]", body) else "no_capital"]
-        f += _where(text, start)
         if not upper and form == "en":
             f.append("street_lower")
-        out.append((start, end, "address", tuple(f)))
+        out.append((start, end, "address", (tuple(f), *_around(text, start, end))))
 
     if "en" in langs and not joined:
         m = _EN_BEFORE.search(text, max(0, a - 50), a)
@@ -278,7 +442,7 @@ def _addresses(text: str, a: int, b: int, word: str, langs: tuple[str, ...]) ->
 
 
 def candidates(text: str) -> list[tuple]:
-    """Spans (start, end, kind, features) that may be entities, in no particular order."""
+    """Spans (start, end, kind, groups of features) that may be entities, in no particular order."""
     out: list[tuple] = []
     low = text.lower()
     if len(low) != len(text):
@@ -299,7 +463,7 @@ def candidates(text: str) -> list[tuple]:
         if right:
             f = ("bias", "plain_at" if plain else "spelt_at", "spelt_dot" if " dot " in right[0] or "dot]" in right[0] else "plain_dot")
             start = left.start() + (len(left[0]) - len(left[0].lstrip(".+-")))
-            out.append((start, right.end(), "email", f))
+            out.append((start, right.end(), "email", (f,)))
     m = _DIGITS.search(text)
     while m:
         a, b = m.span()
@@ -312,95 +476,111 @@ def candidates(text: str) -> list[tuple]:
     for m in _CODE.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-"):
             continue
-        before = text[max(0, m.start() - 40) : m.start()]
-        label = _LABEL.search(before) is not None
-        out.append((*m.span(), "identity", ("bias", "id_code", "label" if label else "no_label")))
-    for last, (what, n, langs) in _automaton().iter(low):
+        label = _labelled(text, m.start())
+        out.append((*m.span(), "identity", (("bias", "id_code", "label" if label else "no_label"), *_around(text, *m.span()))))
+    for last, (n, langs) in _automaton().iter(low):
         a, b = last - n + 1, last + 1
-        if low[b : b + 1].isalpha() and low[b - 1] != "/":
-            continue
-        if what == "street" or langs:
+        if not low[b : b + 1].isalpha() or low[b - 1] == "/":
             out += _addresses(text, a, b, low[a:b], langs)
-        if what == "given" and not (a and (text[a - 1].isalnum() or text[a - 1] in "@-_+./")):
-            given = text[a:b]
-            m = _FORWARD.match(text, b)
-            if m:
-                out.append(_name(text, a, m.end(), given, m[3], m[2], "given_family" if not m[1] else "given_initial_family"))
-                if "-" in m[3]:
-                    first = m[3].split("-")[0]
-                    out.append(_name(text, a, m.start(3) + len(first), given, first, m[2], "given_family"))
-            m = _BACKWARD.search(text, max(0, a - 60), a)
-            if m:
-                e = re.match(r" [A-Z]\.(?= |$|[,;)])", text[b : b + 4])
-                out.append(_name(text, m.start(2), b, given, m[2], "", "family_given"))
-                if m[1]:
-                    out.append(_name(text, m.start(1), b, given, m[2], m[1], "family_given"))
-                if e:
-                    out.append(_name(text, m.start(1), b + e.end(), given, m[2], m[1], "family_given"))
-    for m in _INITIAL.finditer(text):
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_."):
-            continue
-        out.append(_name(text, m.start(), m.end(), None, m[2], m[1], "initial_family"))
-    for c in _COMMA_INITIAL.finditer(text):
-        m = _REV_FAMILY.search(text, max(0, c.start() - 60), c.start())
-        if m:
-            out.append(_name(text, m.start(), c.end(), None, m[2], m[1], "family_initial"))
-    for m in _BIGRAM.finditer(text):
-        if m[1].lower() not in _GIVEN and not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_.@-")):
-            out.append(_name(text, m.start(), m.end(), m[1], m[2], "", "given_family"))
     for m in _DE_PREPOSITION.finditer(text):
-        f = ["bias", "de_preposition", *_where(text, m.start())]
-        if _PLACE_ENDING.search(m[0]):
-            f.append("place_ending")
-        out.append((*m.span(), "address", tuple(f)))
-    return out
-
-
-def decode(spans: list[tuple], weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """The highest-scoring set of spans that do not overlap: (start, end, kind) by position."""
-    scored = []
-    for start, end, kind, features in spans:
+        f = ("bias", "de_preposition", *(("place_ending",) if _PLACE_ENDING.search(m[0]) else ()))
+        out.append((*m.span(), "address", (f, *_around(text, *m.span()))))
+    return out + _names(text) + _small_names(text)
+
+
+def gap_feature(text: str, left: tuple, right: tuple) -> str | None:
+    """The feature of two neighbouring entities, None if they are too far apart to count as such."""
+    gap = right[0] - left[1]
+    if gap > NEAR:
+        return None
+    between = text[left[1] : right[0]]
+    return f"{left[2]}>{right[2]}:" + (between.strip(" ") or "_" if gap <= 6 else "lines" if "\n" in between else "near")
+
+
+class Scorer:
+    """Scores of spans and of neighbours under the weights; sums of groups of features are kept."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.sums: dict[tuple, float] = {}
+        self.most = max((w for k, w in weights.items() if ">" in k), default=0.0)
+        self.most = max(self.most, 0.0)
+
+    def span(self, kind: str, groups: tuple) -> float:
+        total = 0.0
+        for g in groups:
+            if g:
+                s = self.sums.get((kind, g))
+                if s is None:
+                    if len(self.sums) > 400_000:
+                        self.sums.clear()
+                    s = self.sums[kind, g] = sum(self.weights.get(kind + ":" + f, 0.0) for f in g)
+                total += s
+        return total
+
+    def pair(self, text: str, left: tuple, right: tuple) -> float:
+        f = gap_feature(text, left, right)
+        return self.weights.get(f, 0.0) if f else 0.0
+
+
+def decode(text: str, spans: list[tuple], scorer: Scorer) -> list[tuple[int, int, str]]:
+    """The highest-scoring set of spans that do not overlap: (start, end, kind) by position.
+
+    A span that scores so low that no two neighbours could make up for it is in no such set.
+    """
+    scored, least = [], -2 * scorer.most
+    for start, end, kind, groups in spans:
         if end - start <= MAX_SPAN:
-            s = 0.0
-            for f in features:
-                s += weights.get(kind + ":" + f, 0.0)
-            if s > 0:
-                scored.append((end, start, s, kind))
+            s = scorer.span(kind, groups)
+            if s > least:
+                scored.append((end, start, kind, s))
     if not scored:
         return []
     scored.sort()
-    if len(scored) == 1:
-        end, start, _, kind = scored[0]
-        return [(start, end, kind)]
     ends = [x[0] for x in scored]
-    best, take = [0.0], [False]
-    for i, (_, start, s, _) in enumerate(scored):
-        k = bisect_right(ends, start, 0, i)
-        with_it = best[k] + s
-        take.append(with_it > best[i])
-        best.append(max(best[i], with_it))
-    found, i = [], len(scored)
-    while i:
-        if take[i]:
-            end, start, _, kind = scored[i - 1]
-            found.append((start, end, kind))
-            i = bisect_right(ends, start, 0, i - 1)
+    total, back = [], []  # best score of a set that ends with span i, and the span before it
+    top, top_at = [0.0], [-1]  # best total of the first k spans
+    for i, (end, start, kind, s) in enumerate(scored):
+        far = bisect_right(ends, start - NEAR - 1, 0, i)
+        best, at = top[far], top_at[far]
+        for j in range(far, i):
+            e, b, k, _ = scored[j]
+            if e > start:
+                break
+            v = total[j] + scorer.pair(text, (b, e, k), (start, end, kind))
+            if v > best:
+                best, at = v, j
+        total.append(best + s)
+        back.append(at)
+        if total[i] > top[i]:
+            top.append(total[i])
+            top_at.append(i)
         else:
-            i -= 1
+            top.append(top[i])
+            top_at.append(top_at[i])
+    found, i = [], top_at[-1]
+    while i >= 0:
+        end, start, kind, _ = scored[i]
+        found.append((start, end, kind))
+        i = back[i]
     return found[::-1]
 
 
-def find(text: str | None, weights: dict[str, float] | None = None) -> list[tuple[int, int, str]]:
+@lru_cache(1)
+def fitted() -> Scorer:
+    """The scorer of the fitted weights."""
+    from sigframe.llm.pii_weights import WEIGHTS
+
+    return Scorer(WEIGHTS)
+
+
+def find(text: str | None, scorer: Scorer | None = None) -> list[tuple[int, int, str]]:
     """Entities of ``text`` as (start, end, kind), positions in code points.
 
-    >>> find("Consent was signed by Dr. Tilda Ulmovec, MRN 971-58-9262.")
-    [(26, 39, 'name'), (45, 56, 'identity')]
+    >>> find("The letter was signed by Dr. Olwen Brakkesund, MRN 971-58-9262.")
+    [(29, 45, 'name'), (51, 62, 'identity')]
     """
-    if not text:
-        return []
-    if weights is None:
-        from sigframe.llm.pii_weights import WEIGHTS as weights  # noqa: N811
-    return decode(candidates(text), weights)
+    return decode(text, candidates(text), scorer or fitted()) if text else []
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
@@ -420,14 +600,12 @@ def find_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from sigframe.llm.pii_weights import WEIGHTS
-
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, int, str]] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 if t:
-                    e = decode(candidates(t), WEIGHTS)
+                    e = find(t)
                     if e:
                         rows += [i] * len(e)
                         found += e
@@ -448,9 +626,7 @@ def redact_texts(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def redacted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from sigframe.llm.pii_weights import WEIGHTS
-
         for s in it:
-            yield s.map(lambda t: redact(t, decode(candidates(t), WEIGHTS)) if t else t)
+            yield s.map(lambda t: redact(t, find(t)) if t else t)
 
     return df.withColumn(text, redacted(F.col(text)))

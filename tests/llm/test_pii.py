@@ -1,14 +1,16 @@
 import itertools
+import math
+import re
 
 import pytest
 
 from sigframe.llm import pii_train
-from sigframe.llm.pii import candidates, decode, find, find_entities, redact, redact_texts
+from sigframe.llm.pii import Scorer, candidates, decode, find, find_entities, fitted, redact, redact_texts
 from sigframe.llm.pii_weights import WEIGHTS
 
 CASES = [
-    ("Consent was signed by Dr. Tilda Ulmovec, MRN 971-58-9262.", [("Tilda Ulmovec", "name"), ("971-58-9262", "identity")]),
-    ("From: von Ebbienko, Amélie-Rose <maelle+x@lab.place.example>", [("von Ebbienko, Amélie-Rose", "name"), ("maelle+x@lab.place.example", "email")]),
+    ("The letter was signed by Dr. Olwen Brakkesund, MRN 971-58-9262.", [("Olwen Brakkesund", "name"), ("971-58-9262", "identity")]),
+    ("From: von Drakenau, Anne-Sophie <maelle+x@lab.place.example>", [("von Drakenau, Anne-Sophie", "name"), ("maelle+x@lab.place.example", "email")]),
     ("mailto:night.shift (at) mail.place.test for it", [("night.shift (at) mail.place.test", "email")]),
     ("ask anna-fenn at lab dot place dot invalid.", [("anna-fenn at lab dot place dot invalid", "email")]),
     ("tel:+1 (202) 555-0177 soon", [("+1 (202) 555-0177", "phone")]),
@@ -19,9 +21,9 @@ CASES = [
     ("bitte an Am Brennholz 99 schicken", [("Am Brennholz 99", "address")]),
     ("Envoyer les bonnets au 170 bis rue des Ormelles.", [("170 bis rue des Ormelles", "address")]),
     ("vive en C/ Serranilla n.º 149, bajo.", [("C/ Serranilla n.º 149, bajo", "address")]),
-    ("We met GASPARD QUELANTO and B. Steranto in the room", [("GASPARD QUELANTO", "name"), ("B. Steranto", "name")]),
+    ("Paid by ROWENA TARKOVALE and B. Tarkovale in the hall", [("ROWENA TARKOVALE", "name"), ("B. Tarkovale", "name")]),
     ("The Butterworth filter of order 4. After the Hann window was applied", []),
-    ("The Quantar Lumen head box and the Polyscope Brackwater unit share one clock.", []),
+    ("The Vostrel Quarn head box and the Brimscope Tallow unit share one cable.", []),
     ("Serial 9770-19-9850 is spare. Part number 00543286. Ticket 2024-61-0417747. Sample index 20255501612 lies", []),
     ("The parser printed raw@250Hz and stopped at @log_block. 256 @ 34 channels", []),
     ("Left Mastoid and Night Two of Sleep Nap 2, 2023-08-12 01:30, Lane 13 of the corridor", []),
@@ -34,17 +36,44 @@ def test_cases(text, want):
 
 
 def test_held_out_accuracy():
-    result = pii_train.score(pii_train.corpus(600, 99), WEIGHTS, exact=False)
+    """Held-out texts use the half of the everyday words that training never sees, and other made-up ones."""
+    result = pii_train.score(pii_train.corpus(600, 99, half=1), fitted(), exact=False)
     for right, got, there in result.values():
         assert right / got > 0.97 and right / there > 0.93
 
 
+#: Persons of many countries, none of them in the training lists, in frames that training does not have.
+UNSEEN_GIVEN = "rajani chukwuemeka aoife bronagh thandiwe svetlana radomir hiroko takumi lakshmi venkat farhad gulnara ingvild halvard eilidh hamish ximena anacleto joaquim thérèse ghislaine liselotte reinhild ferenc kinga agnieszka milorad".split()
+UNSEEN_FAMILY = "achterberg okafor mwangi adeyemi macgregor petrosyan karapetian abdullayev goncalves castellanos etxeberria haugland virtanen szczepaniak horvath stoyanov papadakis yamaguchi threlfall grosvenor bloemendaal zuiderwijk hofstetter delacroix rousselot ramachandran wickramasinghe".split()
+FRAMES = (
+    "The spare keys are kept by {}, ask at the gate.|Sculpture donated by {} in memory of the founder.|Our treasurer, {}, resigned.|Photo credit: {}|Yours faithfully,\n{}\n|Mit {} telefoniert, der Zug fällt aus.|"
+    "Die Rede hielt {}.|Le discours prononcé par {} était long.|El premio fue para {} y su equipo.|Interview with {} (third edition)|translated from Polish by {}.|Seats were kept for {} and guests."
+).split("|")
+
+
+def test_unseen_names_in_unseen_sentences():
+    there = found = 0
+    for i, (g, f) in enumerate(itertools.product(UNSEEN_GIVEN, UNSEEN_FAMILY)):
+        g, f = g.title(), f.title()
+        name = (f"{g} {f}", f"{g[0]}. {f}", f"{f}, {g}", f"{g} K. {f}", f"{g} van der {f}", f"{g} {f}".upper())[i % 6]
+        frame = FRAMES[i % len(FRAMES)]
+        text = frame.format(name)
+        there += 1
+        found += (frame.index("{"), "name") in {(a, k) for a, _, k in find(text)}
+    assert found / there >= 0.9
+
+
+def test_the_lists_of_training_hold_no_test_name():
+    assert not set(UNSEEN_GIVEN) & set(pii_train.GIVEN) and not set(UNSEEN_FAMILY) & set(pii_train.FAMILY)
+    assert len(pii_train.GIVEN) < 200 and len(pii_train.FAMILY) < 200
+
+
 def test_training_is_reproducible_and_learns():
-    data = pii_train.corpus(400, 5)
-    a, b = pii_train.fit(data, rounds=2), pii_train.fit(data, rounds=2)
+    data = pii_train.corpus(500, 5)
+    a, b = pii_train.fit(data, rounds=3), pii_train.fit(data, rounds=3)
     assert a == b
-    right, got, there = map(sum, zip(*pii_train.score(pii_train.corpus(200, 6), a, exact=False).values(), strict=True))
-    assert right / got > 0.9 and right / there > 0.8
+    right, got, there = map(sum, zip(*pii_train.score(pii_train.corpus(200, 6), Scorer(a), exact=False).values(), strict=True))
+    assert right / got > 0.85 and right / there > 0.85
 
 
 def _all_sets(spans):
@@ -55,24 +84,44 @@ def _all_sets(spans):
 
 
 def test_decoding_and_marginals_against_brute_force():
-    import math
-
-    for text, _ in pii_train.corpus(60, 8):
-        spans = list(dict.fromkeys(candidates(text)))
-        if not 0 < len(spans) <= 9:
+    checked = with_pairs = 0
+    scorer = fitted()
+    for text, _ in pii_train.corpus(120, 8):
+        spans, pairs = pii_train.lattice(text)
+        if not 0 < len(spans) <= 10:
             continue
-        weight = lambda s: sum(WEIGHTS.get(s[2] + ":" + f, 0.0) for f in s[3])  # noqa: B023, E731
+        own = {s: scorer.span(s[2], s[3]) for s in spans}
+
+        def total(chosen, own=own, text=text):
+            chosen = sorted(chosen, key=lambda s: s[1])
+            return sum(own[s] for s in chosen) + sum(scorer.pair(text, a, b) for a, b in itertools.pairwise(chosen))
+
         sets = list(_all_sets(spans))
-        best = max(sum(map(weight, s)) for s in sets)
-        by_place = {s[:3]: weight(s) for s in sorted(spans, key=weight)}
-        assert sum(by_place[x] for x in decode(spans, WEIGHTS)) == pytest.approx(best)
-        prob, z = pii_train.marginals(spans, WEIGHTS)
-        assert z == pytest.approx(math.log(sum(math.exp(sum(map(weight, s))) for s in sets)), rel=1e-6)
+        best = max(map(total, sets))
+        readings = [[s for s in spans if s[:3] == x] for x in decode(text, candidates(text), scorer)]
+        assert max(map(total, itertools.product(*readings))) == pytest.approx(best, abs=1e-6)
+        one, two, z = pii_train.marginals(spans, pairs, scorer)
+        assert z == pytest.approx(math.log(sum(math.exp(total(s)) for s in sets)), rel=1e-6)
+        for s, p in zip(spans, one, strict=True):
+            assert p == pytest.approx(sum(math.exp(total(c) - z) for c in sets if s in c), abs=1e-6)
+        checked += 1
+        with_pairs += any(p > 0.5 for p in two)
+    assert checked > 40 and with_pairs > 5
+
+
+def test_neighbours_count():
+    """The score of a pair can decide what a span is."""
+    text = "aa 12345678, 87654321"
+    spans = [(3, 11, "phone", (("x",),)), (13, 21, "identity", (("y",),)), (13, 21, "phone", (("z",),))]
+    alone = {"phone:x": 1.0, "identity:y": 1.0, "phone:z": 0.5}
+    assert decode(text, spans, Scorer(alone))[1] == (13, 21, "identity")
+    assert decode(text, spans, Scorer(alone | {"phone>phone:,": 2.0}))[1] == (13, 21, "phone")
+    assert decode(text, spans, Scorer({"phone:x": 1.0, "phone:z": -0.5, "phone>phone:,": 2.0})) == [(3, 11, "phone"), (13, 21, "phone")]
 
 
 def test_redaction_keeps_the_rest():
-    text = "👍 Call 030/23125-829, Tilda Ulmovec!"
-    assert redact(text, find(text)) == "👍 Call [PHONE], [NAME]!"
+    text = "👍 Call 030/23125-829 now, says Rowena Tarkovale."
+    assert redact(text, find(text)) == "👍 Call [PHONE] now, says [NAME]."
     for t, _ in pii_train.corpus(100, 4):
         found, at, rest = find(t), 0, ""
         for a, b, _ in found:
@@ -87,7 +136,7 @@ def test_spark_edge_cases(spark):
     rows = [(1, None, "a"), (2, "", "b"), (3, CASES[0][0], "c"), (3, CASES[0][0], "c"), (4, long, "d"), (5, "İ 030/23125-829 \x00 call 030/23125-829", "e"), (6, "@" * 5000 + "1" * 5000, "f")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     got = sorted(map(tuple, find_entities(df).select("doc_id", "start_pos", "kind").collect()))
-    assert got.count((3, 26, "name")) == 2 and (4, 20 * 20_000 + 5, "phone") in got and any(g[0] == 5 for g in got)
+    assert got.count((3, 29, "name")) == 2 and (4, 20 * 20_000 + 5, "phone") in got and any(g[0] == 5 for g in got)
     assert find_entities(df.limit(0)).count() == 0
     red = redact_texts(df).collect()
     assert red[0].text is None and red[1].text == "" and red[4].text.endswith("Call [PHONE] now.")
