@@ -58,12 +58,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once as a reliable checkpoint and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared checkpoint folder for a table written once."""
     return os.path.join(ensure_checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
@@ -73,19 +67,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
     Unlike a checkpoint, the table keeps column pruning and filter pushdown, so that
-    several consumers each read only what they need.
+    several consumers each read only what they need. It is deleted when the driver ends.
     """
     return written_at(df, label)[0]
 
 
 def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """As ``written``, with the path of the table."""
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    fs, place = _filesystem(spark, path)
+    fs.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _filesystem(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    """Delete a table that nothing reads any more; tables that are still read go when the driver ends."""
+    fs, place = _filesystem(spark, path)
+    fs.delete(place, True)
