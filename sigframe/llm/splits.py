@@ -7,12 +7,14 @@ records carry, then weighted rendezvous hashing of each component to one split.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sigframe.functions.naming import NULL_WORDS, known_studies, participant_key, path_text
+from sigframe.functions.skew import HOT_ROWS, join_unique
 from sigframe.session import discard, written, written_at
 
+
 def record_keys(locator: DataFrame, sources: DataFrame, studies: DataFrame) -> DataFrame:
     """One row (rec_table, rec_id, person, keys) per recording and per source.
 
@@ -38,33 +40,38 @@ def record_keys(locator: DataFrame, sources: DataFrame, studies: DataFrame) -> D
     return a.unionByName(b)
 
 
-def hash_to_min(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds: int = 60) -> DataFrame:
+def hash_to_min(edges: DataFrame, src: str = "a", dst: str = "b", *, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Connected components of ``edges``: one row (node, component) per node.
 
     The component is its smallest node. Clusters are kept as rows (v, u), never as arrays, so
     that a component of any size stays distributed; the minimum of a hub's cluster
-    is a pre-aggregated ``min``. Every round is written once to the shared folder, which cuts
-    the lineage and survives the loss of an executor; the round before is then discarded.
+    is a pre-aggregated ``min``, and the rows of a hub meet it on the map side (``join_unique``). Every round is one job: it
+    is written once to the shared folder, which cuts the lineage and survives the loss of an executor, and the rows and their hash are
+    observed while they are written. Two rounds with the same ones end it; the round before is discarded.
 
     Null ends give no edge, self-loops give a node of its own, repeated edges count once, an
     empty input gives an empty result. RuntimeError if ``max_rounds`` do not suffice.
     """
     e = edges.select(F.col(src).alias("v"), F.col(dst).alias("u")).where("v is not null and u is not null")
     both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    start = both.unionByName(both.select("v", F.col("v").alias("u"))).distinct()
-    clusters, path = written_at(start, "hash-to-min")
-    before = None
+
+    def settled(rows: DataFrame) -> tuple[DataFrame, str, tuple]:
+        seen = Observation()
+        counted = rows.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("h"))
+        table, path = written_at(counted, "hash-to-min")
+        return table, path, (int(seen.get["n"] or 0), seen.get["h"])
+
+    clusters, path, now = settled(both.unionByName(both.select("v", F.col("v").alias("u"))))
     for _ in range(max_rounds):
-        now = clusters.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if now == before:
-            return clusters.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
-        before = now
-        state = clusters.join(clusters.groupBy("v").agg(F.min("u").alias("m")), "v")
+        least = clusters.groupBy("v").agg(F.min("u").alias("m"))
+        state = join_unique(clusters, least, "v", rows=now[0], hot_rows=hot_rows)
         to_min = state.select(F.col("m").alias("v"), "u")
         to_members = state.select(F.col("u").alias("v"), F.col("m").alias("u"))
-        clusters, fresh = written_at(to_min.unionByName(to_members).distinct(), "hash-to-min")
+        clusters, fresh, then = settled(to_min.unionByName(to_members))
         discard(clusters.sparkSession, path)
-        path = fresh
+        if then == now:
+            return clusters.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
+        path, now = fresh, then
     raise RuntimeError("components did not settle")
 
 
@@ -110,7 +117,7 @@ def assign_splits(records: DataFrame, targets: DataFrame, node_components: DataF
     keyed = records.withColumn("node", F.get("keys", F.lit(0)))
     alone = F.concat(F.lit("r:"), F.col("rec_table"), F.lit(":"), F.col("rec_id").cast("string"))
     return (
-        keyed.join(found, "node", "left")
+        join_unique(keyed, found, "node", "left")
         .withColumn("component", F.coalesce("component", alone))
         .select("rec_table", "rec_id", "component", rendezvous(F.col("component"), rows).alias("split_name"))
     )
@@ -131,7 +138,7 @@ def related_records(records: DataFrame, node_components: DataFrame | None = None
     first = placed.groupBy("component").agg(F.min("lo").alias("first_loc_id")).where("first_loc_id is not null")
     by_node = placed.join(first, "component").select("node", "first_loc_id")
     return (
-        named.join(by_node, "node")
+        join_unique(named, by_node, "node")
         .where("rec_table = 'sources' or rec_id > first_loc_id")
         .select("first_loc_id", "rec_table", "rec_id")
     )

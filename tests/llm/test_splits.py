@@ -37,6 +37,13 @@ def test_components_against_union_find(spark, kind):
     assert hash_to_min(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
+def test_a_hub_and_its_records_spread(spark):
+    """A component that holds most rows goes the way of hot keys, with the same result."""
+    edges = [("000", f"{i:03d}") for i in range(400)] + [(f"x{i}", f"x{i + 1}") for i in range(0, 60, 2)]
+    got = {r.node: r.component for r in hash_to_min(spark.createDataFrame(edges, "a string, b string"), hot_rows=50).collect()}
+    assert got == _find(edges)
+
+
 def _tables(spark):
     loc = [
         (1, "/data/demo-study/flat/0007_1_rest.set", "demo-study", "h1", "x"), (2, "E:\\lab\\Demo_Study\\subject_7\\rec3.csv", None, None, "x"), (3, "file:///d/DEMO-STUDY/Participant%2007/session%201/a.hea", "", "nan", "x"),
