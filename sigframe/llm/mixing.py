@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Method: Sainte-Laguë apportionment. The total size is cut into blocks of equal size, which go to sources
-by the highest quotients share / (2 k + 1); a source that cannot supply another block, even
+by the highest quotients share / (2 k + 1), found in closed form; a source that cannot supply another block, even
 repeated as often as it may be, forfeits it, so that the other sources keep their target. The blocks
 of a source are apportioned again among its shards, which gives every shard an integer quota before the texts of the
 shard are drawn in a seeded order.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,21 +24,47 @@ BLOCKS, BLOCKS_PER_SHARD = 10_000, 1000
 SHARD_TEXTS = 100_000
 
 
+def _whole(weights: dict) -> dict:
+    """The positive weights as whole numbers in the same proportions."""
+    exact = {k: w if isinstance(w, int) else Fraction(w) for k, w in weights.items() if w and w > 0}
+    scale = math.lcm(*(f.denominator for f in exact.values())) if exact else 1
+    return {k: int(f * scale) for k, f in exact.items()}
+
+
 def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> tuple[dict, dict]:
     """(seats won, seats forfeited) by weight; ties go to the smaller name.
 
+    The seats with the highest quotients are those above one divisor. Rounding every weight over the mean one
+    comes within half a seat per name of it; the few that are then missing or too many are settled one by one. So the work depends on
+    the number of names alone, never on that of the seats.
+
     >>> sainte_lague({"a": 53.0, "b": 24.0, "c": 23.0}, 7)[0]
     {'a': 3, 'b': 2, 'c': 2}
     """
-    live = {k: float(w) for k, w in weights.items() if w and w > 0}
-    won, lost = dict.fromkeys(weights, 0), dict.fromkeys(weights, 0)
-    heap = [(-w, k) for k, w in live.items()]
-    heapq.heapify(heap)
-    for _ in range(seats if heap else 0):
-        k = heap[0][1]
-        (won if most is None or won[k] + 1 <= most.get(k, math.inf) else lost)[k] += 1
-        heapq.heapreplace(heap, (-live[k] / (2 * (won[k] + lost[k]) + 1), k))
-    return won, lost
+    live = _whole(weights)
+    total = sum(live.values())
+    got = dict.fromkeys(weights, 0)
+    if live and seats > 0:
+        for k, w in live.items():
+            got[k] = (2 * w * seats + total) // (2 * total)
+        spare = seats - sum(got.values())
+        names = {k: i for i, k in enumerate(sorted(live))}
+        if spare > 0:
+            heap = [(Fraction(2 * got[k] + 1, w), names[k], k) for k, w in live.items()]
+            heapq.heapify(heap)
+            for _ in range(spare):
+                _, i, k = heap[0]
+                got[k] += 1
+                heapq.heapreplace(heap, (Fraction(2 * got[k] + 1, live[k]), i, k))
+        elif spare < 0:
+            heap = [(-Fraction(2 * got[k] - 1, w), -names[k], k) for k, w in live.items() if got[k]]
+            heapq.heapify(heap)
+            for _ in range(-spare):
+                _, i, k = heap[0]
+                got[k] -= 1
+                heapq.heapreplace(heap, (-Fraction(2 * got[k] - 1, live[k]), i, k)) if got[k] else heapq.heappop(heap)
+    won = {k: n if most is None or most.get(k) is None else min(n, math.floor(most[k])) for k, n in got.items()}
+    return won, {k: n - won[k] for k, n in got.items()}
 
 
 class Mix:
@@ -73,11 +100,18 @@ class Mix:
         held = {r["source"]: int(r["t"]) for r in self.shards.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
         self.held = {s: held.get(s, 0) for s in self.share}
         self.most = {s: self.repeats[s] * self.held[s] for s in self.share}
-        self.won, self.lost = sainte_lague(self.share, self.seats, {s: m / self.block for s, m in self.most.items()})
+        self.won, self.lost = sainte_lague(self.share, self.seats, {s: m // self.block for s, m in self.most.items()})
 
     def short(self) -> list[str]:
-        """Sources below their target share of the total size even with every text used as often as it may be."""
-        return sorted(s for s, w in self.share.items() if self.most[s] < w * self.total)
+        """Sources below their target share of the total size even with every text used as often as it may be.
+
+        These are sources that forfeit seats. As seats are whole blocks, one that comes within ``margin`` seats of forfeiting
+        any may be short too: apportionment gives a source its share of the seats but for half a seat for each source. Among
+        both the exact sizes decide.
+        """
+        margin = len(self.share) / 2 + 2
+        close = [s for s in self.share if self.lost[s] > 0 or self.most[s] < (self.won[s] + margin) * self.block]
+        return sorted(s for s in close if self.most[s] < self.share[s] * self.total)
 
     def quotas(self) -> DataFrame:
         """(source, shard, tokens, quota): tokens to draw from each shard.

@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -68,6 +69,30 @@ def _mix(spark, shards=100_000):
     return rows, Mix(spark.createDataFrame(rows, "doc_id int, source string, n_tokens int"), targets, shard_texts=shards)
 
 
+def test_sainte_lague_ties_caps_and_size():
+    import time
+
+    rng = random.Random(4)
+    for _ in range(300):
+        w = {c: rng.randint(1, 12) for c in "abcdefgh"[: rng.randint(1, 8)]}
+        seats = rng.randint(0, 60)
+        quotients = sorted(((-Fraction(x, 2 * k + 1), c) for c, x in w.items() for k in range(seats)))[:seats]
+        assert sainte_lague(w, seats)[0] == {c: sum(q[1] == c for q in quotients) for c in w}
+    start = time.time()
+    won, lost = sainte_lague({f"s{i}": 1 / (i + 3) for i in range(1000)}, 10**9, {"s0": 5})
+    assert sum(won.values()) + sum(lost.values()) == 10**9 and won["s0"] == 5 and lost["s0"] > 10**6
+    assert time.time() - start < 1
+
+
+@pytest.mark.parametrize("held", [599, 600, 601])
+def test_short_sources_come_from_the_seats_and_the_exact_sizes(spark, held):
+    """A source is short by a single token or not, where the blocks alone cannot tell."""
+    sized = spark.createDataFrame([(1, "a", held), (2, "b", 2000 - held)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    mix = Mix(sized, targets, blocks=7)
+    assert [r.source for r in mix.found().collect()] == (["a"] if held < 600 else [])
+
+
 @pytest.mark.parametrize("shards", [100_000, 300])
 def test_mix(spark, shards):
     rows, mix = _mix(spark, shards)
