@@ -1,23 +1,27 @@
 """Mapping freely typed values to the entries of a reference list.
 
-Method: a BK-tree over the reference entries under the unrestricted
-Damerau-Levenshtein distance, which is a true metric, so that the triangle inequality
-prunes without losing an entry. A reference list of checked size is broadcast and
-matched on the map side, once per distinct text and batch, without any shuffle. A larger
-list is cut into shards, each distinct text meets every shard's tree, and the winners of
-the shards merge by (distance, entry id).
+Method: a BK-tree over the spellings of the reference entries under an edit distance that is a true metric, so that the
+triangle inequality prunes without losing an entry. Every text that is not letter for letter a name asks the tree: first for its own
+key, which follows one path, then for all entries within its radius. A reference list of checked size is broadcast and
+matched on the map side, once per distinct key and batch, without any shuffle. A larger list is cut into shards of entries and
+blocks of texts, each block meets the tree of every shard, and the winners of the shards merge by the same rule.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate, permutations, product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigframe.functions.skew import join_unique
+
 #: Up to so many reference entries the list is broadcast; beyond, it is sharded.
 BROADCAST_ENTRIES = 100_000
 UNMATCHED = -1
@@ -54,25 +58,99 @@ def edit_distance(a: str, b: str) -> int:
     return d[-1][-1]
 
 
+#: Costs of the weighted distance: a letter left out, replaced or swapped; a figure; a blank; a leading naught; any other sign.
+LETTER, FIGURE, BLANK, NAUGHT, SIGN = 4, 16, 1, 1, 8
+#: Signs that are taken for each other, and what that costs.
+ALIKE, ALIKE_COST = (("o", "0"), ("l", "1")), 2
+_LETTERS, _FIGURES = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+@lru_cache(1)
+def _costs() -> dict[tuple[str, str], int]:
+    """Cost of turning one sign into another (``''`` for none), closed under the triangle inequality.
+
+    Signs outside the letters and figures cost alike and are kept under ``'?'``.
+    """
+    signs = ["", " ", "?", *_LETTERS, *_FIGURES]
+    own = {"": 0, " ": BLANK, "?": SIGN, "0": NAUGHT} | dict.fromkeys(_LETTERS, LETTER)
+    c = {}
+    for x in signs:
+        for y in signs:
+            a, b = own.get(x, FIGURE), own.get(y, FIGURE)
+            c[x, y] = 0 if x == y else max(a, b) if not (x and y) else LETTER if x in _LETTERS and y in _LETTERS else FIGURE if x in _FIGURES and y in _FIGURES else a + b
+    for x, y in ALIKE:
+        c[x, y] = c[y, x] = ALIKE_COST
+    for k in signs:
+        for x in signs:
+            for y in signs:
+                if c[x, k] + c[k, y] < c[x, y]:
+                    c[x, y] = c[x, k] + c[k, y]
+    return c
+
+
+@lru_cache(200_000)
+def weighted_distance(a: str, b: str) -> int:
+    """Least total cost of insertions, deletions, replacements and swaps of neighbouring letters.
+
+    Costs are symmetric and closed under the triangle inequality, so that this is a metric.
+
+    >>> weighted_distance("fc3", "fc 03"), weighted_distance("rigth", "right"), weighted_distance("01", "o1"), weighted_distance("f1", "f2")
+    (2, 4, 2, 16)
+    """
+    if a == b:
+        return 0
+    cost = _costs()
+    known = lambda x: x if (x, "") in cost else "?"
+    ka, kb = [known(x) for x in a], [known(x) for x in b]
+    gone, come = [cost[x, ""] for x in ka], [cost["", y] for y in kb]
+    n, m = len(a), len(b)
+    upto_a, upto_b = [0, *accumulate(gone)], [0, *accumulate(come)]
+    big = upto_a[n] + upto_b[m] + 1
+    d = [[big] * (m + 2) for _ in range(n + 2)]
+    for i in range(n + 1):
+        d[i + 1][1] = upto_a[i]
+    for j in range(m + 1):
+        d[1][j + 1] = upto_b[j]
+    last: dict[str, int] = {}
+    for i in range(1, n + 1):
+        x, kx, match = a[i - 1], ka[i - 1], 0
+        up, row = d[i], d[i + 1]
+        for j in range(1, m + 1):
+            y = b[j - 1]
+            best = min(up[j] + (0 if x == y else cost[kx, kb[j - 1]] or 2 * SIGN), row[j] + come[j - 1], up[j + 1] + gone[i - 1])
+            k = last.get(y, 0)
+            if k and match and kx in _LETTERS and kb[j - 1] in _LETTERS:
+                swapped = d[k][match] + (upto_a[i - 1] - upto_a[k]) + LETTER + (upto_b[j - 1] - upto_b[match])
+                best = min(best, swapped)
+            if x == y:
+                match = j
+            row[j + 1] = best
+        last[x] = i
+    return d[n + 1][m + 1]
+
+
 class BKTree:
-    """Burkhard-Keller tree over distinct strings.
+    """Burkhard-Keller tree over distinct strings under a metric.
 
     ``within(text, radius)`` returns every stored string at most ``radius`` away, with its
     distance, in order of (distance, string).
     """
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: Iterable[str], metric: Callable[[str, str], int] = edit_distance):
+        self.metric = metric
         self.root: tuple[str, dict] | None = None
+        self.longest = 0
         for w in words:
             self.add(w)
 
     def add(self, word: str) -> None:
+        self.longest = max(self.longest, len(word))
         if self.root is None:
             self.root = (word, {})
             return
         node = self.root
         while True:
-            d = edit_distance(word, node[0])
+            d = self.metric(word, node[0])
             if d == 0:
                 return
             if d not in node[1]:
@@ -81,42 +159,54 @@ class BKTree:
             node = node[1][d]
 
     def within(self, text: str, radius: int) -> list[tuple[int, str]]:
+        if len(text) > self.longest + radius:  # a sign costs 1 at least
+            return []
         found, stack = [], [self.root] if self.root else []
         while stack:
             word, children = stack.pop()
-            d = edit_distance(text, word)
+            d = self.metric(text, word)
             if d <= radius:
                 found.append((d, word))
             stack.extend(child for k, child in children.items() if d - radius <= k <= d + radius)
         return sorted(found)
 
 
-def radius_for(text: str) -> int:
-    """Edits allowed: none in short texts, one from five letters on, two from nine on."""
-    n = len(text)
-    return 0 if n < 5 else 1 if n < 9 else 2
+def radius_for(key: str) -> int:
+    """Cost allowed: blanks and look-alikes in short texts, one letter more from five on, two from nine on."""
+    n = sum(c.isalpha() for c in key)
+    return 3 if n < 5 else 5 if n < 9 else 9
 
 
 class Matcher:
-    """Finds the reference entry of a text: exact key first, then the nearest key.
+    """Finds the reference entry of a text: its exact name, else the nearest spelling in the tree.
 
-    ``entries`` are (id, spelling) pairs, several spellings per id allowed. ``key`` maps a
-    text to the string that is compared. A nearest key counts only if its digits are those
-    of the text and all keys at that distance belong to one id; so ties between entries
-    stay unmatched rather than being decided at random.
+    ``names`` are (id, name) pairs, ``spellings`` (id, key) pairs with any number of keys per id. ``key`` maps a text to the string that is
+    compared. A nearest spelling counts only if all spellings at that distance belong to one id; so
+    ties between entries stay unmatched rather than being decided at random.
     """
 
-    def __init__(self, entries: list[tuple[int, str]], key: Callable[[str], str] = str.casefold,
-                 radius: Callable[[str], int] = radius_for):
+    def __init__(self, names: list[tuple[int, str]], spellings: list[tuple[int, str]], key: Callable[[str], str] = str.casefold,
+                 radius: Callable[[str], int] = radius_for, metric: Callable[[str, str], int] = weighted_distance):
         self.key, self.radius = key, radius
-        self.ids: dict[str, set[int]] = {}
         self.exact: dict[str, int] = {}
-        for i, spelling in entries:
-            if spelling:
-                self.exact.setdefault(spelling, i)
-                self.ids.setdefault(key(spelling), set()).add(i)
-        self.ids.pop("", None)
-        self.tree = BKTree(sorted(self.ids))
+        for i, name in sorted(names):
+            self.exact.setdefault(name, i)
+        self.ids: dict[str, set[int]] = {}
+        for i, k in spellings:
+            if k:
+                self.ids.setdefault(k, set()).add(i)
+        self.tree = BKTree(sorted(self.ids, key=lambda w: (len(w), w)), metric)
+        self.known: dict[str, tuple[int, int, int]] = {}
+
+    def nearest(self, key: str) -> tuple[int, int, int]:
+        """(distance, least id, greatest id) of the nearest spellings within the radius; (-1, -1, -1) if there are none."""
+        if key not in self.known:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            near = self.tree.within(key, 0) or self.tree.within(key, self.radius(key)) if key else []
+            ids = {i for d, w in near if d == near[0][0] for i in self.ids[w]}
+            self.known[key] = (near[0][0], min(ids), max(ids)) if near else (-1, UNMATCHED, UNMATCHED)
+        return self.known[key]
 
     def match(self, text: str | None) -> tuple[int, int]:
         """(entry id or -1, distance or -1)."""
@@ -124,20 +214,8 @@ class Matcher:
             return UNMATCHED, -1
         if text in self.exact:
             return self.exact[text], 0
-        k = self.key(text)
-        if not k:
-            return UNMATCHED, -1
-        if k in self.ids:
-            return (min(self.ids[k]), 0) if len(self.ids[k]) == 1 else (UNMATCHED, -1)
-        r = self.radius(k)
-        if r == 0:
-            return UNMATCHED, -1
-        digits = re.sub(r"\D", "", k)
-        near = [(d, w) for d, w in self.tree.within(k, r) if re.sub(r"\D", "", w) == digits]
-        if not near:
-            return UNMATCHED, -1
-        best = {i for d, w in near if d == near[0][0] for i in self.ids[w]}
-        return (best.pop(), near[0][0]) if len(best) == 1 else (UNMATCHED, -1)
+        d, lo, hi = self.nearest(self.key(text))
+        return (lo, d) if lo == hi and d >= 0 else (UNMATCHED, -1)
 
 
 # --------------------------------------------------------------------------- channel keys
@@ -166,23 +244,15 @@ WORDS = {
     "vertex": "vertex",
     "inion": "inion",
 }
-#: One-word and phrase spellings that stand for several words.
-PHRASES = {
-    "leog": "eog left", "reog": "eog right", "eogl": "eog left", "eogr": "eog right",
-    "loc": "eog left", "roc": "eog right",
-    "lleg": "emg leg left", "rleg": "emg leg right",
-    "tib ant": "leg", "airflow": "resp nasal", "nasal pressure": "resp nasal",
-    "hauttemperatur": "temp skin", "skin conductance": "gsr", "galvanic skin response": "gsr",
-    "ear lobe": "earlobe", "o2 sat": "spo2", "o2sat": "spo2", "sp o2": "spo2", "e c g": "ecg", "e k g": "ecg",
-    "event marker": "stim", "vertex electrode": "vertex", "above the eye": "eog upper",
+#: Words that a name may go without, and whole spellings of entries by their name in small letters.
+OPTIONAL = ("emg", "resp", "skin", "palm")
+SPELLINGS = {
+    "eog left": "loc", "eog right": "roc", "eog upper": "above the eye", "cz": "vertex|vertex electrode", "iz": "inion",
+    "ecg": "ecg ii|ecg i|ecg 1|ecg lead|ecg lead ii|ecg heart|heart ecg|heart|ekg ii|ekg i|ekg 1|ekg lead ii",
+    "resp nasal": "airflow|nasal pressure|nasal airflow", "emg leg left": "tib ant left|left tib ant", "emg leg right": "tib ant right|right tib ant",
+    "temp skin": "hauttemperatur", "gsr palm": "skin conductance|galvanic skin response|galvanic skin", "spo2": "o2 sat|spo2 finger|finger spo2",
+    "stim": "sti 014|stim 014|sti 1|stim 1|trig 1|trigger 1|stim channel|trigger channel|status channel|event marker",
 }
-#: Words that complete a short channel name, and words that add nothing to a full one.
-_FILL = {
-    "ecg": "ecg", "chin": "chin emg", "chest": "chest resp", "abdomen": "abdomen resp",
-    "nasal": "nasal resp", "temp": "skin temp", "gsr": "gsr palm", "emg": "emg",
-    "left leg": "emg left leg", "leg right": "emg leg right",
-}
-_IDLE = {"ecg": {"heart", "lead", "ii", "1", "i"}, "spo2": {"finger"}, "stim": {"1", "014", "channel"}}
 _LOOKALIKE = str.maketrans("АВСЕНІКМОРТХУасеорхуіΑΒΕΗΙΚΜΝΟΡΤΧ", "ABCEHIKMOPTXYaceopxyiABEHIKMNOPTX")
 _UNIT = r"(?:[µμu]V(?:olts?)?|[mn]V|V|[µμu]S|n?S|K|°\s?[CF]|deg[CF]|[CF]|LSB|counts?|adu|ADC(?: counts)?|(?:micro|milli|nano)?volts?|%|a\.?u\.?)"
 _TAIL = re.compile(
@@ -204,83 +274,38 @@ def tidy_channel(text: str) -> str:
         s = h
 
 
-class ChannelKey:
-    """The string under which channel names are compared.
+def channel_key(text: str) -> str:
+    """The string under which channel names are compared: tidy, in small letters, one blank for each run of separators, no word twice in a row."""
+    k = re.sub(r"[\s_\-.,:;/|+()\[\]{}]+", " ", tidy_channel(text).casefold()).strip()
+    return re.sub(r"\b(\w+)(?: \1\b)+", r"\1", k)
 
-    Electrode positions and pairs become lower-case letters and numbers (``FC-03`` ->
-    ``fc3``, former names of a place -> its present name). Names made of words
-    become the sorted list of the words meant, after each unknown word of four letters or
-    more has been looked up in a BK-tree of the known ones.
-    """
 
-    def __init__(self, positions: list[str], former: dict[str, str]):
-        self.places = {p.lower() for p in positions}
-        self.former = {k.lower(): v.lower() for k, v in former.items()}
-        self.word = {w: canon for canon, ws in WORDS.items() for w in ws.split()}
-        self.known = BKTree(sorted({w for w in self.word if len(w) >= 4}))
-        self.phrases = sorted(PHRASES.items(), key=lambda p: -len(p[0]))
-
-    def place(self, s: str) -> str | None:
-        s = re.sub(r"[\s_\-.]", "", s).lower()
-        s = re.sub(r"(?<=[a-z])0+(?=\d)", "", s)
-        for t in (s, s[:-1] + "1" if s.endswith("l") else s, "o" + s[1:] if s[:1] == "0" else s):
-            t = self.former.get(t, t)
-            if t in self.places:
-                return t
-        return None
-
-    def pair(self, s: str) -> str | None:
-        parts = re.split(r"\s*[-/]\s*", s)
-        if len(parts) == 2:
-            a, b = self.place(parts[0]), self.place(parts[1])
-            if a and b:
-                return f"{a}-{b}"
-        if len(parts) == 1:
-            t = re.sub(r"\s", "", s)
-            for i in range(2, len(t) - 1):
-                a, b = self.place(t[:i]), self.place(t[i:])
-                if a and b and t[i - 1].lower() in "0123456789z" and t[i].isalpha():
-                    return f"{a}-{b}"
-        return None
-
-    def spell(self, w: str) -> str:
-        if w in self.word:
-            return self.word[w]
-        if len(w) >= 3 and w.isalpha():
-            near = self.known.within(w, 1 if len(w) < 8 else 2)
-            meant = {self.word[k] for d, k in near if d == near[0][0]}
-            if len(meant) == 1:
-                return meant.pop()
-        return w
-
-    def __call__(self, text: str) -> str:
-        if re.search(r"[a-z]'\d", text, re.IGNORECASE):  # depth electrodes, which no place name means
-            return ""
-        s = tidy_channel(text)
-        p = self.place(s) or self.pair(s)
-        if p:
-            return p
-        t = " ".join(re.findall(r"[^\W_]+", s.lower()))
-        t = re.sub(r"\bsp0(?=2)", "spo", t)
-        for phrase, words in self.phrases:
-            t = re.sub(rf"\b{phrase}\b", words, t)
-        words = {self.spell(w) for w in t.split()}
-        for core, idle in _IDLE.items():
-            if core in words:
-                words -= idle
-        k = " ".join(sorted(words))
-        return _FILL.get(k, k)
+def channel_spellings(name: str, former: str | None, label: str | None, places: dict[str, str]) -> set[str]:
+    """Keys of all ways to write one entry.
+
+    These are its name, its former name and its label; a pair with the former names of its places (``places``, by present name); a name
+    of words in any order with each word's other spellings, also without the words it may go without; whole spellings.
+    """
+    out = {channel_key(x) for x in (name, former, label) if x}
+    sides = re.split(r"\s*-\s*", name)
+    if len(sides) == 2:
+        out |= {channel_key(f"{a}-{b}") for a in {sides[0], places.get(sides[0], sides[0])} for b in {sides[1], places.get(sides[1], sides[1])}}
+    for way in (name, label or ""):
+        words = re.findall(r"[^\W_]+", way.casefold())
+        if words and len(words) <= 4 and all(w in WORDS for w in words):
+            short = [w for w in words if w not in OPTIONAL]
+            for chosen in (words, short):
+                for spelt in product(*(WORDS[w].split() for w in chosen)):
+                    out |= {" ".join(order) for order in permutations(spelt)}
+    out |= {x for x in SPELLINGS.get(name.casefold(), "").split("|") if x}
+    return out - {""}
 
 
 def channel_matcher(electrodes: list[tuple[int, str, str | None, str | None]]) -> Matcher:
     """Matcher for rows (electrode_id, name, former_name, label)."""
-    single = [n for _, n, _, _ in electrodes if n and re.fullmatch(r"[A-Za-z]+(?:\d+|z)", n)]
-    key = ChannelKey(single, {f: n for _, n, f, _ in electrodes if f and n})
-    entries = [(i, x) for i, n, f, lab in electrodes for x in (n, f, lab) if x]
-    m = Matcher(entries, key, lambda k: radius_for(k) if " " in k else 0)
-    # a former name or a label is a way to write the entry, not its exact name
-    m.exact = {n: i for i, n, _, _ in electrodes if n}
-    return m
+    places = {n: f for _, n, f, _ in electrodes if f and n}
+    rows = [(i, n, f, lab) for i, n, f, lab in electrodes if n]
+    return Matcher([(i, n) for i, n, _, _ in rows], [(i, k) for i, n, f, lab in rows for k in channel_spellings(n, f, lab, places)], channel_key)
 
 
 # --------------------------------------------------------------------------- Spark side
@@ -310,54 +335,72 @@ def match_broadcast(text: Column, matcher_of: Callable[[], Matcher]) -> Column:
     return matched(text)
 
 
-def match_channels(df: DataFrame, text: str, electrodes: DataFrame, out: str = "electrode_id") -> DataFrame:
+def match_channels(df: DataFrame, text: str, electrodes: DataFrame, out: str = "electrode_id", *, most: int = BROADCAST_ENTRIES) -> DataFrame:
     """Add the electrode that each channel text names, or -1.
 
     Null, empty and undecidable texts give -1; repeated rows are kept; an empty
-    reference list gives -1 throughout; other columns pass through unchanged. The reference
-    is broadcast only up to ``BROADCAST_ENTRIES`` rows; a larger one raises ValueError, for
-    which ``match_sharded`` is the way.
+    reference list gives -1 throughout; other columns pass through unchanged. Up to ``most`` entries
+    are broadcast; a longer list is matched in shards (``match_sharded``), with the same result.
     """
-    rows = electrodes.select("electrode_id", "name", "former_name", "label").limit(BROADCAST_ENTRIES + 1).collect()
-    if len(rows) > BROADCAST_ENTRIES:
-        raise ValueError("reference list too large to broadcast: use match_sharded")
-    data = sorted((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None)
+    rows = electrodes.select("electrode_id", "name", "former_name", "label").limit(most + 1).collect()
+    if len(rows) > most:
+        return _match_many(df, text, electrodes, out, most)
+    data = sorted(((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1]))
     return df.withColumn(out, match_broadcast(F.col(text), lambda: channel_matcher(data)))
 
 
-def match_sharded(
-    texts: DataFrame, text: str, reference: DataFrame, entry_id: str, spelling: str, *, radius: int = 2, shards: int = 16
-) -> DataFrame:
-    """Nearest reference entry of each distinct text, for a reference of any size.
+def _match_many(df: DataFrame, text: str, electrodes: DataFrame, out: str, most: int) -> DataFrame:
+    former = electrodes.where("former_name is not null and name is not null").select("name", "former_name").limit(BROADCAST_ENTRIES + 1).collect()
+    if len(former) > BROADCAST_ENTRIES:
+        raise ValueError("too many former names")
+    places = {r[0]: r[1] for r in former}
+
+    def spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [(i, n, k) for i, n, f, lab in pdf.itertuples(index=False) for k in sorted(channel_spellings(n, f, lab, places))]
+            yield pd.DataFrame(keys, columns=["id", "name", "k"])
+
+    entries = electrodes.where("electrode_id is not null and name is not null").select(F.col("electrode_id").cast("long").alias("id"), "name", "former_name", "label")
+    found = match_sharded(df, text, entries.mapInPandas(spelt, "id long, name string, k string"), channel_key, shard_keys=most)
+    return join_unique(df, found.select(F.col("text").alias(text), F.col("match_id").cast("int").alias(out)), text, "left").withColumn(out, F.coalesce(out, F.lit(UNMATCHED)))
+
+
+#: Distinct texts of one block.
+BLOCK_TEXTS = 50_000
+
+
+def match_sharded(texts: DataFrame, text: str, spellings: DataFrame, key: Callable[[str], str] = str.casefold, *, radius: Callable[[str], int] = radius_for,
+                  metric: Callable[[str, str], int] = weighted_distance, shard_keys: int = BROADCAST_ENTRIES, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """The reference entry of each distinct text, for a reference of any size: (text, match_id, distance).
 
-    Each distinct text meets the BK-tree of every shard once; only each shard's winner is
-    kept and the winners merge on (distance, id), so that a tie goes to the
-    smallest id. Returns (``text``, match_id, distance), -1 for texts without an entry within
-    ``radius``. Null texts give no row, empty ones are compared as they are; an empty
-    reference leaves all texts unmatched.
+    ``spellings`` has (id, name, k): each entry's name and the keys it is spelt with. Keys are dealt to shards of about ``shard_keys``,
+    distinct texts to blocks of about ``block_texts``; each pair of a shard and a block is one task, which builds the shard's tree. An exact name
+    wins, then the nearest spelling within the radius; the winners of the shards merge by distance, and a
+    tie between entries leaves the text unmatched (-1), as in ``Matcher``. Null texts give no row; an empty reference leaves all texts unmatched.
     """
-    q = texts.select(F.col(text).alias("q")).where("q is not null").distinct()
-    slots = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    left = q.select("q", slots)
-    right = reference.select(
-        F.col(entry_id).cast("long").alias("id"), F.col(spelling).alias("w"),
-        F.pmod(F.xxhash64(spelling), F.lit(shards)).cast("int").alias("shard"),
-    ).where("w is not null")
+    q = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
+    shards, blocks = max(1, math.ceil(spellings.count() / shard_keys)), max(1, math.ceil(q.count() / block_texts))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")).select("text", "block", every(shards).alias("shard"))
+    right = spellings.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int")).select("id", "name", "k", "shard", every(blocks).alias("block"))
 
     def winners(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        ids = b.groupby("w")["id"].min().to_dict()
-        tree, rows = BKTree(sorted(ids)), []
-        for x in a["q"]:
-            near = tree.within(x, radius)
-            if near:
-                d, i = min((d, ids[w]) for d, w in near)
-                rows.append((x, i, d))
-        return pd.DataFrame(rows, columns=["q", "id", "d"])
-
-    won = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(winners, "q string, id long, d int")
-    best = won.groupBy("q").agg(F.min(F.struct("d", "id")).alias("m"))
-    return q.join(best, "q", "left").select(
-        F.col("q").alias(text),
-        F.coalesce("m.id", F.lit(UNMATCHED).cast("long")).alias("match_id"),
-        F.coalesce("m.d", F.lit(-1)).alias("distance"),
+        rows = []
+        if len(a) and len(b):
+            ids = [int(i) for i in b["id"]]
+            m = Matcher(list(zip(ids, b["name"], strict=True)), list(zip(ids, b["k"], strict=True)), key, radius, metric)
+            for t in a["text"]:
+                d, lo, hi = (-1, m.exact[t], m.exact[t]) if t in m.exact else m.nearest(key(t))
+                if lo != UNMATCHED:
+                    rows.append((t, d, lo, hi))
+        return pd.DataFrame(rows, columns=["text", "d", "lo", "hi"])
+
+    won = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(winners, "text string, d int, lo long, hi long")
+    tied = won.groupBy("text", "d").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    best = tied.groupBy("text").agg(F.min(F.struct("d", "lo", "hi")).alias("m"))
+    one = (F.col("m.d") < 0) | (F.col("m.lo") == F.col("m.hi"))  # of repeated exact names the smallest id counts
+    return q.join(best, "text", "left").select(
+        "text",
+        F.when(one, F.col("m.lo")).otherwise(F.lit(UNMATCHED).cast("long")).alias("match_id"),
+        F.when(one, F.greatest("m.d", F.lit(0))).otherwise(-1).alias("distance"),
     )

@@ -36,8 +36,8 @@ def p3_common(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     electrodes = table(spark, root, "electrodes")
-    names = [r[0] for r in electrodes.select("name").where("name is not null").distinct().limit(100_001).collect()]
-    typed = channel_values(spark, root).where(~F.col("ch_text").isin(*names))
+    names = electrodes.select(F.col("name").alias("ch_text"))
+    typed = channel_values(spark, root).join(names, "ch_text", "left_anti")
     return match_channels(typed, "ch_text", electrodes).select("loc_id", "ch_pos", "electrode_id")
 
 
