@@ -1,10 +1,14 @@
 """Quantities recorded in different units.
 
-Method: a hidden Markov model per device with the unit as hidden state. A device's entries
-form a sequence in order of time; Viterbi decodes the units from the jumps of the
-log values against a smooth underlying level of the device, which follows the decoded values in the
-common unit. What files tell about units (a dictionary, the channel's own text, the
-description) is evidence with a weight, so that a wrong statement loses against the numbers.
+Method: a hidden Markov model per device with the unit as hidden state. A device's entries form one sequence in order of
+time; Viterbi decodes the units from the jumps of the log values against a smooth underlying level. The level is the
+device's own: of each kind of channel it is found from all values of the device, month by month, as the path on which values and told units
+agree best. What files tell about units (a dictionary, the channel's own text, the description) is evidence with a weight, so that a
+wrong statement loses against the numbers, earlier or later.
+
+Viterbi runs over whole devices, however many tasks hold them: each block of a sequence is first reduced to the best score from every
+unit before it to every unit at its end, a device's few small tables are chained, and every block is then decoded between the units that the chain
+gives for its ends. That is the same as one pass over the whole sequence.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions.naming import known_studies, study_key
 from sigframe.operators.packed_fields import let, packed_values
 from sigframe.operators.reference_match import BROADCAST_ENTRIES, channel_matcher
+from sigframe.session import written
 
 #: How a unit is written (lower case, whole text).
 SPELLINGS = {
@@ -39,14 +45,18 @@ SPELLINGS = {
 #: Power of ten of each unit in its quantity's common unit. LSB has the step of the description.
 DECADES = {"uV": 0.0, "mV": 3.0, "V": 6.0, "nV": -3.0, "uS": 0.0, "S": 6.0, "nS": -3.0}
 STATES = {"voltage": ("uV", "mV", "V", "nV", "LSB"), "temperature": ("degC", "degF", "K"), "conductance": ("uS", "S", "nS")}
-#: Physical prior of the level (log10 of the standard deviation in uV) by kind of channel; the start of the smooth level.
-START_LEVEL = {"eeg": 1.2, "bipolar": 1.2, "eog": 1.65, "emg": 1.35, "ecg": 2.4}
-_QUANTITY = {"temperature": "temperature", "gsr": "conductance"}
-#: Emission: spread of log10 values around the level, and the most an implausible value can cost.
-SPREAD, WORST = 0.3, 40.0
-#: Log odds of a told unit being right, by source, and of staying in the same unit.
-TOLD, STAY, FOLLOW = 2.5, 4.0, 2.0
-SMOOTHING = 0.05
+#: Kinds of channels with the quantity they record and what their level usually is (log10 of the standard deviation in uV, of the mean in uS, degC):
+#: the weak prior of the level.
+KINDS = {"eeg": ("voltage", 1.2), "bipolar": ("voltage", 1.2), "eog": ("voltage", 1.65), "emg": ("voltage", 1.35), "ecg": ("voltage", 2.4), "temperature": ("temperature", 34.0), "gsr": ("conductance", 0.7)}
+_KIND, _QUANTITY = list(KINDS), list(STATES)
+_OF_KIND = np.array([_QUANTITY.index(q) for q, _ in KINDS.values()])
+#: Emission: spread of log10 values (of degrees) around the level, and the most an implausible value can cost.
+SPREAD, SPREAD_DEGREES, WORST = 0.3, 6.0, 40.0
+#: Log odds of a told unit being right, by source, and of staying in the same unit within and between recordings.
+TOLD, STAY, STAY_BETWEEN = 2.5, 4.0, 2.0
+#: Levels: the grid and the spread of the prior in decades (degrees), what a step of the grid from one month to the next costs, and an unusual unit.
+GRID, GRID_DEGREES = np.round(np.arange(-5.0, 8.01, 0.1), 1), np.arange(-40.0, 120.1, 1.0)
+PRIOR, PRIOR_DEGREES, DRIFT, UNUSUAL = 1.0, 12.0, 1.0, 0.7
 
 _KEY = r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|\\.)*)')"""
 _ENTRY = _KEY + r"""\s*:\s*[(\[{]([^)\]}]*)[)\]}]"""
@@ -153,12 +163,11 @@ def by_device(locator: DataFrame, studies: DataFrame) -> DataFrame:
 
 
 def unit_evidence(rows: DataFrame) -> DataFrame:
-    """What the entries of each recording are, and what is told about their units; one row for one row."""
-    m = moments(F.col("mean_std"))
+    """One row per entry with numbers, in the order of ``rows``: what it is, and what is told about its unit."""
     lsb = F.regexp_extract("description", _LSB, 1).try_cast("double")
     base = rows.select(
-        "loc_id", "device",
-        F.filter(m, lambda e: (e["key"] != "all_eeg") & e["mean"].isNotNull() & e["std"].isNotNull()).alias("m"),
+        "loc_id", "device", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("month"),
+        F.filter(moments(F.col("mean_std")), lambda e: (e["key"] != "all_eeg") & e["mean"].isNotNull() & e["std"].isNotNull()).alias("m"),
         packed_values(F.col("channel_names"), F.col("number_of_channels").try_cast("int")).alias("slots"),
         unit_pairs(F.col("infer_unit")).alias("told"),
         F.regexp_extract("description", _SAYS, 1).alias("says"),
@@ -166,118 +175,322 @@ def unit_evidence(rows: DataFrame) -> DataFrame:
         F.regexp_extract("description", r"(?i)conductance in ([^\s.]+)", 1).alias("cond"),
         F.when(lsb > 0, lsb).alias("lsb"),
     )
-    return base.select(
-        "loc_id", "device", "says", "temp", "cond", "lsb", "slots",
-        *[F.col("m")[c].alias(c + "s") for c in ("key", "mean", "std")],
-        F.col("told")["key"].alias("told_keys"), F.col("told")["unit"].alias("told_units"),
-    )
 
+    def entry(e: Column) -> Column:
+        unit = lambda key: F.get(F.filter("told", lambda t: t["key"] == key), F.lit(0))["unit"]
+        place = F.array_position("slots", e["key"])
+        return F.struct(e["key"].alias("key"), e["mean"].alias("mean"), e["std"].alias("std"), F.when(place > 0, (place - 1).cast("int")).alias("ch_pos"), F.coalesce(unit(e["key"]), unit(F.lit("*"))).alias("unit"))
 
-def _emission(quantity: str, level: float, mean: float, std: float, lsb: float | None) -> np.ndarray:
-    """Log likelihood of an entry under each unit of its quantity."""
-    if quantity == "temperature":
-        in_c = np.array([mean, (mean - 32) / 1.8, mean - 273.15])
-        z = (in_c - level) / 6.0
-    else:
-        value = std if quantity == "voltage" else abs(mean)
-        if not value > 0:
-            return np.zeros(len(STATES[quantity]))
-        lg = np.log10(value)
-        steps = [DECADES.get(u, np.log10(lsb) if lsb else np.nan) for u in STATES[quantity]]
-        z = (lg + np.array(steps) - level) / SPREAD
-    cost = np.minimum(0.5 * z * z, WORST)
-    return -np.where(np.isnan(cost), 1e6, cost)
-
-
-def decode_sequence(entries: list[tuple], prior: np.ndarray, levels: dict[str, float]) -> tuple[list[int], np.ndarray]:
-    """Viterbi over the entries of one recording and one quantity.
-
-    ``entries`` are (kind, quantity, mean, std, lsb, told units); ``prior`` is the log weight of
-    each unit at the start, ``levels`` the smooth level by kind. Returns the decoded states
-    and the scores at the end, normalised to a highest of 0.
-    """
-    quantity = entries[0][1]
-    units = STATES[quantity]
-    n = len(units)
-    move = np.where(np.eye(n, dtype=bool), 0.0, -STAY)
-    score, back = prior.copy(), []
-    for k, (kind, _, mean, std, lsb, told) in enumerate(entries):
-        e = _emission(quantity, levels[kind], mean, std, lsb)
-        for t in told:
-            if t in units:
-                e = e + np.where(np.arange(n) == units.index(t), TOLD, 0.0)
-        if k:
-            step = score[:, None] + move
-            back.append(step.argmax(axis=0))
-            score = step.max(axis=0)
-        score = score + e
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1], np.maximum(score - score.max(), -FOLLOW)
+    e = base.select("loc_id", "device", "month", "says", "temp", "cond", "lsb", F.posexplode(F.transform("m", entry)).alias("i", "e"))
+    return e.select("loc_id", "device", "month", "i", "e.key", "e.mean", "e.std", "e.ch_pos", "e.unit", "says", "temp", "cond", "lsb")
+
+
+_LISTS = {"loc_id": pa.int64(), "ch_pos": pa.int32(), "key": pa.string(), "kind": pa.int8(), "mean": pa.float64(), "std": pa.float64(), "lsb": pa.float64(), "start": pa.bool_()}
+#: What each source tells: the place of the unit among the states of the entry's quantity, -1 for nothing.
+_SOURCES = ("by_file", "by_name", "by_text")
+_BLOCK = "device string, month string, part int, block int, loc_id array<long>, ch_pos array<int>, key array<string>, kind array<tinyint>, mean array<double>, std array<double>, lsb array<double>, start array<boolean>, " + ", ".join(f"{c} array<tinyint>" for c in _SOURCES)
+
+
+def _blocks(kinds_of: Callable[[], tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Neighbouring entries of one device and month as one row; a batch of entries bounds its length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _decoder(kinds_of: Callable[[], tuple]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, block = TaskContext.get().partitionId(), 0
         matcher, kinds = kinds_of()
-        kind_of: dict[str, tuple[str, str | None]] = {}
-        device, levels, priors = None, {}, {}
-        for pdf in batches:
-            out: list[tuple] = []
-            for r in pdf.itertuples(index=False):
-                if r.device != device:
-                    device = r.device
-                    levels = START_LEVEL | {"temperature": 34.0, "gsr": 0.7}
-                    priors = {q: np.zeros(len(u)) for q, u in STATES.items()}
-                groups: dict[str, list[int]] = {}
-                described = {"voltage": written_unit(r.says), "temperature": written_unit(r.temp), "conductance": written_unit(r.cond)}
-                listed = dict(zip(r.told_keys, r.told_units, strict=True))
-                place: dict[str, int] = {}
-                for j, slot in enumerate(r.slots):
-                    place.setdefault(slot, j)
-                names = []
-                for i, k in enumerate(r.keys):
-                    if k not in kind_of:
-                        kind = kinds.get(matcher.match(k)[0], "eeg")
-                        kind_of[k] = (kind if kind in levels else "eeg", unit_in_name(k))
-                    names.append(kind_of[k][0])
-                    groups.setdefault(_QUANTITY.get(names[i], "voltage"), []).append(i)
-                for q, at in groups.items():
-                    lsb = None if r.lsb is None or r.lsb != r.lsb else r.lsb
-                    seq = [
-                        (names[i], q, r.means[i], r.stds[i], lsb, (written_unit(listed.get(r.keys[i], listed.get("*"))), kind_of[r.keys[i]][1], described[q]))
-                        for i in at
-                    ]
-                    path, priors[q] = decode_sequence(seq, priors[q], levels)
-                    for i, s in zip(at, path, strict=True):
-                        out.append((r.loc_id, place.get(r.keys[i]), r.keys[i], q, STATES[q][s], r.means[i], r.stds[i], lsb))
-                        if q != "temperature":
-                            value = r.stds[i] if q == "voltage" else abs(r.means[i])
-                            if value > 0:
-                                x = np.log10(value) + DECADES.get(STATES[q][s], np.log10(lsb) if lsb else 0.0)
-                                gap = float(np.clip(x - levels[names[i]], -SPREAD, SPREAD))
-                                lo, hi = _BOUNDS.get(names[i], (-9.0, 9.0))
-                                levels[names[i]] = min(max(levels[names[i]] + SMOOTHING * gap, lo), hi)
-                if len(kind_of) > 500_000:
-                    kind_of.clear()
-            yield pd.DataFrame(out, columns=["loc_id", "ch_pos", "key", "quantity", "unit", "mean", "std", "lsb"]).astype({"ch_pos": "Int32"})
+        kind_of: dict[str, tuple[int, str | None]] = {}
+
+        def places(units: pd.Series, quantity: np.ndarray) -> np.ndarray:
+            out = np.full(len(units), -1, np.int8)
+            coded = units.map({u: written_unit(u) for u in units.unique()})
+            for q, states in enumerate(STATES.values()):
+                here = quantity == q
+                out[here] = coded[here].map({u: i for i, u in enumerate(states)}).fillna(-1).astype(np.int8)
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d = batch.to_pandas()
+            for k in d["key"].unique():
+                if k not in kind_of:
+                    kind = kinds.get(matcher.match(k)[0], "eeg")
+                    kind_of[k] = (_KIND.index(kind) if kind in KINDS else 0, unit_in_name(k))
+            kind = d["key"].map({k: kind_of[k][0] for k in d["key"].unique()}).to_numpy(np.int8)
+            quantity = _OF_KIND[kind]
+            named = d["key"].map({k: kind_of[k][1] for k in d["key"].unique()})
+            text = d["says"].where(quantity == 0, d["temp"].where(quantity == 1, d["cond"]))
+            new = (d["device"].ne(d["device"].shift()) | d["month"].ne(d["month"].shift())).to_numpy()
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(first, len(d)).astype(np.int32))
+            values = {c: batch.column(c) for c in ("loc_id", "ch_pos", "key", "mean", "std", "lsb")}
+            values |= {"kind": pa.array(kind), "start": pa.array(d["i"].to_numpy() == 0)}
+            told = [pa.array(places(u, quantity)) for u in (d["unit"], named, text)]
+            lists = [pa.ListArray.from_arrays(offsets, values[c].cast(t)) for c, t in _LISTS.items()] + [pa.ListArray.from_arrays(offsets, t) for t in told]
+            at = pa.array(first)
+            head = [batch.column("device").take(at), batch.column("month").take(at), pa.array(np.full(len(first), part, np.int32)), pa.array(np.arange(block, block + len(first), dtype=np.int32))]
+            block += len(first)
+            yield pa.RecordBatch.from_arrays([*head, *lists], names=["device", "month", "part", "block", *_LISTS, *_SOURCES])
+            if len(kind_of) > 500_000:
+                kind_of.clear()
 
     return run
 
 
-#: The smooth level stays within so much of its physical prior.
-_BOUNDS = {k: (v - 0.5, v + 0.5) for k, v in START_LEVEL.items()} | {"gsr": (0.2, 1.2)}
+# ------------------------------------------------------------------------------ the level
+def _steps(quantity: str, lsb: np.ndarray) -> np.ndarray:
+    """Power of ten of each unit in the common one, a row per entry; NaN where the converter step is not known."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        own = np.log10(lsb)
+    return np.stack([own if u == "LSB" else np.full(len(lsb), DECADES[u]) for u in STATES[quantity]], axis=1)
+
+
+def in_common(quantity: str, mean: np.ndarray, std: np.ndarray, lsb: np.ndarray) -> np.ndarray:
+    """What the level is held against, if the entry were in each unit of its quantity: (entries, units), NaN where that says nothing."""
+    if quantity == "temperature":
+        return np.stack([mean, (mean - 32) / 1.8, mean - 273.15], axis=1)
+    value = std if quantity == "voltage" else np.abs(mean)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        lg = np.where(value > 0, np.log10(value), np.nan)
+    return lg[:, None] + _steps(quantity, lsb)
+
+
+def _told(places: np.ndarray, n: int) -> np.ndarray:
+    """Weight of what the sources tell (sources, entries) for each of ``n`` units."""
+    return TOLD * (places[:, :, None] == np.arange(n)).sum(axis=0)
+
+
+class _Entries:
+    """The entries of a batch of blocks, flat, with the block that each belongs to."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.length = np.asarray(batch.column("kind").value_lengths().fill_null(0), np.int64)
+        self.block = np.repeat(np.arange(batch.num_rows), self.length)
+        flat = lambda c: batch.column(c).flatten()
+        self.kind = np.asarray(flat("kind"), np.int64)
+        self.quantity = _OF_KIND[self.kind]
+        self.mean, self.std = np.asarray(flat("mean"), np.float64), np.asarray(flat("std"), np.float64)
+        self.lsb = flat("lsb").to_numpy(zero_copy_only=False).astype(np.float64)
+        self.start = np.asarray(flat("start"), bool)
+        self.told = np.stack([np.asarray(flat(c), np.int64) for c in _SOURCES])
+
+    def weight(self) -> np.ndarray:
+        """1 over the number of entries of the same recording and quantity."""
+        new = self.start.copy()
+        new[np.cumsum(self.length)[self.length > 0] - self.length[self.length > 0]] = True
+        _, of, count = np.unique(np.cumsum(new) * len(_QUANTITY) + self.quantity, return_inverse=True, return_counts=True)
+        return 1.0 / count[of]
+
+
+_HISTOGRAM = "device string, month string, kind int, told int, bin int, lsb_bin int, n double"
+
+
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of entries by rounded value and by what is told, for each device, month and kind; a recording weighs 1 for each quantity."""
+    for batch in batches:
+        e = _Entries(batch)
+        quantity = e.quantity
+        x = np.where(quantity == 1, e.mean, np.nan)
+        for q in (0, 2):
+            here = quantity == q
+            x[here] = in_common(_QUANTITY[q], e.mean[here], e.std[here], e.lsb[here])[:, 0] * 10
+        with np.errstate(divide="ignore", invalid="ignore"):
+            step = np.log10(e.lsb) * 10
+        ok = np.isfinite(x)
+        told = (e.told[0] + 1) * 36 + (e.told[1] + 1) * 6 + e.told[2] + 1
+        d = pd.DataFrame({
+            "n": e.weight()[ok], "at": e.block[ok], "kind": e.kind[ok], "told": told[ok], "bin": np.clip(np.round(x[ok]), -2e9, 2e9).astype(np.int64),
+            "lsb_bin": np.where(np.isfinite(step[ok]) & (quantity[ok] == 0), np.round(np.nan_to_num(step[ok])), -9999).astype(np.int64),
+        })
+        g = d.groupby(["at", "kind", "told", "bin", "lsb_bin"], sort=False, as_index=False)["n"].sum()
+        at = pa.array(g["at"].to_numpy())
+        columns = [pa.array(g[c].to_numpy().astype(np.int32)) for c in ("kind", "told", "bin", "lsb_bin")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("device").take(at), batch.column("month").take(at), *columns, pa.array(g["n"].to_numpy())],
+            names=["device", "month", "kind", "told", "bin", "lsb_bin", "n"],
+        )
+
+
+def smooth_level(support: np.ndarray, grid: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The path over a grid of levels with the highest support (months, levels), where every step of the grid between months costs ``DRIFT``."""
+    step = DRIFT * np.abs(np.arange(len(grid))[:, None] - np.arange(len(grid)))
+    total, back = prior + support[0], []
+    for s in support[1:]:
+        moved = total[:, None] - step
+        back.append(moved.argmax(axis=0))
+        total = moved.max(axis=0) + s
+    path = [int(total.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return grid[path[::-1]]
+
+
+def _levels(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The level of every kind in every month of one device, from its histogram."""
+    months = sorted(pdf["month"].unique())
+    level = np.tile([start for _, start in KINDS.values()], (len(months), 1)).astype(float)
+    for kind, d in pdf.groupby("kind"):
+        quantity, start = KINDS[_KIND[kind]]
+        degrees = quantity == "temperature"
+        grid, spread, wide = (GRID_DEGREES, SPREAD_DEGREES, PRIOR_DEGREES) if degrees else (GRID, SPREAD, PRIOR)
+        bins, lsb = d["bin"].to_numpy(float), np.where(d["lsb_bin"] == -9999, np.nan, 10.0 ** (d["lsb_bin"].to_numpy(float) / 10))
+        value = bins if degrees else 10.0 ** np.clip(bins / 10, -300, 300)
+        x = in_common(quantity, value, value, lsb)
+        told = d["told"].to_numpy()
+        weight = _told(np.stack([told // 36 - 1, told // 6 % 6 - 1, told % 6 - 1]), x.shape[1])
+        unusual = np.where(np.arange(x.shape[1]) == 0, 0.0, UNUSUAL)
+        best = np.full((len(d), len(grid)), -np.inf)
+        for u in range(x.shape[1]):
+            z = (x[:, u, None] - grid) / spread
+            fit = np.where(np.isnan(z), -1e6, -np.minimum(0.5 * z * z, WORST)) + weight[:, u, None] - unusual[u]
+            best = np.logaddexp(best, fit)
+        here = np.searchsorted(months, d["month"])
+        support = np.zeros((len(months), len(grid)))
+        np.add.at(support, here, best * d["n"].to_numpy()[:, None])
+        level[:, kind] = smooth_level(support, grid, -0.5 * ((grid - start) / wide) ** 2)
+    return pd.DataFrame({"device": pdf["device"].iloc[0], "month": months, "levels": list(level)})
+
+
+def device_levels(blocks: DataFrame) -> DataFrame:
+    """(device, month, levels): the smooth level of every kind of channel, in the order of ``KINDS``.
+
+    Only counts by rounded value are moved; a device has at most some thousand for each month.
+    """
+    counts = blocks.mapInArrow(_histogram, _HISTOGRAM).groupBy("device", "month", "kind", "told", "bin", "lsb_bin").agg(F.sum("n").alias("n"))
+    return counts.groupBy("device").applyInPandas(_levels, "device string, month string, levels array<double>")
+
+
+# ------------------------------------------------------------------------------ Viterbi
+class Sequences:
+    """The entries of one quantity of a batch of blocks as padded sequences: emissions (blocks, time, units), and what each step costs."""
+
+    def __init__(self, e: _Entries, levels: np.ndarray, q: int):
+        name = _QUANTITY[q]
+        n = len(STATES[name])
+        self.rows = np.flatnonzero(e.quantity == q)
+        block = e.block[self.rows]
+        self.blocks, self.of, count = np.unique(block, return_inverse=True, return_counts=True)
+        self.time = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+        self.length = count
+        x = in_common(name, e.mean[self.rows], e.std[self.rows], e.lsb[self.rows])
+        z = (x - levels[block, e.kind[self.rows]][:, None]) / (SPREAD_DEGREES if name == "temperature" else SPREAD)
+        cost = np.where(np.isnan(z), 1e6, np.minimum(0.5 * z * z, WORST))
+        cost[np.isnan(x[:, 0])] = 0.0  # a constant channel says nothing
+        top = int(count.max(initial=0))
+        self.emission = np.zeros((len(self.blocks), top, n))
+        self.emission[self.of, self.time] = _told(e.told[:, self.rows], n) - cost
+        self.stay = np.full((len(self.blocks), top), STAY)
+        self.stay[self.of, self.time] = np.where(e.start[self.rows], STAY_BETWEEN, STAY)
+        self.live = np.arange(top) < count[:, None]
+
+    def reduced(self) -> np.ndarray:
+        """Best score from each unit before a block to each unit at its end: (blocks, units, units)."""
+        n = self.emission.shape[2]
+        m = np.where(np.eye(n, dtype=bool), 0.0, -np.inf)[None].repeat(len(self.blocks), axis=0)
+        for t in range(self.emission.shape[1]):
+            moved = np.maximum(m, m.max(axis=2, keepdims=True) - self.stay[:, t, None, None]) + self.emission[:, t, None, :]
+            m = np.where(self.live[:, t, None, None], moved, m)
+        return m
+
+    def decoded(self, before: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The unit of every entry (in the order of ``rows``), given the units before the blocks (-1 for none) and at their ends."""
+        k, top, n = self.emission.shape
+        score = np.where((np.arange(n) == before[:, None]) | (before[:, None] < 0), 0.0, -np.inf)
+        back = np.zeros((top, k, n), np.int8)
+        at = np.arange(n)
+        for t in range(top):
+            best = score.argmax(axis=1)
+            jump = score.max(axis=1) - self.stay[:, t]
+            stays = score >= jump[:, None]
+            back[t] = np.where(self.live[:, t, None], np.where(stays, at, best[:, None]), at)
+            score = np.where(self.live[:, t, None], np.where(stays, score, jump[:, None]) + self.emission[:, t], score)
+        path = np.zeros((k, top), np.int8)
+        state = np.where(end < 0, score.argmax(axis=1), end)
+        rows = np.arange(k)
+        for t in range(top - 1, -1, -1):
+            path[:, t] = state
+            state = back[t, rows, state]
+        return path[self.of, self.time]
+
+
+def _parts(batch: pa.RecordBatch, size: int = 64) -> Iterator[pa.RecordBatch]:
+    """Blocks of similar length together, a few at a time, so that little is padded."""
+    length = np.asarray(batch.column("kind").value_lengths().fill_null(0))
+    order = np.argsort(length, kind="stable")
+    for i in range(0, len(order), size):
+        yield batch.take(pa.array(order[i : i + size]))
+
+
+def _level_rows(batch: pa.RecordBatch) -> np.ndarray:
+    start = [s for _, s in KINDS.values()]
+    return np.array([start if v is None else v for v in batch.column("levels").to_pylist()], float).reshape(batch.num_rows, len(KINDS))
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in _parts(whole):
+            e, levels = _Entries(batch), _level_rows(batch)
+            for q in range(len(_QUANTITY)):
+                s = Sequences(e, levels, q)
+                if len(s.blocks):
+                    at = pa.array(s.blocks)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(batch.column(c).take(at) for c in ("device", "part", "block")), pa.array(np.full(len(s.blocks), q, np.int8)), pa.array([m.ravel().tolist() for m in s.reduced()], pa.list_(pa.float64()))],
+                        names=["device", "part", "block", "q", "best"],
+                    )
+
+
+def chain(best: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(unit before, unit at the end) of each block of a sequence from its reduced blocks; -1 before the first."""
+    n = best[0].shape[0]
+    score = [np.zeros(n)]
+    for m in best:
+        s = (score[-1][:, None] + m).max(axis=0)
+        score.append(s - s.max())
+    state, out = int(score[-1].argmax()), []
+    for k in range(len(best) - 1, -1, -1):
+        before = int((score[k] + best[k][:, state]).argmax())
+        out.append((before if k else -1, state))
+        state = before
+    return out[::-1]
+
+
+def _chained(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["part", "block"])
+    n = len(STATES[_QUANTITY[pdf["q"].iloc[0]]])
+    ends = chain([np.asarray(b, float).reshape(n, n) for b in pdf["best"]])
+    return pd.DataFrame({"part": pdf["part"].to_numpy(), "block": pdf["block"].to_numpy(), "q": pdf["q"].to_numpy(), "before": [a for a, _ in ends], "end": [b for _, b in ends]})
+
 
 _DECODED = "loc_id long, ch_pos int, key string, quantity string, unit string, mean double, std double, lsb double"
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in _parts(whole):
+            e, levels = _Entries(batch), _level_rows(batch)
+            unit = np.full(len(e.kind), "", object)
+            ends = {c: np.array([[-1] * 3 if v is None else v for v in batch.column(c).to_pylist()], np.int64).reshape(-1, 3) for c in ("before", "end")}
+            for q, name in enumerate(_QUANTITY):
+                s = Sequences(e, levels, q)
+                if len(s.blocks):
+                    unit[s.rows] = np.array(STATES[name], object)[s.decoded(ends["before"][s.blocks, q], ends["end"][s.blocks, q])]
+            quantity = np.array(_QUANTITY, object)[e.quantity]
+            flat = {c: batch.column(c).flatten() for c in ("loc_id", "ch_pos", "key", "mean", "std", "lsb")}
+            yield pa.RecordBatch.from_arrays(
+                [flat["loc_id"], flat["ch_pos"], flat["key"], pa.array(quantity, pa.string()), pa.array(unit, pa.string()), flat["mean"], flat["std"], flat["lsb"]],
+                names=["loc_id", "ch_pos", "key", "quantity", "unit", "mean", "std", "lsb"],
+            )
+
+
 def decode_units(locator: DataFrame, studies: DataFrame, electrodes: DataFrame) -> DataFrame:
     """The unit that each (mean, std) entry of each recording is really in.
 
     Columns: loc_id, ch_pos (null if the key is no channel of the file; the first slot if a channel is
     repeated), key, quantity, unit, mean, std, lsb. The recordings are range-partitioned by (device, time,
-    id) and sorted, so that a device of any size spreads over tasks; each task
-    follows a device from one recording to the next and keeps only its state.
+    id) and sorted, so that a device of any size spreads over tasks; its sequence is decoded as a whole all the same. Tables of blocks, levels
+    and ends of blocks are written once to the shared folder.
 
     Entries without numbers, ``all_eeg``, null or unreadable dictionaries give no row.
     A constant channel (std 0) takes the unit of its neighbours and of what is told.
@@ -286,10 +499,16 @@ def decode_units(locator: DataFrame, studies: DataFrame, electrodes: DataFrame)
     rows = electrodes.select("electrode_id", "name", "former_name", "label", "kind").limit(BROADCAST_ENTRIES + 1).collect()
     if len(rows) > BROADCAST_ENTRIES:
         raise ValueError("reference list too large to broadcast")
-    names = sorted((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None)
+    names = sorted(((r[0], r[1], r[2], r[3]) for r in rows if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1]))
     kinds = {r[0]: r[4] for r in rows}
-    run = _decoder(lambda: (channel_matcher(names), kinds))
-    return unit_evidence(by_device(locator, studies)).mapInPandas(run, _DECODED)
+    cut = _blocks(lambda: (channel_matcher(names), kinds))
+    blocks = written(unit_evidence(by_device(locator, studies)).mapInArrow(cut, _BLOCK), "unit-blocks")
+    levels = written(device_levels(blocks), "unit-levels")
+    placed = blocks.join(levels, ["device", "month"], "left")
+    reduced = placed.mapInArrow(_reduce, "device string, part int, block int, q tinyint, best array<double>")
+    ends = reduced.groupBy("device", "q").applyInPandas(_chained, "part int, block int, q tinyint, before int, end int")
+    by_block = ends.groupBy("part", "block").agg(*[F.array(*[F.coalesce(F.max(F.when(F.col("q") == q, F.col(c))), F.lit(-1)) for q in range(3)]).alias(c) for c in ("before", "end")])
+    return placed.join(written(by_block, "unit-ends"), ["part", "block"], "left").mapInArrow(_decode, _DECODED)
 
 
 def to_common(decoded: DataFrame) -> DataFrame:
@@ -305,7 +524,5 @@ def to_common(decoded: DataFrame) -> DataFrame:
 
 def uncommon_units(locator: DataFrame, studies: DataFrame, electrodes: DataFrame, unit_codes: DataFrame) -> DataFrame:
     """(loc_id, ch_pos, unit) of the entries that are not in the common unit of their quantity."""
-    common = [r[0] for r in unit_codes.where("is_common").select("unit_code").distinct().limit(1000).collect()]
-    return decode_units(locator, studies, electrodes).where(~F.col("unit").isin(*common) & F.col("ch_pos").isNotNull() & (F.col("ch_pos") >= 0)).select(
-        "loc_id", "ch_pos", "unit"
-    )
+    common = unit_codes.where("is_common").select(F.col("unit_code").alias("unit"))
+    return decode_units(locator, studies, electrodes).where("ch_pos is not null").join(common, "unit", "left_anti").select("loc_id", "ch_pos", "unit")
