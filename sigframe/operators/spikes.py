@@ -7,7 +7,7 @@ told apart. Sampling rates are held against the rates their study normally recor
 The samples pass twice through Arrow batches of NumPy work. The first pass leaves a few
 numbers per epoch and channel, from which Spark aggregates the model of each source with
 map-side combination; the second pass tests the samples against that model. No group of
-rows is ever gathered in one task, so a source may hold any share of the rows.
+rows is ever gathered in one task, so a source may hold any share of the rows. Spikes are what the tests on the residuals find, nothing else.
 """
 
 from __future__ import annotations
@@ -20,12 +20,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.functions.naming import known_studies, study_key
-
-#: Robust standard scores: an additive outlier's, a level shift's, a sample's against the level, a physically impossible one's.
-OUTLIER, SHIFT, FAR, IMPOSSIBLE = 10.0, 10.0, 11.0, 60.0
-#: A run is stuck if a source would show one as long by chance in fewer than so many of its samples.
-CHANCE = 1e-4
-SALTS = 8
+from sigframe.functions.skew import join_unique
+from sigframe.session import written
+
+#: Robust standard scores: an additive outlier's, a level shift's.
+OUTLIER, SHIFT = 10.0, 10.0
+#: Physical limit of a reading where none is given: scalp potentials stay within a millivolt while their robust spread is about 16 uV. As gain and unit of a
+#: source are its own, the limit is kept in its own spreads: 1000 / 16.
+IMPOSSIBLE = 60.0
+#: A run is stuck if a source repeats itself as long by chance at fewer than so many of all samples; whatever number of samples it has.
+CHANCE = 5e-9
+#: Up to so many sources their models are broadcast; beyond, they are joined by key.
+BROADCAST_SOURCES = 50_000
 _MAD = 1.4826
 
 
@@ -207,9 +213,9 @@ _FLAGS = "epoch_id long, source_id int, ch int, n_spike int, n_stuck int, n_impo
 def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = Rows(batch.column(2))
-        models = Rows(batch.column(3))  # a list of 8 numbers per channel
+        models = Rows(batch.column(3))  # a list of numbers per channel
         ids, source = batch.column(0), batch.column(1)
-        width = 8
+        width = 9
         table = np.full((len(batch), int(models.channel.max(initial=-1)) + 1, width), np.nan)
         for which, m, absent in models.blocks():
             if m.shape[1] == width:
@@ -220,34 +226,35 @@ def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = ch < table.shape[1]
             p = np.full((len(which), width), np.nan)
             p[known] = table[ep[known], ch[known]]
-            level, scale, drift, p1, p2, repeat, n, mask = (p[:, k] for k in range(8))
+            level, scale, drift, p1, p2, repeat, low, high, mask = (p[:, k] for k in range(width))
             live = mask != 0  # unknown masks count as present
             if not x.shape[1] or not live.any():
                 continue
             which, x, absent, ep, ch = which[live], x[live], absent[live], ep[live], ch[live]
-            level, scale, drift, p1, p2, repeat, n = (a[live] for a in (level, scale, drift, p1, p2, repeat, n))
+            level, scale, drift, p1, p2, repeat, low, high = (a[live] for a in (level, scale, drift, p1, p2, repeat, low, high))
             finite = np.isfinite(x)
             ok = finite & ~absent
             spread = np.hypot(scale, np.nan_to_num(drift))[:, None]
             with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                 dev = np.abs(np.where(ok, x, 0.0) - level[:, None]) / spread
             dev = np.where(ok & (spread > 0), dev, 0.0)
-            impossible = (~finite & ~absent) | (dev > IMPOSSIBLE)
-            run = _runs(x, ok & (dev <= IMPOSSIBLE))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bound = 1 + np.log(CHANCE / np.maximum(np.nan_to_num(n, nan=1.0), 1.0)) / np.log(np.clip(np.nan_to_num(repeat, nan=0.25), 1e-3, 0.999))
+            given = np.isfinite(low) | np.isfinite(high)
+            with np.errstate(invalid="ignore"):
+                beyond = np.where(given[:, None], (x < low[:, None]) | (x > high[:, None]), dev > IMPOSSIBLE)
+            impossible = (~finite & ~absent) | (ok & beyond)
+            run = _runs(x, ok & ~impossible)
+            bound = 1 + np.log(CHANCE) / np.log(np.clip(np.nan_to_num(repeat, nan=0.25), 1e-3, 0.999))
             stuck = ok & ~impossible & (run >= np.maximum(bound, 5.0)[:, None])
             clean = ok & ~impossible & ~stuck
-            far = clean & (dev > FAR)
             # only rows with a sample or a step beyond half the bound can hold an outlier
             sigma = scale * np.sqrt(np.clip(1 - p1 * p1 * (1 + p2) / np.maximum(1 - p2, 1e-3) - p2 * p2, 0.02, 1.0))
             own = _median(x, clean)
             z = np.where(clean, x - own[:, None], 0.0)
             test = np.flatnonzero((np.abs(z).max(axis=1) > 0.4 * OUTLIER * sigma) & (sigma > 0) & np.isfinite(own))
-            spike, shift = far.copy(), np.zeros_like(far)
+            spike, shift = np.zeros_like(clean), np.zeros_like(clean)
             if len(test):
                 a, b = outlier_scores(z[test], clean[test], np.stack([p1[test], p2[test]], axis=1), sigma[test])
-                spike[test] |= a
+                spike[test] = a
                 shift[test] = b
             counts = [m.sum(axis=1) for m in (spike, stuck, impossible, shift)]
             hit = np.flatnonzero(sum(counts) > 0)
@@ -262,33 +269,43 @@ def _tests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def flag_epochs(epochs: DataFrame, sources: DataFrame, channel_masks: DataFrame, models: DataFrame | None = None) -> DataFrame:
+def flag_epochs(epochs: DataFrame, sources: DataFrame, channel_masks: DataFrame, models: DataFrame | None = None, limits: DataFrame | None = None, *, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """One row per channel of an epoch that holds implausible samples, with their numbers by type.
 
     Columns: epoch_id, source_id, ch, n_spike, n_stuck, n_impossible, n_shift. NaN and infinite samples are
     impossible, null samples and nested nulls are no samples. Channels that the source's mask marks 0 give no row; a
-    source without a mask or not in ``sources`` has all channels. Epochs with a null
+    source without a mask or not in ``sources`` has all channels; of repeated sources and masks the least mask counts. Epochs with a null
     source_id form a source of their own, empty epochs give no row, repeated epochs count each, and
     epochs may differ in length and number of channels. An empty table gives an empty result.
 
-    The models are joined to the epochs on (source_id, salt), so that a source with a
-    third of all rows spreads over ``SALTS`` tasks even before adaptive execution splits it.
+    ``limits`` (source_id, channel, low, high) are physical limits where they are known, in the unit of the source; either may be null.
+    Channels without any are held to ``IMPOSSIBLE``.
+
+    The models of up to ``broadcast_sources`` sources are broadcast, so that no sample is moved; beyond, they are
+    joined by key, those of hot sources on the map side (``join_unique``).
     """
     e = epochs.select(F.coalesce("source_id", F.lit(-1)).cast("int").alias("source_id"), F.col("epoch_id").cast("long").alias("epoch_id"), "epoch_data")
     m = source_models(e) if models is None else models
-    masks = sources.select(F.col("source_id").cast("int").alias("source_id"), F.col("channel_mask_id").alias("mask_id")).dropDuplicates(["source_id"])
-    masks = masks.join(channel_masks.select("mask_id", "mask").dropDuplicates(["mask_id"]), "mask_id", "left").select("source_id", "mask")
-    row = F.array(*[F.col(c).cast("double") for c in ("level", "scale", "drift", "phi1", "phi2", "repeat", "n")])
+    masks = sources.select(F.col("source_id").cast("int").alias("source_id"), F.col("channel_mask_id").alias("mask_id"))
+    masks = masks.join(channel_masks.groupBy("mask_id").agg(F.min("mask").alias("mask")), "mask_id", "left").groupBy("source_id").agg(F.min("mask").alias("mask"))
+    m = m.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
+    if limits is not None:
+        bounds = limits.groupBy(F.col("source_id").cast("int").alias("source_id"), F.col("channel").cast("int").alias("channel")).agg(F.max("low").alias("low"), F.min("high").alias("high"))
+        m = m.drop("low", "high").join(bounds, ["source_id", "channel"], "left")
+    row = F.array(*[F.col(c).cast("double") for c in ("level", "scale", "drift", "phi1", "phi2", "repeat", "low", "high")])
     by_source = m.groupBy("source_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", row.alias("m")))).alias("by"), (F.max("channel") + 1).alias("top"))
     both = by_source.join(masks, "source_id", "full").withColumn("top", F.greatest(F.coalesce("top", F.lit(1)), F.coalesce(F.size("mask"), F.lit(1)), F.lit(1)))
-    unknown = F.array_repeat(F.lit(None).cast("double"), 7)
+    unknown = F.array_repeat(F.lit(None).cast("double"), 8)
     model = F.transform(
         F.sequence(F.lit(0), F.col("top") - 1),
         lambda i: F.concat(F.coalesce(F.try_element_at("by", i), unknown), F.array(F.get("mask", i).cast("double"))),
     )
-    per_source = both.select("source_id", model.alias("model"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = e.withColumn("salt", F.pmod(F.col("epoch_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(per_source, ["source_id", "salt"], "left").select("epoch_id", "source_id", "epoch_data", "model").mapInArrow(_tests, _FLAGS)
+    per_source = written(both.select("source_id", model.alias("model")), "source-models")
+    if per_source.count() <= broadcast_sources:
+        joined = e.join(F.broadcast(per_source), "source_id", "left")
+    else:
+        joined = join_unique(e, per_source, "source_id", "left")
+    return joined.select("epoch_id", "source_id", "epoch_data", "model").mapInArrow(_tests, _FLAGS)
 
 
 # ------------------------------------------------------------------------------ sampling rates

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sigframe.operators import spikes
 
@@ -50,6 +51,56 @@ def test_planted_cases(spark):
     assert all(got[k][v] > 0 for k, v in want.items())
 
 
+def test_spikes_that_only_the_autoregression_finds(spark):
+    """Within the usual range of a slow wave, but far from its neighbours; without the autoregression they are not found."""
+    rng = np.random.default_rng(15)
+    rows, planted = [], {7, 19, 33, 58}
+    for e in range(60):
+        x = np.zeros(96)
+        x[0] = rng.normal() * 30
+        for t in range(1, 96):
+            x[t] = 0.995 * x[t - 1] + rng.normal() * 3
+        if e in planted:
+            x[50] += -45 if x[50] > 0 else 45  # back towards the middle
+        rows.append((e, 1, [x.tolist()], "x"))
+    df = spark.createDataFrame(rows, EPOCHS)
+    s, m = _sources(spark, {1: 0})
+    models = spikes.source_models(df)
+    found = lambda model: {r.epoch_id for r in spikes.flag_epochs(df, s, m, model).where("n_spike > 0").collect()}
+    assert found(models) == planted
+    assert not found(models.withColumns({"phi1": F.lit(0.0), "phi2": F.lit(0.0)})) & planted
+
+
+def test_broadcast_or_not_the_same(spark):
+    rng = np.random.default_rng(16)
+    rows = [(e, e % 4, [(_noise(rng) + (200 * (np.arange(64) == 9) if e % 5 == 0 else 0)).tolist()], "x") for e in range(80)]
+    df = spark.createDataFrame(rows, EPOCHS)
+    s, m = _sources(spark, {0: 0, 1: 0, 2: 0})
+    a, b = (sorted(map(tuple, spikes.flag_epochs(df, s, m, broadcast_sources=n).collect())) for n in (100, 0))
+    assert a == b and len(a) == 16
+
+
+def test_stuck_runs_do_not_depend_on_the_number_of_epochs(spark):
+    rng = np.random.default_rng(17)
+    held = _noise(rng)
+    held[20:30] = held[20]
+    few = [(0, 0, [held.tolist()], "x"), *((i, 0, [_noise(rng).tolist()], "x") for i in range(1, 12))]
+    s, m = _sources(spark, {0: 0})
+    model = spikes.source_models(spark.createDataFrame(few, EPOCHS)).withColumn("n", F.col("n") * 10**9)
+    assert [r.epoch_id for r in spikes.flag_epochs(spark.createDataFrame(few, EPOCHS), s, m, model).where("n_stuck > 0").collect()] == [0]
+
+
+def test_given_physical_limits(spark):
+    rng = np.random.default_rng(18)
+    rows = [(e, e % 2, [_noise(rng).tolist(), _noise(rng).tolist()], "x") for e in range(20)]
+    rows[4][2][0][10] = 75.0
+    df = spark.createDataFrame(rows, EPOCHS)
+    s, m = _sources(spark, {0: 0, 1: 0})
+    limits = spark.createDataFrame([(0, 0, -70.0, 70.0), (1, 1, None, 1e9)], "source_id int, channel int, low double, high double")
+    got = {(r.epoch_id, r.ch): r.n_impossible for r in spikes.flag_epochs(df, s, m, limits=limits).collect() if r.n_impossible}
+    assert got[4, 0] == 1 and all(abs(np.array(rows[e][2][c])).max() > 70 for e, c in got)
+
+
 def test_masks_nulls_and_shapes(spark):
     rng = np.random.default_rng(6)
     flat = [0.0] * 64
