@@ -14,13 +14,18 @@ from sigframe.streaming import windows
 
 register = Registry()
 
+def _sig(x: str) -> str:
+    """SQL of ``x`` with six decimals, above a million with ten digits."""
+    return f"case when abs({x}) < 1e6 then round({x}, 6) else printf('%.9e', {x})::double end"
+
+
 #: Recordings stood in for by the events of a user in order of time.
 EV = "with ev as (select user_id as rec_id, event_id, ts, event_type as name, value, props, row_number() over (partition by user_id order by ts, event_id) - 1 as sample from events)\n"
 #: Samples of epochs with their channel; non-finite and absent samples are left out.
 _CH = "unnest(epoch_data) as data, generate_subscripts(epoch_data, 1) - 1 as ch"
 SM = f"""with c as (select epoch_id, source_id, {_CH} from epochs),
 x as (select epoch_id, source_id, ch::int as ch, unnest(data)::double as value, generate_subscripts(data, 1) - 1 as sample from c),
-sm as (select * from x where value is not null and isfinite(value) and abs(value) < 1e6)
+sm as (select * from x where value is not null and isfinite(value))
 """
 
 
@@ -160,16 +165,17 @@ def csv_rate_inference(spark: SparkSession, root: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------- moments, units
-@register(SM + "select source_id, ch, count(*) as n, round(avg(value), 6) + 0.0::double as mean, round(stddev_pop(value), 6) as std from sm group by source_id, ch")
+@register(SM + f"select source_id, ch, count(*) as n, {_sig('avg(value)')} + 0.0::double as mean, {_sig('stddev_pop(value)')} as std from sm group by source_id, ch")
 def mean_std_channel(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(signals.moments(_samples(spark, root), ["source_id", "ch"], "value"))
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+    """Six decimals, above a million ten digits."""
+    return df.withColumns({c: F.when(F.abs(c) < 1e6, F.round(c, 6)).otherwise(F.format_string("%.9e", F.col(c)).cast("double")) for c in ("mean", "std")})
 
 
-@register(SM + "select source_id, count(*) as n, round(avg(value), 6) + 0.0::double as mean, round(stddev_pop(value), 6) as std from sm group by source_id")
+@register(SM + f"select source_id, count(*) as n, {_sig('avg(value)')} + 0.0::double as mean, {_sig('stddev_pop(value)')} as std from sm group by source_id")
 def mean_std_recording(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(signals.moments(_samples(spark, root), ["source_id"], "value"))
 
@@ -185,7 +191,7 @@ def _domain_stats(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return per, signals.domain_moments(per, "domain", ["ch"])
 
 
-@register(_DOMAIN + "select domain, ch, round(mean, 6) + 0.0::double as mean, round(std, 6) as std, recordings from d")
+@register(_DOMAIN + f"select domain, ch, {_sig('mean')} + 0.0::double as mean, {_sig('std')} as std, recordings from d")
 def mean_std_domain(spark: SparkSession, root: str) -> DataFrame:
     return _rounded(_domain_stats(spark, root)[1])
 
