@@ -9,11 +9,49 @@ from sigframe.operators.packed_fields import let
 
 #: Prefixes of typed channels and the type they stand for.
 TYPE_ALIASES = {
-    "EEG": "eeg", "DUAL": "eeg", "EEGDUAL": "eeg", "EOG": "eog", "EMG": "emg", "ECG": "ecg", "EKG": "ecg", "MEG": "meg", "STIM": "stim", "MISC": "misc", "RESP": "resp",
-    "BIO": "bio", "UNKNOWN": "bio", "SEEG": "seeg", "ECOG": "ecog", "DBS": "dbs", "GSR": "gsr", "TEMP": "temperature", "TEMPERATURE": "temperature", "REF": "ref_meg", "SYST": "syst", "EXCI": "exci",
-}
+    "EEG": "eeg",
+    "DUAL": "eeg",
+    "EEGDUAL": "eeg",
+    "EOG": "eog",
+    "EMG": "emg",
+    "ECG": "ecg",
+    "EKG": "ecg",
+    "STIM": "stim",
+    "MISC": "misc",
+    "UNKNOWN": "bio",
+    "BIO": "bio",
+    "MEG": "meg",
+    "MAG": "mag",
+    "GRAD": "grad",
+    "REF_MEG": "ref_meg",
+    "RESP": "resp",
+    "DBS": "dbs",
+    "SEEG": "seeg",
+    "ECOG": "ecog",
+    "TEMP": "temperature",
+    "TEMPERATURE": "temperature",
+    "GSR": "gsr",
+    "PUPIL": "pupil",
+    "EYETRACK": "eyegaze",
+    "EYEGAZE": "eyegaze",
+    "FNIRS": "fnirs_cw_amplitude",
+    "CSD": "csd",
+    "HBO": "hbo",
+    "HBR": "hbr",
+    "FNIRS_OD": "fnirs_od",
+    "FNIRS_CW_AMPLITUDE": "fnirs_cw_amplitude",
+    "FNIRS_FD_AC_AMPLITUDE": "fnirs_fd_ac_amplitude",
+    "FNIRS_FD_PHASE": "fnirs_fd_phase",
+    "CHPI": "chpi",
+    "DIPOLE": "dipole",
+    "GOF": "gof",
+    "EXCI": "exci",
+    "IAS": "ias",
+    "SYST": "syst",
+}
 #: Mistaken orders of the letters of a position and the right ones.
 SWAPPED = {"FAF": "AFF", "CFC": "FCC", "CPC": "CCP", "POP": "PPO", "TPT": "TTP", "TFT": "FTT"}
+#: Words that are no part of a name at its ends.
 _HEAD = r"^(?:(?:EEG|REF|LE|[-_:.])\s*)+"
 _TAIL = r"(?:\s*(?:EEG|REF|LE|[-_:.]))+$"
 
@@ -55,6 +93,7 @@ def format_channel(entry: Column, vocabulary: list[str]) -> Column:
             swapped = F.when(F.upper(bare).startswith(a), F.concat(F.lit(b), F.substring(F.upper(bare), len(a) + 1, 100))).otherwise(swapped)
         known = F.try_element_at(names, swapped)
         sides = F.split(bare, "-")
+        # fixed values: words beside a hyphen that make no pair
         refs = ["REF", "LE", "EEG", "ECG", "EOG", "EMG", "EKG", "MEG"]
         pair = (F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) > 0) & (F.length(F.get(sides, F.lit(1))) > 0)
         pair = pair & ~F.upper(F.trim(F.get(sides, F.lit(0)))).isin(refs) & ~F.upper(F.trim(F.get(sides, F.lit(1)))).isin(refs)
@@ -88,6 +127,22 @@ def format_channels(names: Column, vocabulary: list[str], style: str = "typed")
     return let(made, joined)
 
 
+def format_catalogue(df: DataFrame, key: str, names: str, vocabulary: list[str], style: str = "typed") -> DataFrame:
+    """(key, names): the comma-separated ``names`` of each row formatted as by ``format_channels``.
+
+    Each distinct entry is formatted once, and the entries of a row are put together again in their order; so the work depends on how
+    many different entries there are. Null names stay null; ``key`` is unique.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(names).alias("_n"))
+    entries = rows.select("_k", F.posexplode(F.split("_n", ",")).alias("_p", "_e"))
+    made = entries.select("_e").distinct().select("_e", format_channel(F.col("_e"), vocabulary).alias("_m"))
+    lists = entries.join(made, "_e").groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_p", "_m"))).alias("_l"))
+    m = F.col("_l._m")
+    shown = m if style == "typed" else F.transform(m, lambda x: F.substring(x, F.instr(x, ":") + 1, 1_000_000))
+    out = F.when(F.col("_l").isNull() | (F.size(F.array_distinct(m)) < F.size(m)), F.col("_n")).otherwise(F.array_join(shown, ", "))
+    return rows.join(lists, "_k", "left").select(F.col("_k").alias(key), out.alias(names))
+
+
 def dedup_names(names: Column) -> Column:
     """Channel names with ``_1``, ``_2``, ... after the second and later of equal ones, in order."""
     return F.transform(

@@ -19,8 +19,11 @@ _SLOT, _APOSTROPHE, _QUOTE = "\ue001", "\ue000", "\ue002"
 DELIMITERS = ",;|\t\n\r，、；｜"
 #: Fields that stand for a missing value as a whole.
 NULL_WORDS = ("", "nan", "none", "null", "n/a", "na", "<na>", "nat", "-", "?")
-#: An unquoted field without delimiters is a list separated by blanks from this many words on.
+#: An unquoted field without delimiters is a list separated by blanks from this many words on, with fewer only if they are as many as are told.
 BLANK_LIST_WORDS = 6
+#: A word that is a whole name: letters with a number or z behind, or capitals.
+_NAME_WORD = r"(?:[A-Za-z][A-Za-z-]*(?:[0-9][A-Za-z0-9'-]*|z)|[A-HJ-Z][A-Z0-9-]+)"
+NAME_LIST = rf"^{_NAME_WORD}(?:\s+{_NAME_WORD})+$"
 
 
 def packed_values(field: Column, count_hint: Column | None = None) -> Column:
@@ -32,7 +35,8 @@ def packed_values(field: Column, count_hint: Column | None = None) -> Column:
     * Inside quotes, delimiters are text. A quote between two letters or digits is text.
     * Blanks separate values only where no other delimiter stands outside quotes and
       the field either has quoted values beside others or has at least
-      ``BLANK_LIST_WORDS`` words (and ``count_hint``, if given, is not 1).
+      ``BLANK_LIST_WORDS`` words (and ``count_hint``, if given, is not 1), or has as many words as
+      ``count_hint`` says, all of which look like names (``F3 F4 Cz``, but not ``EOG left``).
     * An unbalanced last quote does not swallow the rest: the piece after it is split as
       if it were not quoted.
     * Null, empty and null-like fields give an empty array. A field of one value gives one.
@@ -65,9 +69,11 @@ def _slots(s: Column, pieces: Column, count_hint: Column | None) -> Column:
 
     outside = F.array_join(F.filter(pieces, lambda p, i: ~literal(i)), "")
     words = F.size(F.split(F.trim(s), r"\s+"))
-    bare_list = (n == 1) & (words >= BLANK_LIST_WORDS)
+    many = words >= BLANK_LIST_WORDS
     if count_hint is not None:
-        bare_list = bare_list & (F.coalesce(count_hint, F.lit(0)) != 1)
+        hint = F.coalesce(count_hint, F.lit(0))
+        many = many & (hint != 1) | (hint > 1) & (words == hint) & F.trim(s).rlike(NAME_LIST)
+    bare_list = (n == 1) & many
     by_blank = let(outside, lambda o: ~o.rlike(f"[{DELIMITERS}]") & ((n > 4) | (n >= 3) & o.rlike(r"\S") | bare_list))
     rebuilt = let(
         F.when(by_blank, r"\s+").otherwise(f"[{DELIMITERS}]"),

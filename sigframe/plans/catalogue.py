@@ -140,7 +140,7 @@ def report_file_type(spark: SparkSession, root: str) -> DataFrame:
     return catalog.share_report(recordings(spark, root), F.col("file_type"), "file_type")
 
 
-@register(_share("rate", "cast(sfreq as bigint)").replace("from rec)", "from rec where sfreq between 0 and 1e6)", 1))
+@register(_share("rate", "case when abs(sfreq) < 1e18 then cast(cast(round_even(sfreq, 0) as bigint) as varchar) when sfreq = 'inf' then 'Infinity' when sfreq = '-inf' then '-Infinity' else cast(sfreq as varchar) end"))
 def report_rate(spark: SparkSession, root: str) -> DataFrame:
     """Shares of all recordings; missing and implausible rates are groups of their own."""
     whole = F.when(F.abs("sfreq") < 1e18, F.rint("sfreq").cast("bigint").cast("string")).otherwise(F.col("sfreq").cast("string"))
@@ -209,7 +209,12 @@ def dedup_channel_names(spark: SparkSession, root: str) -> DataFrame:
 
 
 _EXPLODED = REC + ", e as (select rec_id, unnest(channels) as name, generate_subscripts(channels, 1) - 1 as pos from rec)\n"
-_TYPES = " ".join(f"when upper(trim(split_part(name, ':', 1))) = '{k}' then '{v}'" for k, v in channels.TYPE_ALIASES.items())
+#: The types of typed channels, written out on its own so that it tells when the operator's table is wrong.
+_TYPES = """when upper(trim(split_part(name, ':', 1))) in ('EEG', 'DUAL', 'EEGDUAL') then 'eeg' when upper(trim(split_part(name, ':', 1))) in ('ECG', 'EKG') then 'ecg'
+ when upper(trim(split_part(name, ':', 1))) in ('TEMP', 'TEMPERATURE') then 'temperature' when upper(trim(split_part(name, ':', 1))) in ('EYETRACK', 'EYEGAZE') then 'eyegaze'
+ when upper(trim(split_part(name, ':', 1))) in ('FNIRS', 'FNIRS_CW_AMPLITUDE') then 'fnirs_cw_amplitude'
+ when lower(trim(split_part(name, ':', 1))) in ('eog', 'emg', 'stim', 'misc', 'meg', 'mag', 'grad', 'ref_meg', 'resp', 'dbs', 'seeg', 'ecog', 'gsr', 'pupil', 'csd', 'hbo', 'hbr', 'fnirs_od',
+  'fnirs_fd_ac_amplitude', 'fnirs_fd_phase', 'chpi', 'dipole', 'gof', 'exci', 'ias', 'syst') then lower(trim(split_part(name, ':', 1)))"""
 _TYPED = "instr(name, ':') > 0 and length(trim(split_part(name, ':', 1))) > 0 and length(trim(substr(name, instr(name, ':') + 1))) > 0"
 
 
@@ -222,6 +227,17 @@ def channel_types(spark: SparkSession, root: str) -> DataFrame:
     return _names(spark, root).select("rec_id", "pos", channels.channel_type(F.col("name")).alias("ch_type"))
 
 
+_PREFIXES = "eeg Dual EEGDual eog EMG ecg EKG stim misc unknown bio meg mag grad ref_meg resp dbs sEEG ecog temp temperature gsr pupil eyetrack eyegaze fnirs csd HbO hbr fnirs_od fnirs_cw_amplitude fnirs_fd_ac_amplitude fnirs_fd_phase chpi dipole gof exci ias syst ref other".split()
+
+
+@register(f"with e as (select electrode_id, unnest([{', '.join(repr(x) for x in _PREFIXES)}]) || ': ' || name as name from electrodes) select electrode_id, name, case when {_TYPED} then case {_TYPES} else 'bio' end end as ch_type from e")
+def channel_type_prefixes(spark: SparkSession, root: str) -> DataFrame:
+    """Every prefix a channel may have, before every electrode."""
+    prefix = F.explode(F.array(*[F.lit(x) for x in _PREFIXES])).alias("prefix")
+    e = table(spark, root, "electrodes").select("electrode_id", "name", prefix).select("electrode_id", F.concat("prefix", F.lit(": "), "name").alias("name"))
+    return e.select("electrode_id", "name", channels.channel_type(F.col("name")).alias("ch_type"))
+
+
 @register(_EXPLODED + r"select rec_id, cast(pos as int) as pos, case when regexp_extract(upper(name), '^(?:FP|AF|FT|FC|TP|CP|PO|F|T|C|P|O|A|M|I)(\d+|Z)$', 1) = '' then 'other' when regexp_extract(upper(name), '^(?:FP|AF|FT|FC|TP|CP|PO|F|T|C|P|O|A|M|I)(\d+|Z)$', 1) = 'Z' then 'midline' when try_cast(regexp_extract(upper(name), '^(?:FP|AF|FT|FC|TP|CP|PO|F|T|C|P|O|A|M|I)(\d+|Z)$', 1) as int) % 2 = 1 then 'left' else 'right' end as side from e")
 def classify_channels(spark: SparkSession, root: str) -> DataFrame:
     return _names(spark, root).select("rec_id", "pos", channels.hemisphere(F.col("name")).alias("side"))
@@ -264,9 +280,11 @@ select l.loc_id as rec_id, case when len(list_distinct(made)) < len(made) then l
 
 @register(_FORMAT)
 def format_channel_names(spark: SparkSession, root: str) -> DataFrame:
-    vocabulary = [r[0] for r in table(spark, root, "electrodes").where("kind = 'eeg'").select("name").distinct().limit(10_000).collect()]
-    rows = table(spark, root, "locator").where("channel_names is not null")
-    return rows.select(F.col("loc_id").alias("rec_id"), channels.format_channels(F.col("channel_names"), vocabulary).alias("names"))
+    vocabulary = [r[0] for r in table(spark, root, "electrodes").where("kind = 'eeg'").select("name").distinct().limit(10_001).collect()]
+    if len(vocabulary) > 10_000:
+        raise ValueError("a vocabulary of at most 10,000 positions")
+    rows = table(spark, root, "locator").where("channel_names is not null").select(F.col("loc_id").alias("rec_id"), F.col("channel_names").alias("names"))
+    return channels.format_catalogue(rows, "rec_id", "names", vocabulary)
 
 
 @register("""with o as (select ordinal, name as ch_name, lower(name) as k from channels), s as (select rec_id, k, v as value from (

@@ -65,6 +65,8 @@ QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_common, p4_found, p4_u
 _D = "[,;|\\t\\n\\r，、；｜]"
 _NULLS = "('', 'nan', 'none', 'null', 'n/a', 'na', '<na>', 'nat', '-', '?')"
 _STRIPPED = r"regexp_replace(f, '^\[\s*([\s\S]*?)\s*\]$|^\(\s*([\s\S]*?)\s*\)$|^\{\s*([\s\S]*?)\s*\}$', '\1\2\3')"
+_WORD = "(?:[A-Za-z][A-Za-z-]*(?:[0-9][A-Za-z0-9''-]*|z)|[A-HJ-Z][A-Z0-9-]+)"
+_LIST = rf"^{_WORD}(?:\s+{_WORD})+$"
 _HIDE = r"'([\p{L}\p{N}])''([\p{L}\p{N}])', '\1' || chr(57344) || '\2', 'g'"
 #: Channel values by string functions: text quotes are hidden first, then quoted pieces are told apart by their parity.
 CHANNEL_VALUES = rf"""with a as (
@@ -75,7 +77,8 @@ d as (select loc_id, hint, regexp_replace(regexp_replace(f, {_HIDE}), {_HIDE}) a
 e as (select *, string_split_regex(f, '["'']') as p from d),
 g as (select *, len(p) as n, list_transform(p, lambda x, i: case when i % 2 = 0 and not (len(p) % 2 = 0 and i = len(p)) then null else x end) as bare from e),
 h as (select *, array_to_string(list_filter(bare, lambda x: x is not null), '') as outside from g),
-k as (select *, not regexp_matches(outside, '{_D}') and (n > 4 or (n >= 3 and regexp_matches(outside, '\S')) or (n = 1 and len(string_split_regex(trim(f), '\s+')) >= 6 and coalesce(hint, 0) <> 1)) as by_blank from h),
+k as (select *, not regexp_matches(outside, '{_D}') and (n > 4 or (n >= 3 and regexp_matches(outside, '\S')) or (n = 1 and (len(string_split_regex(trim(f), '\s+')) >= 6 and coalesce(hint, 0) <> 1
+    or coalesce(hint, 0) > 1 and len(string_split_regex(trim(f), '\s+')) = hint and regexp_matches(trim(f), '{_LIST}')))) as by_blank from h),
 m as (select loc_id, array_to_string(list_transform(p, lambda x, i: case when bare[i] is null then x when by_blank then regexp_replace(x, '\s+', chr(57345), 'g') else regexp_replace(x, '{_D}', chr(57345), 'g') end), '') as r from k),
 v as (select loc_id, unnest(string_split(r, chr(57345))) as t, generate_subscripts(string_split(r, chr(57345)), 1) - 1 as pos from m),
 w as (select loc_id, pos, replace(t, chr(57344), '''') as t from v),

@@ -60,3 +60,12 @@ def test_round_trip(spark, sep):
     df = spark.createDataFrame([r[:2] for r in rows], "i int, f string")
     got = {r.i: r.v for r in df.select("i", packed_values(F.col("f")).alias("v")).collect()}
     assert all(got[i] == v for i, _, v in rows)
+
+
+@pytest.mark.parametrize(("field", "hint", "want"), [
+    ("F3 F4 C3 C4 Cz", 5, 5), ("F3 F4 C3 C4 Cz", 4, 1), ("F3 F4", 2, 2), ("F3 F4 C3 C4 Cz Pz", 6, 6), ("F3 F4 C3 C4 Cz Pz", None, 6), ("ECG EMG Fp1-F7", 3, 3),
+    ("EOG left", 2, 1), ("ECG II", 2, 1), ("F 10", 2, 1), ("STI 014", 2, 1), ("EMG leg left", 3, 1),
+])
+def test_short_blank_lists_follow_the_told_number(spark, field, hint, want):
+    df = spark.createDataFrame([(field, hint)], "f string, n int")
+    assert len(df.select(packed_values(F.col("f"), F.col("n")).alias("v")).first().v) == want
