@@ -91,11 +91,33 @@ def greedy_parts(sizes: DataFrame, key: str, size: str, limit: int, lanes: int =
     return out.drop("lane") if lanes == 1 else out
 
 
-def write_store(tables: dict[str, DataFrame], folder: str, *, overwrite: bool = False) -> None:
-    """Write all tables of a store and publish them at once.
+def check_epochs(epochs: DataFrame, data: str = "epoch_data") -> None:
+    """ValueError for samples that are absent or not finite, for a source whose epochs of one event are zero throughout, and for differing shapes.
 
-    FileExistsError if the folder is there and not to be overwritten, ValueError for a missing table or epochs
-    without rows.
+    One aggregation over the epochs, with map-side combination; the message names a source.
+    """
+    d = F.col(data)
+    bad = d.isNull() | F.exists(d, lambda c: c.isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    some = F.coalesce(F.exists(d, lambda c: F.exists(c, lambda x: x != 0)), F.lit(False))
+    shape = F.concat_ws("x", F.size(d).cast("string"), F.array_join(F.array_sort(F.array_distinct(F.transform(d, lambda c: F.size(c).cast("string")))), "/"))
+    groups = epochs.groupBy("source_id", "event_code").agg(F.max(F.coalesce(bad, F.lit(True))).alias("bad"), F.max(some).alias("some"), F.min(shape).alias("lo"), F.max(shape).alias("hi"))
+    found = groups.agg(
+        F.min(F.when(F.col("bad"), F.col("source_id"))).alias("bad"), F.min(F.when(~F.col("bad") & ~F.col("some"), F.col("source_id"))).alias("zero"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"),
+    ).first()
+    if found["bad"] is not None:
+        raise ValueError(f"Non-finite samples in source {found['bad']}")
+    if found["zero"] is not None:
+        raise ValueError(f"All-zero epochs in source {found['zero']}")
+    if found["n"] and (found["lo"] != found["hi"] or "/" in found["lo"]):
+        raise ValueError(f"Epoch shapes differ: {found['lo']} and {found['hi']}")
+
+
+def write_store(tables: dict[str, DataFrame], folder: str, *, overwrite: bool = False, validate: bool = True) -> None:
+    """Write all tables of a store and publish them at once; tables beyond those of a store are written beside them.
+
+    FileExistsError if the folder is there and not to be overwritten, ValueError for a missing table and, unless ``validate`` is False, for
+    epochs that ``check_epochs`` refuses, RuntimeError for epochs without rows. After an error nothing is left at the place.
     """
     spark = next(iter(tables.values())).sparkSession
     missing = set(TABLES) - set(tables)
@@ -108,11 +130,17 @@ def write_store(tables: dict[str, DataFrame], folder: str, *, overwrite: bool =
         raise FileExistsError(folder)
     building = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "._building")
     fs.delete(building, True)
-    for name in TABLES:
-        tables[name].write.parquet(f"{building.toString()}/{name}")
-    if spark.read.parquet(f"{building.toString()}/epochs").isEmpty():
+    try:
+        for name in (*TABLES, *sorted(set(tables) - set(TABLES))):
+            tables[name].write.parquet(f"{building.toString()}/{name}")
+        written = spark.read.parquet(f"{building.toString()}/epochs")
+        if written.isEmpty():
+            raise RuntimeError("no epochs to save")
+        if validate:
+            check_epochs(written)
+    except Exception:
         fs.delete(building, True)
-        raise RuntimeError("no epochs to save")
+        raise
     fs.create(jvm.org.apache.hadoop.fs.Path(building, MARKER)).close()
     if fs.exists(path):
         fs.delete(path, True)
@@ -152,7 +180,15 @@ def denormalised(epochs: DataFrame, sources: DataFrame, labels: DataFrame) -> Da
     return epochs.join(s, "source_id", "left").join(names, "event_code", "left")
 
 
-def wide_export(samples: DataFrame, rec: str, sample: str, channel: str, value: str, channels: list[str], markers: DataFrame | None = None) -> DataFrame:
-    """One row per sample with a column per channel and the marker at that sample, if there is one."""
-    wide = samples.groupBy(rec, sample).pivot(channel, channels).agg(F.first(value))
-    return wide if markers is None else wide.join(markers.select(rec, sample, "marker"), [rec, sample], "left")
+def wide_export(epochs: DataFrame, rec: str, data: str, channels: list[str], marker: str | None = None, value=lambda x: x) -> DataFrame:
+    """One row (rec, sample, a column per channel, marker) per sample of each row's ``data``, an array of samples for each channel.
+
+    The channels are zipped within their row, so nothing is shuffled; ``marker`` is a column whose value stands at the first sample. Shorter
+    channels are filled with null; rows of null or empty data give none. ``value`` is applied to each sample.
+    """
+    parts = [F.get(data, F.lit(i)).alias(f"_{i}") for i in range(len(channels))]
+    zipped = F.posexplode(F.arrays_zip(*[F.col(f"_{i}") for i in range(len(channels))])).alias("sample", "_z")
+    keep = [rec, *([marker] if marker else [])]
+    long = epochs.select(*keep, *[F.coalesce(p, F.array().cast(epochs.schema[data].dataType.elementType)).alias(f"_{i}") for i, p in enumerate(parts)]).select(*keep, zipped)
+    out = [F.col(rec), F.col("sample").cast("bigint").alias("sample"), *[value(F.col("_z")[f"_{i}"]).alias(c) for i, c in enumerate(channels)]]
+    return long.select(*out, *([F.when(F.col("sample") == 0, F.col(marker)).alias("marker")] if marker else []))

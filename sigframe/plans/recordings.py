@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.functions import dsp
-from sigframe.operators import batch, channels, events, hashing, quality, signals, store
+from sigframe.operators import batch, channels, epoching, events, hashing, quality, signals, store
 from sigframe.plans.registry import Registry
 from sigframe.session import scratch_path, table
 from sigframe.sources.timeseries import infer_rate
@@ -360,7 +360,7 @@ def quality_shady(spark: SparkSession, root: str) -> DataFrame:
 def epoch_window_read(spark: SparkSession, root: str) -> DataFrame:
     """Sixteen samples of two channels in the order asked for, from a store written before."""
     folder = scratch_path(spark, "store")
-    store.write_store({n: table(spark, root, n) for n in store.TABLES}, folder)
+    store.write_store({n: table(spark, root, n) for n in store.TABLES}, folder, validate=False)  # the dirty epochs are to be read as they are
     reader = store.EpochStore(spark, folder)
     names = {r["ordinal"]: r["name"] for r in reader.tables["channels"].collect()}
     data = reader.tables["epochs"].select("epoch_id", store.window(F.col("epoch_data"), [3, 0], 16, 16).alias("d"))
@@ -420,17 +420,50 @@ def greedy_split(spark: SparkSession, root: str) -> DataFrame:
     return store.greedy_parts(sizes, "source_id", "bytes", 65536)
 
 
-@register("""with x as (select epoch_id, generate_subscripts(epoch_data[1], 1) - 1 as sample, unnest(epoch_data[1])::double as a, unnest(epoch_data[2])::double as b from epochs)
-select x.epoch_id, x.sample, case when isfinite(a) then round(a, 6) + 0.0::double end as C3, case when isfinite(b) then round(b, 6) + 0.0::double end as C4, case when x.sample = 0 then l.name end as marker
-from x join epochs e using (epoch_id) left join event_labels l on l.code = e.event_code""")
+@register("with x as (select epoch_id, generate_subscripts(epoch_data[1], 1) - 1 as sample, " + ", ".join(f"unnest(epoch_data[{i + 1}])::double as c{i}" for i in range(4)) + " from epochs) select x.epoch_id, x.sample, "
+          + ", ".join(f"case when isfinite(c{i}) then round(c{i}, 6) + 0.0::double end as {n}" for i, n in enumerate(("C3", "C4", "P3", "P4"))) + ", case when x.sample = 0 then l.name end as marker from x join epochs e using (epoch_id) left join event_labels l on l.code = e.event_code")
 def wide_export_with_marker(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "epochs")
-    names = F.array(F.lit("C3"), F.lit("C4"))
-    long = e.select("epoch_id", F.posexplode(F.slice("epoch_data", 1, 2)).alias("ch", "data")).select("epoch_id", names[F.col("ch")].alias("name"), F.posexplode("data").alias("sample", "v"))
-    long = long.select("epoch_id", F.col("sample").cast("bigint").alias("sample"), "name", F.when(~F.isnan("v") & (F.abs("v") < float("inf")), F.round(F.col("v").cast("double"), 6)).alias("v"))
-    labels = table(spark, root, "event_labels").select(F.col("code").alias("event_code"), F.col("name").alias("marker"))
-    marks = e.select("epoch_id", "event_code").join(labels, "event_code").select("epoch_id", F.lit(0).cast("bigint").alias("sample"), "marker")
-    return store.wide_export(long, "epoch_id", "sample", "name", "v", ["C3", "C4"], marks)
+    """Every sample of every channel, a row per sample, with the event at the first one."""
+    labels = table(spark, root, "event_labels").select(F.col("code").alias("event_code"), F.col("name").alias("event"))
+    e = table(spark, root, "epochs").select("epoch_id", "event_code", "epoch_data").join(labels, "event_code", "left")
+    finite = lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x.cast("double"), 6))
+    return store.wide_export(e, "epoch_id", "epoch_data", ["C3", "C4", "P3", "P4"], "event", finite)
+
+
+def _kept(spark: SparkSession, root: str, windows: DataFrame, label: str) -> DataFrame:
+    """Epochs of windows over the recordings of users, written to a store, validated and read again."""
+    e = _events(spark, root)
+    epochs = epoching.cut_epochs(epoching.blocks_of(e, 8), windows, 8)
+    users = e.groupBy("rec_id").agg(F.lit(1.0).alias("sfreq"))
+    path = F.concat(F.lit("/raw//user/"), F.lpad(F.col("rec_id").cast("string"), 9, "0"), F.lit(".csv"))
+    recordings = users.select("rec_id", path.alias("file_path"), F.lit("user").alias("name"), "sfreq", F.array(F.lit(1)).cast("array<tinyint>").alias("mask"), F.create_map(F.lit("site"), F.lit("web")).alias("info"))
+    channels = spark.createDataFrame([(0, "value", "misc")], "ordinal int, name string, type string")
+    folder = scratch_path(spark, label)
+    store.write_store(epoching.store_tables(epochs, recordings, channels), folder)
+    t = store.EpochStore(spark, folder).tables
+    data = F.col("epoch_data")[0]
+    rows = t["epochs"].join(t["sources"].select("source_id", "file_path", "n_epochs"), "source_id").join(t["event_labels"].withColumnsRenamed({"code": "event_code", "name": "event"}), "event_code")
+    return rows.select("file_path", "source_epoch_index", F.col("source_start_sample").alias("start"), "event", "n_epochs", F.size(data).alias("width"), F.round(signals.array_sum(data), 3).alias("total"))
+
+
+_PATH = "'/raw//user/' || lpad(rec_id::varchar, 9, '0') || '.csv'"
+
+
+@register(EV + f""", n as (select rec_id, max(sample) + 1 as n from ev group by rec_id), s as (select rec_id, unnest(range(0, n - 16 + 1, 8)) as start from n where n >= 16),
+w as (select s.rec_id, s.start, round(sum(value::float::double), 3) as total from s join ev on ev.rec_id = s.rec_id and ev.sample >= s.start and ev.sample < s.start + 16 group by s.rec_id, s.start)
+select {_PATH} as file_path, (row_number() over (partition by rec_id order by start) - 1)::int as source_epoch_index, start, 'Segment' as event, count(*) over (partition by rec_id) as n_epochs, 16 as width, total from w""")
+def segment_epochs_store(spark: SparkSession, root: str) -> DataFrame:
+    """Half-overlapping segments of every recording in a store."""
+    n = _events(spark, root).groupBy("rec_id").agg((F.max("sample") + 1).alias("n_samples"), F.lit(1.0).alias("sfreq"))
+    return _kept(spark, root, epoching.windows_for("segment", recordings=n, seconds=16.0, overlap=0.5), "segment-store")
+
+
+@register(EV + f""", p as (select a.rec_id, a.sample - 2 as start, a.name, sum(b.value::float::double) as total from ev a join ev b
+  on b.rec_id = a.rec_id and b.sample between a.sample - 2 and a.sample + 5 where a.name in ('click', 'error') group by all having count(*) = 8)
+select {_PATH} as file_path, (row_number() over (partition by rec_id order by start) - 1)::int as source_epoch_index, start, name as event, count(*) over (partition by rec_id) as n_epochs, 8 as width, round(total, 3) as total from p""")
+def event_epochs_store(spark: SparkSession, root: str) -> DataFrame:
+    """Epochs around two kinds of events in a store."""
+    return _kept(spark, root, epoching.windows_for("event", events=_events(spark, root), before=2, after=5, names=["click", "error"]), "event-store")
 
 
 @register("""with n as (select source_id, sfreq, coalesce(n_epochs, 0) * 64 as n from sources), b as (select source_id, n, least(floor(sfreq * 5)::bigint, greatest(1, n // 4)) as size from n where sfreq is not null)
