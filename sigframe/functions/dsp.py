@@ -144,6 +144,19 @@ def dominant_frequency(x: np.ndarray, sfreq: float) -> np.ndarray:
     return np.fft.rfftfreq(np.shape(x)[-1], 1 / sfreq)[spec.argmax(axis=-1)]
 
 
+def mixing(x: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """(channels, components): how much of each component, which have unit variance, every channel holds."""
+    x = np.asarray(x, float) - np.mean(x, axis=1, keepdims=True)
+    return x @ sources.T / x.shape[1]
+
+
+def excess_kurtosis(x: np.ndarray) -> np.ndarray:
+    """Excess kurtosis along the last axis, 0 for a constant row."""
+    d = x - x.mean(axis=-1, keepdims=True)
+    v = (d * d).mean(axis=-1)
+    return np.where(v > 0, (d**4).mean(axis=-1) / np.where(v > 0, v * v, 1.0) - 3, 0.0)
+
+
 def fast_ica(x: np.ndarray, n_components: int | None = None, seed: int = 0, rounds: int = 200, tol: float = 1e-4) -> np.ndarray:
     """Independent components (components, samples) by symmetric FastICA with a tanh contrast.
 

@@ -119,7 +119,7 @@ def fir(df: DataFrame, rec: list[str], order: list[str], value: str, taps: list[
     return df.withColumn(out, total)
 
 
-def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float | str, *, l_freq: float | None = None, h_freq: float | None = None, notch: float | None = None, order: int = 4) -> DataFrame:
+def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float | str, *, l_freq: float | None = None, h_freq: float | None = None, notch: float | None = None, order: int = 4, reach: int = 1) -> DataFrame:
     """Filtered signals of rows (keys, block, samples), blocks of one channel handled with their neighbours.
 
     ``kind`` is lowpass, highpass, bandpass (FIR, zero phase), notch, or butter (Butterworth band-pass, forward and
@@ -127,6 +127,8 @@ def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float | str,
     result does not depend on the size of the blocks; the Butterworth filter reads both neighbours, in which its
     transients die out. Blocks of a channel are numbered by ``block``; null and empty ones become null.
     ``sfreq`` is a rate or the name of a column of rates; a row whose rate is missing or too low for the band becomes null.
+    ``reach`` is the number of neighbouring blocks read on each side; that many have to hold half a filter. With 0 each block is a signal
+    of its own, and nothing is shuffled.
     """
     if kind not in ("lowpass", "highpass", "bandpass", "notch", "butter"):
         raise ValueError(kind)
@@ -134,7 +136,8 @@ def filter_blocks(df: DataFrame, keys: list[str], kind: str, sfreq: float | str,
         raise ValueError("notch needs a frequency")
     w = Window.partitionBy(*keys).orderBy("block")
     empty = F.array().cast("array<double>")
-    around = df.withColumn("_before", F.coalesce(F.lag("samples").over(w), empty)).withColumn("_after", F.coalesce(F.lead("samples").over(w), empty))
+    beside = lambda a, b: F.flatten(F.collect_list(F.coalesce("samples", empty)).over(w.rowsBetween(a, b))) if reach else empty
+    around = df.withColumns({"_before": beside(-reach, -1), "_after": beside(1, reach)})
 
     def kernel_of(fs: float):
         h = h_freq if h_freq is None or h_freq < fs / 2 else fs / 2 - 1
@@ -201,6 +204,91 @@ def ica(df: DataFrame, keys: list[str], n_components: int | None = None, seed: i
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def resample(df: DataFrame, samples: str, sfreq: str, target: float) -> DataFrame:
+    """``df`` with ``samples`` at the rate ``target`` by the Fourier method, from the rates of the column ``sfreq``.
+
+    A row has round(length * target / rate) samples then, one at least; rows of one length and rate are handled together. Rows
+    without a positive rate become null, null and empty arrays stay as they are. The operator adds no shuffle.
+    """
+    if not target > 0:
+        raise ValueError("a positive rate")
+
+    def kernel(x: np.ndarray, fs: float) -> np.ndarray:
+        n = max(1, round(x.shape[-1] * target / fs))
+        return x if n == x.shape[-1] else dsp.resample(x, n)
+
+    return mapped_rows(df, samples, kernel, sfreq=sfreq)
+
+
+def _artefacts(x: np.ndarray, s: np.ndarray, like: np.ndarray, limit: float, kurtosis: float) -> np.ndarray:
+    """Components that go with one of the channels ``like``, or whose excess kurtosis is beyond ``kurtosis``."""
+    bad = dsp.excess_kurtosis(s) > kurtosis
+    for c in like:
+        d = x[c] - x[c].mean()
+        if d.any():
+            bad |= np.abs(s @ d) / np.maximum(np.linalg.norm(s, axis=1) * np.linalg.norm(d), 1e-300) > limit
+    return bad
+
+
+def ica_apply(df: DataFrame, keys: list[str], *, like: list[int] | None = None, limit: float = 0.7, kurtosis: float = float("inf"), n_components: int | None = None, seed: int = 0) -> DataFrame:
+    """Signals (keys, ch, samples, removed) of each recording without its artefact components.
+
+    Components that correlate by more than ``limit`` with one of the channels ``like`` (eyes, heart, muscles), or whose excess kurtosis is above
+    ``kurtosis``, are taken out of every other channel; ``removed`` is their number. A recording has to fit in one task, as for ``ica``.
+    """
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", ch int, samples array<double>, removed int"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ch")
+        ch = pdf["ch"].tolist()
+        x = np.array([np.asarray(v, float) for v in pdf["samples"]])
+        s = dsp.fast_ica(x, n_components, seed)
+        marks = [ch.index(c) for c in like or [] if c in ch]
+        bad = _artefacts(x, s, np.array(marks, int), limit, kurtosis) if len(s) else np.zeros(0, bool)
+        clean = x - dsp.mixing(x, s[bad]) @ s[bad] if bad.any() else x
+        for c in marks:
+            clean[c] = x[c]
+        return pd.DataFrame({**{k: [v] * len(ch) for k, v in zip(keys, key, strict=True)}, "ch": ch, "samples": list(clean), "removed": int(bad.sum())})
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def ica_quality(df: DataFrame, keys: list[str], types: dict[int, str], *, limit: float = 0.7, seed: int = 0) -> DataFrame:
+    """(keys, score, n_eog, n_emg, n_ecg): the share of components that are no artefacts, and how many go with channels of each type.
+
+    ``types`` gives the type of a channel by its number. Recordings of constant channels have no components and a null score.
+    """
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", score double, n_eog int, n_emg int, n_ecg int"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ch")
+        x = np.array([np.asarray(v, float) for v in pdf["samples"]])
+        s = dsp.fast_ica(x, None, seed)
+        kinds = [types.get(c) for c in pdf["ch"].tolist()]
+        found = {t: _artefacts(x, s, np.array([i for i, k in enumerate(kinds) if k == t], int), limit, float("inf")) for t in ("eog", "emg", "ecg")}
+        any_bad = np.any(list(found.values()), axis=0) if len(s) else np.zeros(0, bool)
+        score = 1 - any_bad.mean() if len(s) else None
+        return pd.DataFrame([(*key, score, *(int(f.sum()) for f in found.values()))], columns=[*keys, "score", "n_eog", "n_emg", "n_ecg"])
+
+    return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def recording_correlation(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, a, b, r): Pearson correlation of every pair of channel columns within each recording, null where one is constant.
+
+    Pairs with an absent or non-finite value are left out, for that pair alone. One aggregation with map-side combination.
+    """
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = fine(a) & fine(b)
+        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"_{i}"))
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+    return df.groupBy(*keys).agg(*aggs).select(*keys, F.explode(rows).alias("x")).select(*keys, "x.*")
+
+
 def channel_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): Pearson correlation of every pair of channel columns in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]

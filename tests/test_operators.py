@@ -294,3 +294,46 @@ def test_greedy_lanes(spark):
     for r in got:
         totals.setdefault((r.lane, r.part), []).append(r.s)
     assert len(got) == 302 and all(sum(v) <= 100 or max(v) > 100 for v in totals.values())
+
+
+def test_resample_operator(spark):
+    t = np.arange(200) / 200
+    x = np.sin(2 * np.pi * 5 * t) + 3
+    df = spark.createDataFrame([(1, 200.0, x.tolist()), (2, 50.0, x[:50].tolist()), (3, None, [1.0]), (4, 200.0, None), (5, 200.0, [])], "id int, fs double, s array<double>")
+    got = {r.id: r.s for r in signals.resample(df, "s", "fs", 100.0).collect()}
+    u = np.arange(100) / 100
+    assert got[1] == pytest.approx(list(np.sin(2 * np.pi * 5 * u) + 3), abs=1e-9) and len(got[2]) == 100
+    assert got[3] is None and got[4] is None and got[5] == []
+    with pytest.raises(ValueError):
+        signals.resample(df, "s", "fs", 0)
+
+
+def test_filters_read_as_far_as_told(spark):
+    x = np.random.default_rng(2).normal(size=240)
+    taps = dsp.firwin("bandpass", 20.0, l_freq=2, h_freq=6)
+    assert 16 < len(taps) // 2 <= 48
+    whole = dsp.fir_with_halo([], x, [], taps, len(taps) // 2)
+    df = spark.createDataFrame([(1, b, x[b * 16 : (b + 1) * 16].tolist()) for b in range(15)], "rec int, block int, samples array<double>")
+    out = signals.filter_blocks(df, ["rec"], "bandpass", 20.0, l_freq=2, h_freq=6, reach=3).orderBy("block").collect()
+    assert np.concatenate([r.samples for r in out]) == pytest.approx(whole, abs=1e-12)
+    alone = signals.filter_blocks(df, ["rec"], "bandpass", 20.0, l_freq=2, h_freq=6, reach=0)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ica_takes_artefacts_out(spark):
+    rng = np.random.default_rng(3)
+    wave, noise = np.sin(np.arange(2000) / 7), rng.uniform(-1, 1, 2000)
+    blink = np.where(np.arange(2000) % 400 < 12, 30.0, 0.0)
+    x = np.stack([wave + 0.4 * noise + blink, 0.5 * wave - noise + 0.6 * blink, blink])
+    df = spark.createDataFrame([("r", c, v.tolist()) for c, v in enumerate(x)], "rec string, ch int, samples array<double>")
+    for how in ({"like": [2]}, {"kurtosis": 10.0}):
+        got = {r.ch: r for r in signals.ica_apply(df, ["rec"], **how).collect()}
+        assert got[0].removed == 1
+        for c, w in ((0, wave + 0.4 * noise), (1, 0.5 * wave - noise)):
+            assert abs(np.corrcoef(got[c].samples, w)[0, 1]) > 0.98
+    same = {r.ch: r for r in signals.ica_apply(df, ["rec"]).collect()}
+    assert same[0].removed == 0 and same[0].samples == pytest.approx(list(x[0]))
+    q = signals.ica_quality(df, ["rec"], {2: "eog"}).first()
+    assert (q.n_eog, q.n_emg, q.n_ecg) == (1, 0, 0) and q.score == pytest.approx(2 / 3)
+    flat = spark.createDataFrame([("f", 0, [0.0] * 50), ("f", 1, [0.0] * 50)], "rec string, ch int, samples array<double>")
+    assert signals.ica_quality(flat, ["rec"], {}).first().score is None and signals.ica_apply(flat, ["rec"], like=[1]).count() == 2
