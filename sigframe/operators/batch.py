@@ -101,3 +101,18 @@ def apply_kernel(recordings: DataFrame, annotations: DataFrame, kernel: Any, sch
     """
     live = recordings if getattr(kernel, "HANDLES_UNAVAILABLE", False) else recordings.where("coalesce(status, '') <> 'Unavailable'")
     return live.groupBy(key).cogroup(annotations.join(live.select(key), key, "left_semi").groupBy(key)).applyInPandas(lambda a, b: kernel.apply(a, b), schema)
+
+
+def logged(function: Callable) -> Callable:
+    """``function`` of a row that logs the row before it is handled, at level INFO of the logger of its module."""
+    import functools
+    import logging
+
+    log = logging.getLogger(function.__module__)
+
+    @functools.wraps(function)
+    def run(row, *args, **kwargs):
+        log.info("row %s", row)
+        return function(row, *args, **kwargs)
+
+    return run

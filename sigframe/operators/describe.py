@@ -42,3 +42,22 @@ def small_text_files(spark: SparkSession, folder: str, limit: int = 3 * 1024 * 1
 def safe_divide(n: Column, d: Column) -> Column:
     """n / d, null for a zero or missing d."""
     return F.try_divide(n.cast("double"), d.cast("double"))
+
+
+def serialisable(value: object) -> object:
+    """``value`` with times as ISO text, arrays as lists and bytes as text, in lists and dictionaries as well; others as they are.
+
+    >>> serialisable({"a": [b"x", None]})
+    {'a': ['x', None]}
+    """
+    if hasattr(value, "isoformat"):
+        return value.isoformat()
+    if hasattr(value, "tolist"):
+        return value.tolist()
+    if isinstance(value, bytes):
+        return value.decode("utf-8")
+    if isinstance(value, dict):
+        return {str(k): serialisable(v) for k, v in value.items()}
+    if isinstance(value, list | tuple | set):
+        return [serialisable(v) for v in value]
+    return value

@@ -31,12 +31,28 @@ def share_below(samples: Column, limit: float, magnitude: bool) -> Column:
     return F.try_divide(100.0 * F.size(F.filter(samples, lambda x: (F.abs(x) if magnitude else x) <= limit)), F.size(samples))
 
 
-def rank_score(df: DataFrame, group: list[str], value: str, tie: str) -> DataFrame:
-    """``df`` with 1 for the upper half by ``value`` within the group, 0.5 for the next quarter, 0 for the rest."""
-    w = Window.partitionBy(*group)
-    rank = F.row_number().over(w.orderBy(F.col(value).desc(), tie))
-    n = F.count(F.lit(1)).over(w)
-    return df.withColumn("score", F.when(rank <= F.ceil(n * 0.5), 1.0).when(rank <= F.ceil(n * 0.75), 0.5).otherwise(0.0))
+def rank_score(df: DataFrame, group: list[str], value: str, tie: str, cuts: int = 200) -> DataFrame:
+    """``df`` with 1 for the upper half by ``value`` within the group, 0.5 for the next quarter, 0 for the rest.
+
+    Equal values are ranked by ``tie``. Each group is cut into about ``cuts`` stretches of its values, which are ranked on their own and moved
+    by the count of all higher ones. So a group with any share of the rows spreads over tasks, unless its
+    values are all alike. Null values come last, null groups are one group.
+    """
+    v = F.col(value).cast("double")
+    points = df.groupBy(*group).agg(F.percentile_approx(v, F.array(*[F.lit(i / cuts) for i in range(1, cuts)]), 10_000).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    points = points.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_n", F.array_distinct(F.coalesce("_p", F.array().cast("array<double>"))).alias("_p"))
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    placed = df.join(points, on).withColumn("_s", F.when(v.isNull(), F.lit(-1)).otherwise(F.size(F.filter("_p", lambda p: p < v)))).drop("_p", *[f"_g{i}" for i in range(len(group))])
+    counts = placed.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_k"))
+    higher = Window.partitionBy(*group).orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_s").alias("_t"), F.coalesce(F.sum("_k").over(higher), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_s").orderBy(F.col(value).desc_nulls_last(), tie)
+    ranked = placed.join(counts, on & (F.col("_s") == F.col("_t"))).withColumn("_r", F.col("_before") + F.row_number().over(within))
+    score = F.when(F.col("_r") <= F.ceil(F.col("_n") * 0.5), 1.0).when(F.col("_r") <= F.ceil(F.col("_n") * 0.75), 0.5).otherwise(0.0)
+    return ranked.select(*df.columns, score.alias("score"))
 
 
 def band(df: DataFrame, samples: str, out: str, low: float, high: float, sfreq: float | str) -> DataFrame:

@@ -99,3 +99,55 @@ def test_annotations(spark, tmp_path):
     assert got == {
         ("b.vhdr", 1.0, 0.004, "Stimulus/S  1"), ("b.vhdr", 2.0, 0.1, "Comment/a,b"), ("c.edf", 1.5, 2.25, "sleep"), ("c.edf", 3.0, 0.0, "one"), ("c.edf", 3.0, 0.0, "two"),
     }
+
+
+def _edf_bytes(rows, per, bdf=False, labels=None):
+    """An EDF or BDF file of one-second records; ``rows`` are whole numbers, ``per`` the samples of each channel in a record."""
+    n, records = len(rows), len(rows[0]) // per[0]
+    size = 3 if bdf else 2
+    field = lambda v, w: str(v).ljust(w).encode()
+    lim = 1 << (8 * size - 1)
+    head = (b"\xffBIOSEMI" if bdf else field("0", 8)) + field("X", 80) + field("R", 80) + b"01.01.20" + b"10:00:00" + field(256 * (n + 1), 8) + field("", 44) + field(records, 8) + field(1, 8) + field(n, 4)
+    for w, values in ((16, labels or [f"C{i}" for i in range(n)]), (80, [""] * n), (8, ["uV"] * n), (8, [-lim] * n), (8, [lim - 1] * n), (8, [-lim] * n), (8, [lim - 1] * n), (80, [""] * n), (8, per), (32, [""] * n)):
+        head += b"".join(field(v, w) for v in values)
+    body = b"".join(int(v).to_bytes(size, "little", signed=True) for r in range(records) for i in range(n) for v in rows[i][r * per[i] : (r + 1) * per[i]])
+    return head + body
+
+
+def test_mixed_rates_bdf_and_stated_data_files(spark, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sigframe.sources import timeseries
+
+    fast, slow = list(range(-100, 100)), list(range(20))
+    (tmp_path / "mixed.edf").write_bytes(_edf_bytes([fast, slow], [100, 10]))
+    big = [-8_000_000, 8_000_000, 5, -5]
+    (tmp_path / "wide.bdf").write_bytes(_edf_bytes([big], [2], bdf=True))
+    (tmp_path / "v.vhdr").write_text("[Common]\nDataFile=stated.eeg\nDataOrientation=MULTIPLEXED\nSamplingInterval=4000\n[Binary Infos]\nBinaryFormat=INT_16\n[Channel Infos]\nCh1=Fz,,0.5,mV\nCh2=Cz,,0.1,µV\n", encoding="latin-1", errors="replace")
+    (tmp_path / "stated.eeg").write_bytes(np.array([[2, 10], [4, 20]], "<i2").tobytes())
+    (tmp_path / "v.eeg").write_bytes(b"\0" * 400)
+    (tmp_path / "two.hea").write_text("two 2 100 2\ntwo.dat 16 1 0 0 0 0 0 A\ntwo.dat 212 1 0 0 0 0 0 B\n")
+    (tmp_path / "two.dat").write_bytes(b"\0" * 16)
+    got = {r.path.rpartition("/")[2]: r for r in timeseries.read_headers(spark, str(tmp_path)).collect()}
+    assert (got["mixed.edf"].sfreq, got["mixed.edf"].n_samples) == (100.0, 200) and (got["wide.bdf"].sfreq, got["wide.bdf"].n_samples) == (2.0, 4)
+    assert got["v.vhdr"].n_samples == 2 and "Exchange" not in timeseries.read_headers(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    sig = {(r.path.rpartition("/")[2], r.ch): r for r in timeseries.read_signals(spark, str(tmp_path)).collect()}
+    assert (sig["mixed.edf", 0].sfreq, sig["mixed.edf", 1].sfreq) == (100.0, 10.0)
+    assert sig["mixed.edf", 0].samples == fast and sig["mixed.edf", 1].samples == slow and sig["wide.bdf", 0].samples == big
+    assert sig["v.vhdr", 0].samples == [1000.0, 2000.0] and sig["v.vhdr", 1].samples[1] == 2.0
+    assert not any(k[0] == "two.hea" for k in sig)
+    try:
+        timeseries.read_signals(spark, str(tmp_path), errors="raise").where(F.col("ch") >= 0).collect()
+        raise AssertionError("the file of two formats was read")
+    except Exception as e:  # noqa: BLE001
+        assert "different formats" in str(e)
+
+
+def test_header_reads_no_samples(tmp_path):
+    """A file cut off behind its header still has one."""
+    from sigframe.sources import timeseries
+
+    whole = _edf_bytes([list(range(200))], [100])
+    (tmp_path / "cut.edf").write_bytes(whole[:512])
+    assert timeseries._parsed(str(tmp_path / "cut.edf"), False)[1]["n_samples"] == 200

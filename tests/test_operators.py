@@ -1,5 +1,7 @@
 """Recording operators beyond what the queries show: errors, edge cases, closed forms, round trips."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -337,3 +339,26 @@ def test_ica_takes_artefacts_out(spark):
     assert (q.n_eog, q.n_emg, q.n_ecg) == (1, 0, 0) and q.score == pytest.approx(2 / 3)
     flat = spark.createDataFrame([("f", 0, [0.0] * 50), ("f", 1, [0.0] * 50)], "rec string, ch int, samples array<double>")
     assert signals.ica_quality(flat, ["rec"], {}).first().score is None and signals.ica_apply(flat, ["rec"], like=[1]).count() == 2
+
+
+def test_rank_score_of_a_hot_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else None if i % 7 == 0 else "b", float(rng.integers(0, 60)) if i % 11 else None, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double, i int")
+    got = {r.i: r.score for r in quality.rank_score(df, ["g"], "v", "i", cuts=9).collect()}
+    assert len(got) == 900
+    for g in ("hot", "b", None):
+        one = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        for k, r in enumerate(one, 1):
+            assert got[r[2]] == (1.0 if k <= math.ceil(len(one) * 0.5) else 0.5 if k <= math.ceil(len(one) * 0.75) else 0.0)
+
+
+def test_serialisable_and_logged(caplog):
+    from datetime import date
+
+    from sigframe.operators import describe
+
+    assert describe.serialisable({"a": np.arange(2), "b": [date(2020, 1, 2), b"x"], 1: None}) == {"a": [0, 1], "b": ["2020-01-02", "x"], "1": None}
+    with caplog.at_level("INFO"):
+        assert batch.logged(lambda row, k=1: row["x"] + k)({"x": 2}, k=3) == 5
+    assert "row {'x': 2}" in caplog.text
