@@ -128,6 +128,41 @@ def store_tables(epochs: DataFrame, recordings: DataFrame, channels: DataFrame,
     return tables
 
 
+def export_npy(epochs: DataFrame, folder: str, name: str = "epoch_id", data: str = "epoch_data") -> DataFrame:
+    """Write each epoch as ``<name>.npy`` of float32 (channels, samples) below ``folder`` and return (name, path, shape).
+
+    Tasks write the epochs they hold, nothing is moved; a task that runs twice writes the same files. ``folder`` is a path or address that all executors
+    reach. Epochs of null data or ragged channels give no file and a null path. The files are written when the result is read.
+    """
+    kind = epochs.schema[name].dataType.simpleString()
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        where.create_dir(root, recursive=True)
+        for pdf in batches:
+            out = []
+            for key, d in pdf.itertuples(index=False):
+                rows = None if d is None else [np.asarray(c, "float32") if c is not None else None for c in d]
+                if not rows or any(c is None or len(c) != len(rows[0]) for c in rows):
+                    out.append((key, None, None))
+                    continue
+                buffer = io.BytesIO()
+                np.save(buffer, np.stack(rows))
+                path = f"{root.rstrip('/')}/{key}.npy"
+                with where.open_output_stream(path) as f:
+                    f.write(buffer.getvalue())
+                out.append((key, path, f"({len(rows)}, {len(rows[0])})"))
+            yield pd.DataFrame(out, columns=["name", "path", "shape"])
+
+    return epochs.select(name, data).mapInPandas(run, f"name {kind}, path string, shape string").withColumnRenamed("name", name)
+
+
 def export_recordings(wide: DataFrame, catalogue: DataFrame, folder: str, kind: str = "csv", *, overwrite: bool = False) -> DataFrame:
     """Write each recording of ``wide`` (rec_id, sample, columns) to a folder of its own and return its new catalogue.
 

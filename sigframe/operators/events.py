@@ -31,6 +31,27 @@ def changes(df: DataFrame, rec: str, order: list[str], code: str) -> DataFrame:
     return df.withColumn("previous", F.lag(code).over(w)).where(F.col("previous").isNotNull() & (F.col("previous") != F.col(code)))
 
 
+def extract(annotations: DataFrame | None, stim: DataFrame | None, method: str = "auto") -> DataFrame:
+    """Events (rec_id, sample, name) from annotations (rec_id, sample, description) or from a track of codes (rec_id, sample, code).
+
+    'annotations' and 'stim' take one of them. 'auto' takes a recording's annotations where it has usable ones, else the changes of its track
+    to a code other than 0, named ``event_<code>``. ValueError for another method or for the table it needs.
+    """
+    if method not in ("auto", "annotations", "stim"):
+        raise ValueError(method)
+    a = None if annotations is None or method == "stim" else from_annotations(annotations).select("rec_id", F.col("sample").cast("bigint").alias("sample"), F.col("description").alias("name"))
+    b = None
+    if stim is not None and method != "annotations":
+        moved = changes(stim, "rec_id", ["sample"], "code").where("code <> 0")
+        b = moved.select("rec_id", F.col("sample").cast("bigint").alias("sample"), F.concat(F.lit("event_"), F.col("code").cast("string")).alias("name"))
+    if a is None or b is None:
+        found = b if a is None else a
+        if found is None:
+            raise ValueError(f"nothing to extract events from by {method}")
+        return found
+    return a.unionByName(b.join(a.select("rec_id").distinct(), "rec_id", "left_anti"))
+
+
 def runs(df: DataFrame, rec: str, order: list[str], code: str) -> DataFrame:
     """(rec, run, code, first, last, length): stretches of equal codes, by gaps and islands."""
     w = Window.partitionBy(rec).orderBy(*order)

@@ -42,6 +42,24 @@ def zscore(df: DataFrame, by: list[str], value: str, out: str, skip: Column | No
     return df.join(stats, by, "left").withColumn(out, score).drop("_m", "_s", "_a")
 
 
+def require_finite(df: DataFrame, channel: str, value: str) -> DataFrame:
+    """``df`` as it is; ValueError that names the first channel with a value that is absent, NaN or infinite. One aggregation."""
+    bad = F.col(value).isNull() | F.isnan(F.col(value).cast("double")) | (F.abs(F.col(value).cast("double")) == float("inf"))
+    first = df.where(bad).agg(F.min(channel)).first()[0]
+    if first is not None:
+        raise ValueError(f"Non-finite samples in channel {first!r}")
+    return df
+
+
+def require_same_channels(df: DataFrame, domain: str, rec: str, channel: str) -> DataFrame:
+    """``df`` as it is; ValueError that names a domain whose recordings differ in their channels. Works on distinct channels alone."""
+    sets = df.select(domain, rec, channel).distinct().groupBy(domain, rec).agg(F.array_join(F.array_sort(F.collect_list(F.col(channel).cast("string"))), "\x1f").alias("_c"))
+    mixed = sets.groupBy(domain).agg(F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a <> _b").agg(F.min(F.coalesce(F.col(domain).cast("string"), F.lit("null")))).first()[0]
+    if mixed is not None:
+        raise ValueError(f"recordings of domain {mixed!r} differ in their channels")
+    return df
+
+
 def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, mean, std): count, mean and population standard deviation per group."""
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))

@@ -93,9 +93,9 @@ def load_mat(data: bytes) -> dict[str, Any]:
     return out
 
 
-def variables(tree: Any, path: str = "", depth: int = 10, width: int = 50) -> list[tuple[str, Any]]:
-    """(path, value) of all leaves, down to ``depth`` levels and the first ``width`` items of a list."""
-    if depth < 0:
+def variables(tree: Any, path: str = "", depth: int | None = 10, width: int | None = 50) -> list[tuple[str, Any]]:
+    """(path, value) of all leaves, down to ``depth`` levels and the first ``width`` items of a list; None for all of them."""
+    if depth is not None and depth < 0:
         return []
     if isinstance(tree, dict):
         items = [(f"{path}.{k}" if path else k, v) for k, v in tree.items()]
@@ -103,16 +103,18 @@ def variables(tree: Any, path: str = "", depth: int = 10, width: int = 50) -> li
         items = [(f"{path}[{i}]", v) for i, v in enumerate(tree[:width])]
     else:
         return [(path, tree)]
-    return [leaf for p, v in items for leaf in variables(v, p, depth - 1, width)]
+    return [leaf for p, v in items for leaf in variables(v, p, None if depth is None else depth - 1, width)]
 
 
-def find_recording(data: bytes, least_bytes: int = 5 * 1024 * 1024) -> dict:
+def find_recording(data: bytes, least_bytes: int = 5 * 1024 * 1024, depth: int | None = 10, width: int | None = 50) -> dict:
     """The signal of a MAT file: the first matrix of more than ``least_bytes``, else the first three-dimensional array.
 
     The rate is the first single number under a name with fs, fre or rate, the channel names the first list of more than two
     texts under one with chan, chname or clab. A matrix with more rows than columns is turned. ValueError without a signal.
+    Variables are searched down to ``depth`` levels and the first ``width`` items of a list, with None wholly.
     """
-    found = variables(load_mat(data))
+    found = variables(load_mat(data), depth=depth, width=width)
+    # fixed values: words in the names of variables that hold rates and channel names
     arrays = [(p, v) for p, v in found if isinstance(v, np.ndarray)]
     raw = next(((p, v) for p, v in arrays if v.ndim == 2 and v.nbytes > least_bytes), None)
     epochs = next(((p, v) for p, v in arrays if v.ndim == 3), None)

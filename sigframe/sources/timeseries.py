@@ -228,16 +228,17 @@ def _parsed(path: str, signals: bool) -> tuple[str, dict]:
 
 
 # ------------------------------------------------------------------------------ Spark
-def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths of recordings below ``folder``, without any content."""
+def _listed(spark: SparkSession, folder: str, least_bytes: int = 0) -> DataFrame:
+    """Paths of recordings below ``folder``, without any content; CSV, TXT and MAT files of at most ``least_bytes`` are no recordings."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path").where(F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).isin(*_MAIN))
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.select("path", "length").where(ext.isin(*_MAIN) & (~ext.isin("csv", "txt", "mat") | (F.col("length") > least_bytes))).select("path")
 
 
-def read_headers(spark: SparkSession, folder: str) -> DataFrame:
+def read_headers(spark: SparkSession, folder: str, least_bytes: int = 0) -> DataFrame:
     """One row per recording below ``folder``; a file that cannot be read has type ``unknown`` and the error.
 
-    The catalogue's rate and length are those of the fastest channel.
+    The catalogue's rate and length are those of the fastest channel. CSV, TXT and MAT files of at most ``least_bytes`` are passed over.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,10 +255,10 @@ def read_headers(spark: SparkSession, folder: str) -> DataFrame:
             frame = pd.DataFrame(out, columns=["path", "file_type", "n_channels", "n_samples", "sfreq", "duration_s", "channels", "error"])
             yield frame.astype({"n_channels": "Int32", "n_samples": "Int64", "sfreq": "float64", "duration_s": "float64"})
 
-    return _listed(spark, folder).mapInPandas(run, HEADER)
+    return _listed(spark, folder, least_bytes).mapInPandas(run, HEADER)
 
 
-def read_signals(spark: SparkSession, folder: str, block: int = 8192, *, errors: str = "skip") -> DataFrame:
+def read_signals(spark: SparkSession, folder: str, block: int = 8192, *, errors: str = "skip", least_bytes: int = 0) -> DataFrame:
     """Signals of all readable recordings in blocks of ``block`` samples, each channel at its own rate.
 
     An unreadable file gives no row (``read_headers`` names it with its error); with ``errors='raise'`` it ends the job.
@@ -284,4 +285,4 @@ def read_signals(spark: SparkSession, folder: str, block: int = 8192, *, errors:
                         "samples": [x[s : s + block] for s in starts],
                     })
 
-    return _listed(spark, folder).mapInPandas(run, SIGNAL)
+    return _listed(spark, folder, least_bytes).mapInPandas(run, SIGNAL)

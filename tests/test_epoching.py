@@ -125,3 +125,10 @@ def test_wide_export_without_a_shuffle(spark):
     out = store.wide_export(df, "id", "d", ["a", "b"], "ev")
     assert sorted(map(tuple, out.collect())) == [(1, 0, 1.0, 3.0, "e"), (1, 1, 2.0, None, None)]
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_npy(spark, tmp_path):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]]), (2, None), (3, [[1.0], [1.0, 2.0]]), (4, [])], "epoch_id long, epoch_data array<array<float>>")
+    got = {r.epoch_id: (r.path, r.shape) for r in epoching.export_npy(df, str(tmp_path / "npy")).collect()}
+    assert got[1] == (str(tmp_path / "npy" / "1.npy"), "(2, 2)") and got[2] == got[3] == got[4] == (None, None)
+    assert np.array_equal(np.load(got[1][0]), np.array([[1, 2], [3, 4]], "float32")) and os.listdir(tmp_path / "npy") == ["1.npy"]

@@ -362,3 +362,32 @@ def test_serialisable_and_logged(caplog):
     with caplog.at_level("INFO"):
         assert batch.logged(lambda row, k=1: row["x"] + k)({"x": 2}, k=3) == 5
     assert "row {'x': 2}" in caplog.text
+
+
+def test_extract_events(spark):
+    ann = spark.createDataFrame([("a", 5, "go"), ("a", 9, "BAD_x"), ("b", 3, "edge boundary")], "rec_id string, sample long, description string")
+    stim = spark.createDataFrame([(r, i, c) for r in "abc" for i, c in enumerate([0, 0, 2, 2, 0, 7])], "rec_id string, sample long, code int")
+    of = lambda *a: sorted((r.rec_id, r.sample, r["name"]) for r in events.extract(*a).collect())
+    track = lambda r: [(r, 2, "event_2"), (r, 5, "event_7")]
+    assert of(ann, stim) == [("a", 5, "go"), *track("b"), *track("c")]
+    assert of(ann, stim, "annotations") == [("a", 5, "go")] and of(ann, stim, "stim") == [*track("a"), *track("b"), *track("c")]
+    assert of(None, stim) == of(ann, stim, "stim")
+    for bad in ((ann, stim, "other"), (None, stim, "annotations"), (None, None)):
+        with pytest.raises(ValueError):
+            events.extract(*bad)
+
+
+@pytest.mark.parametrize("bad", [float("nan"), float("inf"), float("-inf"), None])
+def test_non_finite_samples_name_their_channel(spark, bad):
+    rows = [("varying", v) for v in (1.0, 2.0, bad, 4.0)] + [("constant", 7.0)] * 4
+    df = spark.createDataFrame(rows, "ch string, v double")
+    with pytest.raises(ValueError, match="varying"):
+        signals.require_finite(df, "ch", "v")
+    assert signals.require_finite(df.where("ch = 'constant'"), "ch", "v").count() == 4
+
+
+def test_domains_of_differing_channels(spark):
+    df = spark.createDataFrame([("d", 1, "Fz"), ("d", 1, "Cz"), ("d", 2, "Cz"), ("d", 2, "Fz"), ("d", 2, "Fz"), ("e", 3, "Oz")], "domain string, rec int, ch string")
+    assert signals.require_same_channels(df, "domain", "rec", "ch").count() == 6
+    with pytest.raises(ValueError, match="'d'"):
+        signals.require_same_channels(df.where("not (rec = 2 and ch = 'Cz')"), "domain", "rec", "ch")
