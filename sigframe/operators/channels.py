@@ -97,6 +97,7 @@ def format_channel(entry: Column, vocabulary: list[str]) -> Column:
         refs = ["REF", "LE", "EEG", "ECG", "EOG", "EMG", "EKG", "MEG"]
         pair = (F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) > 0) & (F.length(F.get(sides, F.lit(1))) > 0)
         pair = pair & ~F.upper(F.trim(F.get(sides, F.lit(0)))).isin(refs) & ~F.upper(F.trim(F.get(sides, F.lit(1)))).isin(refs)
+        # fixed values: words that tell the type of a channel, in the order in which they are asked for
         return (
             F.when(low.startswith("misc:"), F.concat(F.lit("misc:"), F.substring(e, 6, 1_000_000)))
             .when(stated.isNotNull(), F.concat(stated, F.lit(":"), rest))

@@ -92,13 +92,15 @@ def cut_epochs(signals: DataFrame, windows: DataFrame, size: int, *, baseline: t
     return held.select("rec_id", "start", "name", F.transform("_c", lambda c: c["_x"].cast("array<float>")).alias("epoch_data"))
 
 
-def store_tables(epochs: DataFrame, recordings: DataFrame, channels: DataFrame, version: str = "2.3") -> dict[str, DataFrame]:
+def store_tables(epochs: DataFrame, recordings: DataFrame, channels: DataFrame, version: str = "2.3", *, drop_invalid: bool = False) -> dict[str, DataFrame]:
     """The tables of a store from epochs (rec_id, start, name, epoch_data) and recordings (rec_id, file_path, name, sfreq, mask, info).
 
     Sources are numbered in order of their uid, epochs in order of source, start and name, labels in order of their first epoch. ``channels`` is
     (ordinal, name, type). Columns ``meta`` and ``misc`` of epochs are kept. ``version`` '2' (and 2.0, 2.1) gives in addition the flat table ``epochs_flat``, with a
-    FutureWarning; any other but '2.3' is a ValueError.
+    FutureWarning; any other but '2.3' is a ValueError. With ``drop_invalid`` epochs that ``store.valid_epochs`` refuses are left out.
     """
+    if drop_invalid:
+        epochs = epochs.where(store.valid_epochs(epochs))
     version = str(version).lower().lstrip("v")
     if version in ("2", "2.0", "2.1"):
         warnings.warn("version 2 of the store is kept for old readers only", FutureWarning, stacklevel=2)

@@ -238,6 +238,19 @@ def resample(df: DataFrame, samples: str, sfreq: str, target: float) -> DataFram
     return mapped_rows(df, samples, kernel, sfreq=sfreq)
 
 
+def dominant_frequency(df: DataFrame, samples: str, sfreq: str, out: str = "frequency") -> DataFrame:
+    """``df`` with the frequency of the largest Fourier amplitude of ``samples`` without their mean, 0 for constant signals.
+
+    Null, empty and unrated signals have none. The operator adds no shuffle.
+    """
+
+    def kernel(x: np.ndarray, fs: float) -> np.ndarray:
+        flat = np.ptp(x, axis=1) == 0
+        return np.where(flat, 0.0, dsp.dominant_frequency(x, fs))[:, None]
+
+    return mapped_rows(df.withColumn(out, F.col(samples).cast("array<double>")), out, kernel, sfreq=sfreq).withColumn(out, F.get(out, F.lit(0)))
+
+
 def _artefacts(x: np.ndarray, s: np.ndarray, like: np.ndarray, limit: float, kurtosis: float) -> np.ndarray:
     """Components that go with one of the channels ``like``, or whose excess kurtosis is beyond ``kurtosis``."""
     bad = dsp.excess_kurtosis(s) > kurtosis

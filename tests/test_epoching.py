@@ -101,6 +101,8 @@ def test_a_store_refuses_bad_epochs(spark, tmp_path, change, message):
     assert os.listdir(tmp_path) == []
     store.write_store(tables, str(tmp_path / "s"), validate=False)
     assert store.EpochStore(spark, str(tmp_path / "s")).tables["epochs"].count() == 2
+    kept = epoching.store_tables(e, rec, spark.createDataFrame(CHANNELS[:2], "ordinal int, name string, type string"), drop_invalid=True)
+    assert kept["epochs"].count() == (2 if change == "shape" else 1)
 
 
 def test_export_by_recording(spark, tmp_path):

@@ -35,6 +35,7 @@ def test_check_finds_every_error(spark):
     assert got == {0: [], 1: ["shape", "channel_count"], 2: ["file_type"], 3: ["path"], 4: ["channel_count"], 5: ["duration"], 6: ["duration"], 7: ["repeated"]}
 
 
+# fixed values: the channel texts and what they are to become
 def test_channel_formatting(spark):
     cases = {
         "Dual:T8-P8": "eeg:T8-P8", "Dual:Fp1-F7, EEGDual:F7-T7": "eeg:Fp1-F7, eeg:F7-T7", "Fz, Cz, Pz": "eeg:Fz, eeg:Cz, eeg:Pz", "seeg:LA1, seeg:LA2": "seeg:LA1, seeg:LA2",
@@ -73,6 +74,7 @@ def test_segment_parameters():
             events.segment_starts(F.lit(10), *bad)
 
 
+# fixed values: four samples of four channels and their scores
 def test_zscore_fixture(spark):
     rows = [("varying", v) for v in (1.0, 2.0, 3.0, 4.0)] + [("constant", 7.0)] * 4 + [("label", v) for v in (2.0, 4.0)] + [("none", None)]
     df = spark.createDataFrame(rows, "ch string, value double")
@@ -391,3 +393,11 @@ def test_domains_of_differing_channels(spark):
     assert signals.require_same_channels(df, "domain", "rec", "ch").count() == 6
     with pytest.raises(ValueError, match="'d'"):
         signals.require_same_channels(df.where("not (rec = 2 and ch = 'Cz')"), "domain", "rec", "ch")
+
+
+def test_dominant_frequency_operator(spark):
+    t = np.arange(100) / 100
+    rows = [(1, 100.0, np.sin(2 * np.pi * 7 * t).tolist()), (2, 50.0, (5 + np.sin(2 * np.pi * 7 * t)).tolist()), (3, 100.0, [2.0] * 10), (4, None, [1.0, 2.0]), (5, 100.0, []), (6, 100.0, None)]
+    df = spark.createDataFrame(rows, "id int, fs double, s array<double>")
+    got = {r.id: r.frequency for r in signals.dominant_frequency(df, "s", "fs").collect()}
+    assert got[1] == pytest.approx(7) and got[2] == pytest.approx(3.5) and got[3] == 0 and got[4] is None and got[5] is None and got[6] is None
