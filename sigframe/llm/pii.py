@@ -153,7 +153,8 @@ def _word(word: str, slot: str) -> tuple[str, ...]:
     """Features of one word of a name; ``slot`` is g (given), f (family) or m (between them)."""
     low = word.lower()
     parts = [p for p in re.split(r"[-'’]", low) if p]
-    f = [slot + ":" + ("U" if word.isupper() else "T" if word[:1].isupper() else "p" if word[:2].islower() and any(map(str.isupper, word)) else "l")]
+    mixed = any(p[1:] != p[1:].lower() for p in re.split(r"[-'’]", word))
+    f = [slot + ":" + ("U" if word.isupper() else ("X" if mixed else "T") if word[:1].isupper() else "p" if word[:2].islower() and any(map(str.isupper, word)) else "l")]
     f.append(f"{slot}:c={min((_common(p) for p in parts if len(p) > 2), key=_ORDER.index, default='rare') if len(parts) > 1 else _common(low)}")
     if low in _CLASS:
         f += [f"{slot}:closed", f"{slot}:{_CLASS[low]}"]
@@ -161,6 +162,10 @@ def _word(word: str, slot: str) -> tuple[str, ...]:
     f += [f"{slot}:2={last[-2:]}", f"{slot}:3={last[-3:]}", f"{slot}:n={min(len(last), 9)}"]
     if len(parts) > 1:
         f.append(slot + ":joined")
+    if len(low) < 5 and not re.search(r"[aeiouyà-öø-ÿ]", low):
+        f.append(slot + ":no_vowel")
+    if re.match(r"[CDJLNS]['’][a-zà-öø-ÿ]", word):
+        f.append(slot + ":elided")
     return tuple(f)
 
 

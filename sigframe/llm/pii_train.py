@@ -196,7 +196,7 @@ class Maker:
         if kind == "rare":
             return self.sounds(1, 3).title()
         if kind == "code":
-            return r.choice("ABCDFGKLMPRSTVXZ") + r.choice(["a", "b", "d", "r", "t", "x", "z", "bx", "kz", "Rz", "T", "PX"])
+            return r.choice("ABCDFGKLMPRSTVXZ") + r.choice(["a", "b", "d", "r", "t", "x", "z", "bx", "kz", "Rz", "T", "PX", "Lt", "Kd", "Vx"])
         if kind == "small":
             return self.sounds(2, 3)
         if kind == "big":
@@ -207,7 +207,9 @@ class Maker:
             return r.choice([f"20{self.d('##')}-0{r.randint(1, 9)}-1{self.d('#')}", f"1{self.d('#')}.0{r.randint(1, 9)}.20{self.d('##')}", f"20{self.d('##')}0{r.randint(1, 9)}1{self.d('#')}"]) + r.choice(["", f" 0{self.d('#')}:{r.randint(10, 59)}"])
         if kind == "title":
             a, b = r.choice([self.pick(ADJECTIVES), self.pick(NOUNS), self.listed()]), r.choice([self.pick(NOUNS), self.listed()])
-            if r.random() < 0.3:  # one of the two is made up
+            if r.random() < 0.08:  # an abbreviation
+                a = "".join(r.choice("bcdfghkmprstv") for _ in range(r.randint(2, 3)))
+            elif r.random() < 0.3:  # one of the two is made up
                 a, b = r.choice([(a, self.sounds(1, 2)), (self.sounds(1, 2), b)])
             return self.r.choice([f"{a.title()} {b.title()}", f"{a.title()} {b.title()}", f"{a.upper()} {b.upper()}", f"{a}-{b}", f"{a.title()} {r.choice(['One', 'Two', 'Three', 'Four', 'X', 'II'])}"])
         if kind == "label":
@@ -243,7 +245,7 @@ class Maker:
             "|The log says {date} but the {noun} was late.|{date}, {title}, {noun}\n{nde} {n} war gut.|{title} and {title} were {done} before {noun} {n}.|{title} of {title} was {done} twice.|The {rare} {rare} {device} and the {rare} {rare} {device} share a cable.|The {rare} {rare} {device} {device} is {adj}.|A {rare} {rare} {device} stands in the {noun}.|Two {rare} {rare} {device}s were {done}.|Use the {rare} {Device} for it.|The {rare} {methodic} of order {n} is {adj}.|After the {rare} {methodic} was used the {noun} moved.|A {rare}-{rare} {methodic} is {adj}.|the {rare} {device} with {rare} {device}"
             "|Left {Noun} and Right {Noun} were {done} again before {noun} {n}.|During {title} the {noun} was {adj}.|We saw {title} in the {noun}.|The order of {noun}s in {title} is {adj}.|The {title} {noun} differs from {title}.|{Adj} {Noun} is on page {n}.|See {title} for the {noun}.|## {Adj} {Noun}\n\nThe {noun}|# {title}\n|{hi},\n\n{title} is {adj}.|Subject: {title}, {noun} {n}\n\n{hi},|{hi}, {bye}.|The parser printed {small}@{n}0Hz and stopped at @{small}.|Stored at {n} @ {n} per {noun}.|Do not use it for {title} X. Sampling of the {noun} is {adj}.|It is meant for {title} B. Results of the {noun} are {adj}."
             "|Die {nde} im {nde} ist neu.|Der {nde} {rare} enthält {n} {nde}.|Das {nde} wurde {dde}, weil die {nde} fehlt.|Ein {nde} half nicht.|Zwei {nde} waren leer. Im {nde} fehlt es.|Im {nde} {n} war {title} gut.|Am {date} um {n}:05 wurde gezählt.|Bekannte {nde}\n|Neue {nde} sind da. Die {nde} bleibt.|Nach der {nde} war {nde} {n} {small}.|Die {small} {nde} ist {small}.|Es {small} der {nde} von {nde} {n}.|La {nfr} est fermée, le {nfr} aussi.|Le {nfr} de {title} a changé.|La {nfr} {small} le {nfr} {small}.|El {nes} de {title} está {small}.|La {nes} {small} la {nes} {n}.|Las {nes}s se {small} en {title}.|La {nes} de {n} Hz y la {nes} {n}."
-            "|Lane {n} of the {noun} has a stone, walk around.|During drive {n} the court was {adj}.|Check Street noise at lane {n}, then drive {n} miles.|Ein Weg von {n} Metern, der Ring {n} ist frei.|La rue est calme, la place {n} aussi.|Up to {n} percent. Drive {n} was cut.|Size {n} fits the {role}, the others need size {n}.|Version v1.{n}.{n} of the {noun}.|{noun} {n} was {adj} from {noun} {big} to {noun} {big}.|{n}:41 {noun}={n} {noun}={n}|> {big} units, try again|the {small} {noun} of the {small} {noun}|we {small} it to {small} the {noun}|{Noun} {noun} and {Adj} {Noun}|A {role} and a {role} {past} the {noun}.|The {role} {past} a {adj} {noun}.|{rare} is {adj}. {rare} {past} it.|In {rare} the {noun} is {adj}.|{Noun} {code} was {adj} from {n} to {n}.|{Noun} {code} and {noun} {code} {past} it.|Gate {code}|Es war {code} von {nde} bis {nde} {small}.|Von {code} zu {nde} {n} ist es weit.|{nde} {code} war {small}.|Seite {n}: Die {nde} {small} im {nde}.|{date}: Der {nde} {small}.|Notiz {n}: Das {nde} ist da.|Wie auf Seite {n}: Die {nde} bleibt.|L'{nfr} de {code} est {small}.|D'{nfr} en {nfr} {code}.|[{n}:24] L'{nfr} {small}.|{Noun} {code} {past} it. {nde} {code} {small}.|check {title} {date}\n{noun} {code}\t{n}|la máquina {serial} es {small}.|The {thing} {serial} belongs to it.|{Noun} number {serial} {past} the {noun}.|The {noun} takes {n} ms.|It weighs {n} kg.|The {noun} is {n} mm.|The {noun} of {title} ended after {n} minutes.|> {title}: {noun} for {title} at {n} m|{noun}: {adj} {noun} for {title} at {n} km|{nde} {n}: {nde} {dde}."
+            "|Lane {n} of the {noun} has a stone, walk around.|During drive {n} the court was {adj}.|Check Street noise at lane {n}, then drive {n} miles.|Ein Weg von {n} Metern, der Ring {n} ist frei.|La rue est calme, la place {n} aussi.|Up to {n} percent. Drive {n} was cut.|Size {n} fits the {role}, the others need size {n}.|Version v1.{n}.{n} of the {noun}.|{noun} {n} was {adj} from {noun} {big} to {noun} {big}.|{n}:41 {noun}={n} {noun}={n}|> {big} units, try again|the {small} {noun} of the {small} {noun}|we {small} it to {small} the {noun}|{Noun} {noun} and {Adj} {Noun}|A {role} and a {role} {past} the {noun}.|The {role} {past} a {adj} {noun}.|{rare} is {adj}. {rare} {past} it.|In {rare} the {noun} is {adj}.|{Noun} {code} was {adj} from {n} to {n}.|{Noun} {code} and {noun} {code} {past} it.|Gate {code}|{Noun} {code} is {adj} at {n}.|Das war {code} von {nde} an {small}.|Es war {rare} von {nde} an {small}.|La {nfr} de {code} et l'{nfr} de {rare}.|{n} {nfr}. L'{nfr} de {rare} est {small}.|{noun} {n}. {Noun} {code} was {done} until {n}.|[{n}:20] {noun}: {Noun} {code} was {adj}.|Es war {code} von {nde} bis {nde} {small}.|Von {code} zu {nde} {n} ist es weit.|{nde} {code} war {small}.|Seite {n}: Die {nde} {small} im {nde}.|{date}: Der {nde} {small}.|Notiz {n}: Das {nde} ist da.|Wie auf Seite {n}: Die {nde} bleibt.|L'{nfr} de {code} est {small}.|D'{nfr} en {nfr} {code}.|[{n}:24] L'{nfr} {small}.|{Noun} {code} {past} it. {nde} {code} {small}.|check {title} {date}\n{noun} {code}\t{n}|la máquina {serial} es {small}.|The {thing} {serial} belongs to it.|{Noun} number {serial} {past} the {noun}.|The {noun} takes {n} ms.|It weighs {n} kg.|The {noun} is {n} mm.|The {noun} of {title} ended after {n} minutes.|> {title}: {noun} for {title} at {n} m|{noun}: {adj} {noun} for {title} at {n} km|{nde} {n}: {nde} {dde}."
         ).split("|"),
     }
 
