@@ -109,16 +109,29 @@ _EDGES = ".,;:!?()[]{}<>|\"'*“”„«»…=#"
 MAX_UNITS = 5
 
 
+_paths = (WORDS_PATH, MULTI_PATH)
+
+
+def use_vocabularies(words_path: str, multi_path: str) -> None:
+    """Take the vocabularies from other paths, in this process; the weights are fitted to the files that the default ones name."""
+    global _paths
+    if (words_path, multi_path) != _paths:
+        _paths = (words_path, multi_path)
+        for cached in (_vocabulary, _word, _small_rare):
+            cached.cache_clear()
+
+
 @lru_cache(1)
 def _vocabulary() -> tuple[dict[str, int], frozenset[str], frozenset[str]]:
     """Rank of lower-case words, and the words that a multilingual vocabulary has small and capitalised."""
     import base64
 
-    with open(WORDS_PATH, encoding="utf-8") as f:
+    words_path, multi_path = _paths
+    with open(words_path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     rank = {w[:-4]: i for w, i in vocab.items() if w.endswith("</w>") and w[:-4].isalpha()}
     small, title = set(), set()
-    with open(MULTI_PATH, "rb") as f:
+    with open(multi_path, "rb") as f:
         for line in f:
             t = base64.b64decode(line.split()[0]) if line.strip() else b""
             if t[:1] == b" " and len(t) > 2:
@@ -597,14 +610,16 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def find_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabularies: tuple[str, str] = (WORDS_PATH, MULTI_PATH)) -> DataFrame:
     """One row (``doc_id``, start_pos, end_pos, kind) per entity in the whole text of each row.
 
     Null and empty texts give no row, repeated rows give their entities each, and other columns are not read. A
-    map without any shuffle; texts of any length are read whole.
+    map without any shuffle; texts of any length are read whole. ``vocabularies`` are the paths of the word-level and the multilingual
+    vocabulary, which every executor reads.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_vocabularies(*vocabularies)
         for batch in batches:
             rows: list[int] = []
             found: list[tuple[int, int, str]] = []
@@ -626,11 +641,12 @@ def find_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.mapInArrow(run, "doc_id long, start_pos int, end_pos int, kind string").withColumnRenamed("doc_id", doc_id)
 
 
-def redact_texts(df: DataFrame, text: str = "text") -> DataFrame:
+def redact_texts(df: DataFrame, text: str = "text", vocabularies: tuple[str, str] = (WORDS_PATH, MULTI_PATH)) -> DataFrame:
     """``df`` with the entities of ``text`` replaced by [EMAIL], [PHONE], [IDENTITY], [ADDRESS] and [NAME]; null stays null."""
 
     @F.pandas_udf("string")
     def redacted(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        use_vocabularies(*vocabularies)
         for s in it:
             yield s.map(lambda t: redact(t, find(t)) if t else t)
 

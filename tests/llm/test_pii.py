@@ -140,3 +140,19 @@ def test_spark_edge_cases(spark):
     assert find_entities(df.limit(0)).count() == 0
     red = redact_texts(df).collect()
     assert red[0].text is None and red[1].text == "" and red[4].text.endswith("Call [PHONE] now.")
+
+
+def test_vocabularies_by_path(tmp_path):
+    """With empty vocabularies every word is rare; the default ones are back afterwards."""
+    from sigframe.llm import pii
+
+    (tmp_path / "w.json").write_text('{"model": {"vocab": {}}}')
+    (tmp_path / "m.tiktoken").write_text("")
+    text = "the green river and the brakkesund tarkovale"
+    before = find(text)
+    pii.use_vocabularies(str(tmp_path / "w.json"), str(tmp_path / "m.tiktoken"))
+    try:
+        assert pii._common("river") == "rare"
+    finally:
+        pii.use_vocabularies(pii.WORDS_PATH, pii.MULTI_PATH)
+    assert pii._common("river") == "top" and find(text) == before
