@@ -39,7 +39,7 @@ _ONSET = "b br bl c ch cl d dr f fl fr g gl gr h j k kl kn kr l m n p pl pr qu r
 _NUCLEUS = "a e i o u a e i o ae ai au ea ei ie io oo ou ö ü é".split()
 _CODA = ["", "", "", "b", "ch", "ck", "d", "f", "g", "k", "l", "ll", "m", "n", "nd", "nn", "ng", "nk", "p", "r", "rd", "rk", "rl", "rn", "rs", "rt", "s", "ss", "st", "t", "tt", "tz", "x", "z"]
 _PARTICLES = ["von ", "van ", "de ", "del ", "della ", "van der ", "van den ", "de la ", "du ", "al-", "el-", "d'", "O'", "bin ", "zu "]
-ADJECTIVES = "annual blue central clear cold deep early eastern final first green heavy inner late long lower main modern morning new northern outer quick quiet red second silver slow social steady summer third upper urban western white winter young".split()
+ADJECTIVES = "left right annual blue central clear cold deep early eastern final first green heavy inner late long lower main modern morning new northern outer quick quiet red second silver slow social steady summer third upper urban western white winter young".split()
 NOUNS = "account bridge budget building cable cabin calendar camera candle canal card chart city class clock cloud coffee council course data door engine exam field floor forest garden harbour health history house journal kitchen language letter library light market memory music night office paper park picture plan price printer project quality report river road room safety sample school science screen season signal sleep speech sport station story stress survey table test theatre time town traffic valley vision voice water weather window word work".split()
 DEVICES = "amplifier analyser camera cart centrifuge console display drive engine freezer gauge head heater lamp lens monitor meter microscope motor oven printer probe projector pump recorder relay scanner scope sensor server station switch system tablet terminal timer unit valve box".split()
 METHODS = "algorithm analysis coefficient criterion correction distribution equation estimate filter index law matrix method model plot rule scale score series test theorem transform window".split()
@@ -224,28 +224,31 @@ class Maker:
         "bye": ["Regards", "Kind regards", "Yours", "Yours sincerely", "Many thanks", "Cheers", "Love", "See you soon", "Mit freundlichen Grüßen", "Beste Grüße", "Herzlich", "Bien à vous", "Salutations", "Merci", "Saludos", "Atentamente", "Hasta pronto"],
         "hi": ["Dear all", "Hello", "Hi there", "Hallo", "Guten Tag", "Liebes Team", "Bonjour", "Chers amis", "Hola", "Buenos días", "Dear Members", "Liebe Eltern"],
         "tel": ["phone ", "tel. ", "tel: ", "call ", "mobile ", "Phone: ", "Tel. ", "Telefon ", "tél. ", "teléfono ", "fax "],
-        "thing": ["serial number", "part number", "ticket", "order", "invoice", "batch", "sample", "build", "version", "article", "parcel", "item", "record", "row", "model"],
+        "thing": ["serial", "code", "number", "reference", "file", "case", "receipt", "key", "serial number", "part number", "ticket", "order", "invoice", "batch", "sample", "build", "version", "article", "parcel", "item", "record", "row", "model"],
     }
     TEMPLATES = {
         "with": (
-            "The {noun} was {done} by {name}, {label} {identity}.|The {noun} was {done} by {name}.|{Noun}s {done} by {name} on {date}.|{done} by {name} ({role}: {name}), see page {n}.|The {noun} of {name} is in the {noun}.|A {noun} for {name} came on {date}.|We {past} {name} and {name} yesterday."
-            "|I {past} {name} at the {noun} at {n}:05.|They went with {name}; the {noun} was closed.|I gave the {noun} to {name}, who {past} it.|According to {name}, the {noun} is {adj}.|{name} {past} a {adj} {noun} in room {n}.|{name} {past} that the {noun} was {adj}.|{name} and {name} {past} the {noun}."
+            "The {noun} was {done} by {name}.|{Noun}s {done} by {name} since {date}.|{name} ({role}) and {name} ({role}) {past} it.|A {noun} of {name} hangs in the {noun}.|A {noun} for {name} came on {date}.|They {past} {name} and {name} at noon.|I {past} {name} at the {noun} at {n}:05."
+            "|They went with {name}; the {noun} was closed.|I gave the {noun} to {name}, who {past} it.|According to {name}, the {noun} is {adj}.|{name} {past} a {adj} {noun} in room {n}.|{name} {past} that the {noun} was {adj}.|{name} and {name} {past} the {noun}.|Nobody {past} {name} or {name} that day."
             "|It was {done} by {title_en}{name} and a {role}.|{title_en}{name} {past} the {noun}.|The {noun} is {done} by {name}, room {n} by the {role}.|{role}: {name}\n{noun} {n} pieces|{Role}: {name}, {phone}.|{Role}: {name}, {email}, {phone}.|From: {name} <{email}>\nSubject: {title}|To: {name}\nSubject: {title}|cc {name}, {email}"
-            "|The {noun} of {name} was {done} under number {n}.|A {noun} {done} by {name} for the {adj} {noun}.|The form shows the {noun} '{name}' and {label} {identity}.|{Noun} '{noun}': {name}, {address}, {phone}|The column \"{noun}\" reads {name}, {address}.|{bye},\n{name}\n{address}\n{tel}{phone}|{bye},\n{name}\n|{bye}\n{name}\n{tel}{phone}|{bye},\n\n{name}|-- \n{name} | {email} | {phone}|{name}, {address}, {tel}{phone}"
-            "|Laut {name} ist {nde} {n} offen.|{nde} {dde} von {name} am {date}.|Der Brief von {name} liegt im {nde}.|Es wurde von {name} {dde}.|Wir haben mit {name} gesprochen.|{rde}: {name}, {phone}.|{rde}: {name}|Den Kurs hatte {title_de}{name}. Das {nde} war neu.|{title_de}{name} hat {nde} {n} {dde}.|Bitte bei {title_de}{name} melden, Tel. {phone}.|Nach Angabe von {name} war {nde} {n} leer."
-            "|La {nfr} a été {dfr} par {name}.|Selon {name}, la {nfr} était fermée.|Le mot de {name} est dans le {nfr}.|{rfr} : {name}, {email}.|Avec {title_fr}{name} nous avons {dfr} la {nfr}.|{title_fr}{name} a {dfr} le {nfr}.|La {nes} la {did} {name}. El {nes} está cerrado.|El {nes} lo {did} {name}.|Según {name}, la {nes} no funciona.|{res}: {name}, {phone}.|Fue {des} por {name} el {date}.|Con {title_es}{name} hemos {des} la {nes}.|La {nes} de {name} está en la {nes}."
-            "|Call {phone} if the {noun} is {adj}.|If the {noun} fails, {phone} answers at any hour.|Bei Fragen {phone} wählen oder an {email} schreiben.|Au besoin, appeler le {phone} ou écrire à {email}.|Para dudas, llamar al {phone} o escribir a {email}.|tel:{phone} for the {noun}.|Write to {email} or ring {phone} before {n}:30.|The {noun} is booked, {tel}{phone}.|Ask under {phone} or {email}.|{tel}{phone}\n|{email} or {phone}|The {role} has {tel}{phone}, please {noun}.|Erreichbar unter {phone} oder {email}.|Joignable au {phone}.|Marque el {phone}."
-            "|mailto:{email} for the {noun}.|cc {email}; the {noun} is {adj}.|Fragen bitte an {email}. Das {nde} bleibt.|Pour tout {nfr}, écrire à {email}.|Escriba a {email} para la {nes}.|Send the {noun} to {email}, then {done}.|otherwise {email}"
-            "|Please delete {label} {identity} from the {noun}.|The {noun} has {label} {identity} in it.|The {role} ({label} {identity}) wants a copy.|The {noun} for {label} {identity} lacks a date.|In der Datei steht noch {label} {identity}, das geht nicht.|Effacer {label} {identity} de la {nfr}.|Borre {label} {identity} de la {nes} {n}.|{name}, {label} {identity}|{Noun} '{name}' and {label} {identity}|{label} {identity}"
-            "|The {role} lives at {address} and likes the {noun}.|A taxi to {address} was ordered.|Ship the {noun} to {address}, ground floor.|The {noun} went to {address} by accident.|Meet us at {address} around {n}:10.|Sie wohnt nicht weit ({address}) und kommt mit dem Rad.|Das Paket bitte an {address} liefern.|Die {nde} kommt an {address}.|Brief an {address} senden.|Es wurde an {address} {dde}.|Sie zieht nach {address} um.|Der {nde} steht in {address}.|Treffpunkt ist {address}, {n}:30.|Im Feld steht {address}, bitte löschen.|Livrer les cartons au {address}.|Elle habite {address}. La {nfr} est là.|Llevar las cajas a {address}.|El {res} vive en {address}. Nota {n}.|{address}\n|Our office: {address}."
-            "|{name}\n{address}\n{phone}|The {noun} is with {name}; if not, write to {email} today|{noun} {n}: {name} {past} the {noun}.|[{n}:15] {name} {past} the {noun}.|{n}. {name} was {adj}.|Note: {name}, {phone}|One of the two is {name}.|The {noun} went from {name} to {name}.|A {adj} {noun} for {name} and the {role}.|The {noun} is for {name} and {name}, the other is not.|It was {done} for {name} and {done} again.|Das {nde} {small} {name}.|Den {nde} {small} {name}, die {nde} nicht.|Dort {small} {name} die {nde}.|Ask {name} or {name}, both know the {noun}.|The {adj} {noun} of {name} was {done} in {noun} {n}.|The {small} {noun} of {name} was {done}.|{n}. {name} {past} it. We {past} {name} and {name} in the {adj} {noun}.|Al final llamar al {phone} antes de las {n}.|Composer le {phone} après {n} h.||Signed for by {name} at the {noun}."
+            "|The {noun} of {name} costs {n} euros.|A {adj} {noun} of {name} stood there.|A {noun} {done} by {name} for the {adj} {noun}.|A label reads '{name}', {label} {identity}.|Visitors: {name}, {address}, {phone}|The column \"{noun}\" reads {name}, {address}.|{bye},\n{name}\n{address}\n{tel}{phone}|{bye},\n{name}\n|{bye}\n{name}\n{tel}{phone}|{bye},\n\n{name}|-- \n{name} | {email} | {phone}|{name}, {address}, {tel}{phone}"
+            "|Laut {name} ist {nde} {n} offen.|{nde} {dde} von {name} seit {date}.|Der Brief von {name} ist da.|Es wurde von {name} {dde}.|Wir haben mit {name} gesprochen.|{rde}: {name}, {phone}.|{rde}: {name}|Am Tisch sitzt {title_de}{name}. Das {nde} fehlt.|{title_de}{name} hat {nde} {n} {dde}.|Bitte bei {title_de}{name} melden, Tel. {phone}.|Nach Angabe von {name} war {nde} {n} leer."
+            "|La {nfr} a été {dfr} par {name}.|Selon {name}, la {nfr} était fermée.|Le mot de {name} est dans le {nfr}.|{rfr} : {name}, {email}.|Avec {title_fr}{name} nous avons {dfr} la {nfr}.|{title_fr}{name} a {dfr} le {nfr}.|Lo {did} {name} ayer.|Lo {did} {name}, y El {nes} también.|Según {name}, la {nes} no funciona.|{res}: {name}, {phone}.|Fue {des} por {name} el {date}.|Con {title_es}{name} hemos {des} la {nes}.|La {nes} de {name} está en la {nes}."
+            "|Please call {phone} after lunch.|Reception is on {phone}.|Auskunft gibt {phone} oder {email}.|Le secrétariat est au {phone} ou à {email}.|La oficina atiende en el {phone} o en {email}.|Puede llamarnos al {phone} por la tarde.|Faites le {phone}.|tel:{phone} for the {noun}.|Mail {email}, or {phone} in the evening.|The {noun} is booked, {tel}{phone}.|Ask under {phone} or {email}.|{tel}{phone}\n|{email} or {phone}|The {role} has {tel}{phone}, please {noun}.|Erreichbar unter {phone} oder {email}.|Joignable au {phone}.|Marque el {phone}.|{phone} is the number of the {noun}."
+            "|mailto:{email} for the {noun}.|cc: {email}|Post an {email} genügt.|Mes coordonnées : {email}.|Mi correo es {email}.|Send the {noun} to {email}, then {done}.|or mail {email}"
+            "|We need {label} {identity} for the {noun}.|The {noun} has {label} {identity} in it.|The {role} ({label} {identity}) came at {n}.|The {noun} for {label} {identity} is {adj}.|Auf der Karte: {label} {identity}.|Es fehlt {label} {identity} im {nde}.|Indiquez {label} {identity} sur la {nfr}.|Anote {label} {identity} en la {nes} {n}.|{name}, {label} {identity}|{label} {identity}"
+            "|Our {role} moved to {address} in spring.|The {noun} stands at {address}.|Parcels go to {address}, please.|A {noun} was seen near {address}.|Doors open at {address} at {n}:10.|Das Büro ({address}) ist zu.|Unsere Adresse: {address}.|Lieferung an {address}.|Die {nde} kommt an {address}.|Brief an {address} senden.|Es wurde an {address} {dde}.|Sie zieht nach {address} um.|Der {nde} steht in {address}.|Treffpunkt ist {address}, {n}:30.|Rendez-vous au {address}.|Nous sommes {address}. La {nfr} est là.|La tienda está en {address}.|Nos mudamos a {address}.|{address}\n|Our office: {address}."
+            "|{name}\n{address}\n{phone}|Keys are with {name}, mail {email}.|{noun} {n}: {name} {past} the {noun}.|[{n}:15] {name} {past} the {noun}.|{n}. {name} was {adj}.|Note: {name}, {phone}|One of the two is {name}.|Ask {name} or {name}, both know the {noun}.|The {noun} went from {name} to {name}.|A {adj} {noun} for {name} and the {role}.|The {noun} is for {name} and {name}, the other is not.|It was {done} for {name} and {done} again."
+            "|Das {nde} {small} {name}.|Den {nde} {small} {name}, die {nde} nicht.|Dort {small} {name} die {nde}.|Signed for by {name} at the {noun}.|The {small} {noun} of {name} hangs there."
         ).split("|"),
         "without": (
-            "The {noun} with {thing} {serial} is the {adj} one.|{thing} {serial} belongs to the {adj} {noun}.|{thing} {serial} is {done}.|The {thing} {big} lies behind the last {noun}.|Der Drucker mit der Nummer {serial} ist neu.|Die Bestellung {serial} ist {dde}.|La machine numéro {serial} est {dfr}.|La máquina {serial} es nueva.|Artikel {serial} fehlt.|It has {big} rows, the other one {big}.|In {n} of {big} files the {noun} is empty."
-            "|The log says {date} but the {noun} was late.|{date}, {title}, {noun}\n{nde} {n} war gut.|{title} and {title} were {done} before {noun} {n}.|{title} of {title} was {done} twice.|The {rare} {rare} {device} and the {rare} {rare} {device} share a cable.|The {rare} {rare} {device} {device} is {adj}.|A {rare} {rare} {device} stands in the {noun}.|Two {rare} {rare} {device}s were {done}.|Use the {rare} {Device} for it.|The {rare} {methodic} of order {n} is {adj}.|After the {rare} {methodic} was used the {noun} moved.|A {rare}-{rare} {methodic} is {adj}.|the {rare} {device} with {rare} {device}"
-            "|Left {Noun} and Right {Noun} were {done} again before {noun} {n}.|During {title} the {noun} was {adj}.|We saw {title} in the {noun}.|The order of {noun}s in {title} is {adj}.|The {title} {noun} differs from {title}.|{Adj} {Noun} is on page {n}.|See {title} for the {noun}.|## {Adj} {Noun}\n\nThe {noun}|# {title}\n|{hi},\n\n{title} is {adj}.|Subject: {title}, {noun} {n}\n\n{hi},|{hi}, {bye}.|The parser printed {small}@{n}0Hz and stopped at @{small}.|Stored at {n} @ {n} per {noun}.|Do not use it for {title} X. Sampling of the {noun} is {adj}.|It is meant for {title} B. Results of the {noun} are {adj}."
-            "|Die {nde} im {nde} ist neu.|Der {nde} {rare} enthält {n} {nde}.|Das {nde} wurde {dde}, weil die {nde} fehlt.|Ein {nde} half nicht.|Zwei {nde} waren leer. Im {nde} fehlt es.|Im {nde} {n} war {title} gut.|Am {date} um {n}:05 wurde gezählt.|Bekannte {nde}\n|Neue {nde} sind da. Die {nde} bleibt.|Nach der {nde} war {nde} {n} {small}.|Die {small} {nde} ist {small}.|Es {small} der {nde} von {nde} {n}.|La {nfr} est fermée, le {nfr} aussi.|Le {nfr} de {title} a changé.|La {nfr} {small} le {nfr} {small}.|El {nes} de {title} está {small}.|La {nes} {small} la {nes} {n}.|Las {nes}s se {small} en {title}.|La {nes} de {n} Hz y la {nes} {n}."
-            "|Lane {n} of the {noun} has a stone, walk around.|During drive {n} the court was {adj}.|Check Street noise at lane {n}, then drive {n} miles.|Ein Weg von {n} Metern, der Ring {n} ist frei.|La rue est calme, la place {n} aussi.|Up to {n} percent. Drive {n} was cut.|Size {n} fits the {role}, the others need size {n}.|Version v1.{n}.{n} of the {noun}.|{noun} {n} was {adj} from {noun} {big} to {noun} {big}.|{n}:41 {noun}={n} {noun}={n}|> {big} units, try again|the {small} {noun} of the {small} {noun}|we {small} it to {small} the {noun}|{Noun} {noun} and {Adj} {Noun}|A {role} and a {role} {past} the {noun}.|The {role} {past} a {adj} {noun}.|{rare} is {adj}. {rare} {past} it.|In {rare} the {noun} is {adj}.|{Noun} {code} was {adj} from {n} to {n}.|{Noun} {code} and {noun} {code} {past} it.|Gate {code}|{Noun} {code} is {adj} at {n}.|Das war {code} von {nde} an {small}.|Es war {rare} von {nde} an {small}.|La {nfr} de {code} et l'{nfr} de {rare}.|{n} {nfr}. L'{nfr} de {rare} est {small}.|{noun} {n}. {Noun} {code} was {done} until {n}.|[{n}:20] {noun}: {Noun} {code} was {adj}.|Es war {code} von {nde} bis {nde} {small}.|Von {code} zu {nde} {n} ist es weit.|{nde} {code} war {small}.|Seite {n}: Die {nde} {small} im {nde}.|{date}: Der {nde} {small}.|Notiz {n}: Das {nde} ist da.|Wie auf Seite {n}: Die {nde} bleibt.|L'{nfr} de {code} est {small}.|D'{nfr} en {nfr} {code}.|[{n}:24] L'{nfr} {small}.|{Noun} {code} {past} it. {nde} {code} {small}.|check {title} {date}\n{noun} {code}\t{n}|la máquina {serial} es {small}.|The {thing} {serial} belongs to it.|{Noun} number {serial} {past} the {noun}.|The {noun} takes {n} ms.|It weighs {n} kg.|The {noun} is {n} mm.|The {noun} of {title} ended after {n} minutes.|> {title}: {noun} for {title} at {n} m|{noun}: {adj} {noun} for {title} at {n} km|{nde} {n}: {nde} {dde}."
+            "The {noun} carries {thing} {serial}.|{thing} {serial} belongs to the {adj} {noun}.|We {past} {thing} {serial}.|Only {thing} {big} is left.|{Noun} {serial} is {adj}.|{thing} {serial} and {thing} {serial} are {adj}.|A {noun} of {thing} {serial}.|{nde} {serial} {small}.|Der Drucker mit der Nummer {serial} ist neu.|Die Bestellung {serial} ist {dde}.|La machine numéro {serial} est {dfr}.|La máquina {serial} es nueva.|Artikel {serial} fehlt.|There are {big} rows here.|We counted {big} visitors on {n} days."
+            "|The {noun} dates from {date}.|{date} {title}\n{nde} {n} ist da.|{title} opens with {title}.|In {title} and {title} the {noun} is {adj}.|We lent the {rare} {rare} {device} to the {noun}.|Each {rare} {rare} {device} needs a {noun}.|The {rare} {rare} {device} {device} is {adj}.|A {rare} {rare} {device} stands in the {noun}.|Two {rare} {rare} {device}s were {done}.|Use the {rare} {Device} for it.|The {rare} {methodic} gives {n} percent.|Both rely on the {rare} {methodic}.|A {rare}-{rare} {methodic} is {adj}.|the {rare} {device} with {rare} {device}"
+            "|{Adj} {Noun} and {Adj} {Noun} are two books.|{Adj} {Noun}, {Adj} {Noun} or {Adj} {Noun}.|We saw {title} in the {noun}.|The {title} {noun} is not {title}.|{Adj} {Noun} is on page {n}.|See {title} for the {noun}.|Copies of {title} are {adj}.|A review of {title} from {n} {noun}s.|## {Adj} {Noun}\n\nThe {noun}|# {title}\n|{hi},\n\n{title} is {adj}.|Subject: {title}, {noun} {n}\n\n{hi},|{hi}, {bye}.|A file called {small}@{n} and a tag @{small}.|{n} apples @ {n} cents.|That is chapter X. Rules of the {noun} follow.|See appendix B. Notes on the {noun} follow."
+            "|Die {nde} im {nde} ist neu.|Der {nde} {rare} hat {n} {nde}.|Das {nde} wurde {dde}, denn die {nde} fehlt.|Ein {nde} reicht nicht.|Zwei {nde} waren leer. Im {nde} fehlt es.|Im {nde} {n} war {title} gut.|Am {date} um {n}:05 wurde gezählt.|Neue {nde} sind da. Die {nde} bleibt.|Nach der {nde} war {nde} {n} {small}.|Die {small} {nde} ist {small}.|Es {small} der {nde} von {nde} {n}.|Von {nde} bis {nde} ist {code} frei.|{code} von {nde} ist neu.|La {nfr} est fermée, le {nfr} aussi.|Le {nfr} de {title} est là.|La {nfr} {small} le {nfr} {small}.|El {nes} de {title} está {small}.|La {nes} {small} la {nes} {n}.|La {nes} de {n} kilos y la {nes} {n}."
+            "|Swim in lane {n} today.|On drive {n} the {noun} fell out.|Court {n} is {adj}, place {n} is not.|Take road {n} for {n} miles.|Ein Weg von {n} Metern, der Ring {n} ist frei.|La rue est calme, la place {n} aussi.|Up to {n} percent. Way {n} was cut.|Shoes of size {n} are {adj}.|Version v1.{n}.{n} of the {noun}.|Between {big} and {big} the {noun} is {adj}.|{noun}={n}; {noun}={n}|more than {big} units|the {small} {noun} of the {small} {noun}|we {small} it to {small} the {noun}|{Noun} {noun} and {Adj} {Noun}|A {role} and a {role} {past} the {noun}.|The {role} {past} a {adj} {noun}.|{rare} is {adj}. {rare} {past} it."
+            "|In {rare} the {noun} is {adj}.|{Noun} {code} opens at {n}.|{Noun} {code} and {noun} {code} {past} it.|Gate {code}|{Noun} {code} is {adj} at {n}.|{noun} {n}. {Noun} {code} is {done}.|[{n}:20] {noun}: {Noun} {code} {past} it.|Von {code} zu {nde} {n} ist es weit.|{nde} {code} war {small}.|Seite {n}: Die {nde} {small} im {nde}.|{date}: Der {nde} {small}.|Notiz {n}: Das {nde} ist da.|Siehe Seite {n}: Die {nde} bleibt.|L'{nfr} de {code} est {small}.|La {nfr} de {code} et l'{nfr} de {rare}.|{n} {nfr}. L'{nfr} de {rare} est {small}.|D'{nfr} en {nfr} {code}.|[{n}:24] L'{nfr} {small}.|la máquina {serial} es {small}.|{Noun} number {serial} {past} the {noun}."
+            "|The {noun} takes {n} ms.|It weighs {n} kg.|The {noun} is {n} mm.|The {noun} of {title} lasts {n} minutes.|> {title}: {noun} for {title} at {n} m|{noun}: {adj} {noun} for {title} at {n} km|{nde} {n}: {nde} {dde}."
         ).split("|"),
     }
 
