@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,6 +208,86 @@ def welch(df: DataFrame, samples: str, sfreq: float | str, nperseg: int = 1024,
     return mapped_rows(df, samples, kernel, sfreq=sfreq)
 
 
+#: Samples of recordings that a kernel is given at a time; a longer recording comes alone.
+_TOGETHER = 1 << 20
+
+
+def _starts(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Positions of the rows that differ in a key from the row before, the first one included; nulls are alike, and so are NaNs."""
+    new = np.ones(rows.num_rows, bool)
+    if rows.num_rows > 1:
+        new[1:] = False
+        for k in keys:
+            c = rows[k].combine_chunks()
+            a, b = c[:-1], c[1:]
+            if pa.types.is_nested(c.type):
+                held = c.to_pylist()
+                new[1:] |= np.array([x != y for x, y in zip(held, held[1:], strict=False)])
+                continue
+            differ = pc.fill_null(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+            if pa.types.is_floating(c.type):
+                differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _by_recording(df: DataFrame, keys: list[str], columns: str, kernel) -> DataFrame:
+    """(keys, columns): what ``kernel(channels, x)`` gives for the recordings of rows (keys, ch, samples), many at a time.
+
+    ``x`` holds recordings with the same channels and length as (recordings, channels, samples). The kernel yields (positions of recordings,
+    their number of rows each, values of the columns in order); samples come as a matrix with a row each. One shuffle; rows of a
+    partition are read in order of their recordings, so that a task holds an Arrow batch and the recording at its end.
+    """
+    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + columns
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [{"int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[c.split()[1]] for c in columns.split(", ")]
+
+    def arrow(v: np.ndarray, kind: pa.DataType) -> pa.Array:
+        if not pa.types.is_list(kind):
+            return pa.array(v, kind)
+        n, width = v.shape
+        return pa.ListArray.from_arrays(np.arange(0, (n + 1) * width, width, dtype=np.int32) if width else np.zeros(n + 1, np.int32), np.ascontiguousarray(v).reshape(-1))
+
+    def whole(rows: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Results of the recordings that begin at ``start`` and fill ``rows``."""
+        size = np.diff(np.append(start, rows.num_rows))
+        held = rows["samples"].combine_chunks()
+        length = pc.fill_null(pc.list_value_length(held), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if (length != np.repeat(length[start], size)).any() or (length < 0).any():
+            raise ValueError("channels of a recording differ in their length")
+        flat = held.flatten().to_numpy(zero_copy_only=False)
+        begin = np.concatenate([[0], np.cumsum(length)])
+        ch = rows["ch"].to_numpy()
+        groups: dict[tuple, list[int]] = {}
+        for i, (a, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
+            groups.setdefault((length[a], ch[a : a + n].tobytes()), []).append(i)
+        for (n, _), which in groups.items():
+            first, c = start[which], int(size[which[0]])
+            some = max(1, _TOGETHER // max(1, int(n) * c))
+            for i in range(0, len(first), some):
+                at = first[i : i + some]
+                x = flat[begin[at][:, None] + np.arange(c * n)].reshape(len(at), c, n).astype(float, copy=False)
+                for found, each, values in kernel(ch[at[0] : at[0] + c].tolist(), x):
+                    row = pa.array(np.repeat(at[found], each))
+                    yield pa.RecordBatch.from_arrays([*(rows[k].combine_chunks().take(row) for k in keys), *map(arrow, values, kinds)], [*keys, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if b.num_rows == 0 or (len(held) > 1 and len(_starts(pa.Table.from_batches([held[0].slice(0, 1), b.slice(0, 1), b.slice(b.num_rows - 1)]), keys)) == 1):
+                continue  # the recording goes on
+            rows = pa.Table.from_batches(held)
+            start = _starts(rows, keys)
+            yield from whole(rows.slice(0, start[-1]), start[:-1]) if len(start) > 1 else ()
+            held = rows.slice(start[-1]).to_batches()
+        if sum(b.num_rows for b in held):
+            rows = pa.Table.from_batches(held)
+            yield from whole(rows, _starts(rows, keys))
+
+    return df.select(*keys, "ch", "samples").repartition(*keys).sortWithinPartitions(*keys, "ch").mapInArrow(run, schema)
+
+
 def ica(df: DataFrame, keys: list[str], n_components: int | None = None, seed: int = 0) -> DataFrame:
     """Independent components of each recording of rows (keys, ch, samples): (keys, component, samples).
 
@@ -251,37 +333,38 @@ def dominant_frequency(df: DataFrame, samples: str, sfreq: str, out: str = "freq
     return mapped_rows(df.withColumn(out, F.col(samples).cast("array<double>")), out, kernel, sfreq=sfreq).withColumn(out, F.get(out, F.lit(0)))
 
 
-def _artefacts(x: np.ndarray, s: np.ndarray, like: np.ndarray, limit: float, kurtosis: float) -> np.ndarray:
-    """Components that go with one of the channels ``like``, or whose excess kurtosis is beyond ``kurtosis``."""
+def _artefacts(x: np.ndarray, s: np.ndarray, like: list[int], limit: float, kurtosis: float) -> np.ndarray:
+    """Components of each recording that go with one of the channels at ``like``, or whose excess kurtosis is beyond ``kurtosis``."""
     bad = dsp.excess_kurtosis(s) > kurtosis
     for c in like:
-        d = x[c] - x[c].mean()
-        if d.any():
-            bad |= np.abs(s @ d) / np.maximum(np.linalg.norm(s, axis=1) * np.linalg.norm(d), 1e-300) > limit
+        d = (x[:, c] - x[:, c].mean(axis=1, keepdims=True))[:, :, None]
+        r = np.abs(s @ d)[:, :, 0] / np.maximum(np.linalg.norm(s, axis=2) * np.linalg.norm(d, axis=1), 1e-300)
+        bad |= (r > limit) & d.any(axis=1)
     return bad
 
 
-def ica_apply(df: DataFrame, keys: list[str], *, like: list[int] | None = None, limit: float = 0.7, kurtosis: float = float("inf"), n_components: int | None = None, seed: int = 0) -> DataFrame:
+def ica_apply(df: DataFrame, keys: list[str], *, like: list[int] | None = None, limit: float = 0.7, kurtosis: float = float("inf"), n_components: int | None = None, seed: int = 0, deviation: bool = False) -> DataFrame:
     """Signals (keys, ch, samples, removed) of each recording without its artefact components.
 
     Components that correlate by more than ``limit`` with one of the channels ``like`` (eyes, heart, muscles), or whose excess kurtosis is above
     ``kurtosis``, are taken out of every other channel; ``removed`` is their number. A recording has to fit in one task, as for ``ica``.
+    With ``deviation``, the column std, the standard deviation of the cleaned signal, stands in the place of samples.
     """
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", ch int, samples array<double>, removed int"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch")
-        ch = pdf["ch"].tolist()
-        x = np.array([np.asarray(v, float) for v in pdf["samples"]])
-        s = dsp.fast_ica(x, n_components, seed)
+    def kernel(ch: list, x: np.ndarray) -> Iterator[tuple]:
         marks = [ch.index(c) for c in like or [] if c in ch]
-        bad = _artefacts(x, s, np.array(marks, int), limit, kurtosis) if len(s) else np.zeros(0, bool)
-        clean = x - dsp.mixing(x, s[bad]) @ s[bad] if bad.any() else x
-        for c in marks:
-            clean[c] = x[c]
-        return pd.DataFrame({**{k: [v] * len(ch) for k, v in zip(keys, key, strict=True)}, "ch": ch, "samples": list(clean), "removed": int(bad.sum())})
+        for at, s in dsp.fast_ica_many(x, n_components, seed):
+            y = x[at]
+            bad = _artefacts(y, s, marks, limit, kurtosis)
+            some = np.flatnonzero(bad.any(axis=1))
+            out = s[some] * bad[some, :, None]
+            clean = y.copy()
+            clean[some] -= dsp.mixing(y[some], out) @ out
+            clean[:, marks] = y[:, marks]
+            left = clean.std(axis=2).ravel() if deviation else clean.reshape(-1, x.shape[2])
+            yield at, len(ch), (np.tile(ch, len(at)), left, np.repeat(bad.sum(axis=1), len(ch)))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _by_recording(df, keys, f"ch int, {'std double' if deviation else 'samples array<double>'}, removed int", kernel)
 
 
 def ica_quality(df: DataFrame, keys: list[str], types: dict[int, str], *, limit: float = 0.7, seed: int = 0) -> DataFrame:
@@ -289,19 +372,15 @@ def ica_quality(df: DataFrame, keys: list[str], types: dict[int, str], *, limit:
 
     ``types`` gives the type of a channel by its number. Recordings of constant channels have no components and a null score.
     """
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", score double, n_eog int, n_emg int, n_ecg int"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ch")
-        x = np.array([np.asarray(v, float) for v in pdf["samples"]])
-        s = dsp.fast_ica(x, None, seed)
-        kinds = [types.get(c) for c in pdf["ch"].tolist()]
-        found = {t: _artefacts(x, s, np.array([i for i, k in enumerate(kinds) if k == t], int), limit, float("inf")) for t in ("eog", "emg", "ecg")}
-        any_bad = np.any(list(found.values()), axis=0) if len(s) else np.zeros(0, bool)
-        score = 1 - any_bad.mean() if len(s) else None
-        return pd.DataFrame([(*key, score, *(int(f.sum()) for f in found.values()))], columns=[*keys, "score", "n_eog", "n_emg", "n_ecg"])
+    def kernel(ch: list, x: np.ndarray) -> Iterator[tuple]:
+        kinds = [types.get(c) for c in ch]
+        for at, s in dsp.fast_ica_many(x, None, seed):
+            found = [_artefacts(x[at], s, [i for i, k in enumerate(kinds) if k == t], limit, float("inf")) for t in ("eog", "emg", "ecg")]
+            score = 1 - np.any(found, axis=0).mean(axis=1) if s.shape[1] else [None] * len(at)
+            yield at, 1, (score, *(f.sum(axis=1) for f in found))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _by_recording(df, keys, "score double, n_eog int, n_emg int, n_ecg int", kernel)
 
 
 def recording_correlation(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -358,8 +358,8 @@ def recording_corr(spark: SparkSession, root: str) -> DataFrame:
 @register()
 def ica_cleaned(spark: SparkSession, root: str) -> DataFrame:
     """Each epoch without its components of excess kurtosis above 5, with the deviations that are left."""
-    out = signals.ica_apply(_blocks(spark, root).drop("source_id"), ["epoch_id"], kurtosis=5.0)
-    return out.select("epoch_id", "ch", "removed", signals.array_std(F.col("samples")).alias("std"))
+    out = signals.ica_apply(_blocks(spark, root).drop("source_id"), ["epoch_id"], kurtosis=5.0, deviation=True)
+    return out.select("epoch_id", "ch", "removed", "std")
 
 
 @register()

@@ -343,6 +343,44 @@ def test_ica_takes_artefacts_out(spark):
     assert signals.ica_quality(flat, ["rec"], {}).first().score is None and signals.ica_apply(flat, ["rec"], like=[1]).count() == 2
 
 
+def test_ica_of_many_recordings_is_that_of_each(spark):
+    """Side by side, every recording gets the bits it gets alone, whatever its rank, keys and place among the batches."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 4, 64)) ** 3
+    x[3, 2], x[4, 1:], x[5] = x[3, 0], x[4, :1], 0
+    keys = [(None if i == 7 else f"r{i % 45}", float("nan") if i == 8 else float(i // 45)) for i in range(90)]
+    rows = [(*k, c, v[c].tolist()) for k, v in zip(keys, x, strict=True) for c in range(4)] + [("long", 0.0, c, rng.normal(size=3000).tolist()) for c in range(2)]
+    df = spark.createDataFrame(rows, "a string, b double, ch int, samples array<double>")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = lambda r: (r.a, "nan" if r.b != r.b else r.b)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got, clean, dev = ({(*name(r), r[2]): r for r in o.collect()} for o in (signals.ica(df, ["a", "b"]), *(signals.ica_apply(df, ["a", "b"], kurtosis=5.0, deviation=d) for d in (False, True))))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    many = {int(i): v for at, s in dsp.fast_ica_many(x) for i, v in zip(at, s, strict=True)}
+    for i, (a, b) in enumerate(keys):
+        alone, k = dsp.fast_ica(x[i]), (a, "nan" if b != b else b)
+        assert np.array_equal(many[i], alone) and len(alone) == {3: 3, 4: 1, 5: 0}.get(i, 4)
+        assert [got[*k, c].samples for c in range(len(alone))] == alone.tolist() and (*k, len(alone)) not in got
+        assert alone @ alone.T / 64 == pytest.approx(np.eye(len(alone)), abs=1e-8)
+        removed = int((dsp.excess_kurtosis(alone) > 5).sum()) if len(alone) else 0
+        assert [clean[*k, c].removed for c in range(4)] == [removed] * 4 and removed <= len(alone)
+        assert [dev[*k, c].std for c in range(4)] == pytest.approx([float(np.std(clean[*k, c].samples)) for c in range(4)])
+    assert len(got["long", 0.0, 1].samples) == 3000 and any(r.removed for r in clean.values())
+
+
+def test_orthogonal_factors_and_tanh():
+    rng = np.random.default_rng(6)
+    for k in (1, 2, 4, 7, 9):
+        w = rng.normal(size=(300, k, k))
+        w[0], w[1] = np.eye(k) * 1e-200, w[1] * np.logspace(0, -9, k)[:, None]
+        u, _, v = np.linalg.svd(w)
+        assert dsp._orthogonal(w)[2:] == pytest.approx((u @ v)[2:], abs=1e-10) and dsp._orthogonal(w)[:2] == pytest.approx((u @ v)[:2], abs=1e-5)
+    x = np.concatenate([rng.normal(size=70000) * 4, [0.0, 1e9, -1e9, 19.999, -20.0]])
+    assert dsp._tanh(x * dsp._GRID) == pytest.approx(np.tanh(x), abs=1e-15, rel=0)
+
+
 def test_rank_score_of_a_hot_group(spark):
     rng = np.random.default_rng(4)
     rows = [("hot" if i % 3 else None if i % 7 == 0 else "b", float(rng.integers(0, 60)) if i % 11 else None, i) for i in range(900)]
