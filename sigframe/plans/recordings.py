@@ -364,8 +364,8 @@ def ica_cleaned(spark: SparkSession, root: str) -> DataFrame:
 
 @register()
 def ica_components(spark: SparkSession, root: str) -> DataFrame:
-    """Independent components of each epoch."""
-    return signals.ica(_blocks(spark, root).drop("source_id"), ["epoch_id"]).select("epoch_id", "component", F.size("samples").alias("n"))
+    """Independent components of each epoch, all of them with all their samples."""
+    return signals.ica(_blocks(spark, root).drop("source_id"), ["epoch_id"]).select("epoch_id", "component", F.size("samples").alias("n"), "samples")
 
 
 # ---------------------------------------------------------------------------- quality

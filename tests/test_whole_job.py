@@ -79,6 +79,40 @@ def test_components_of_other_channels_outlast_an_extreme_one():
     assert len(dsp.fast_ica(x)) == 4
 
 
+def _unrest(s):
+    """1 - cos of the rotation that would make the contrast of components stationary, to first order."""
+    g = np.tanh(s)
+    m = g @ s.T / s.shape[1]
+    own = np.diag(m) - (1 - (g * g).mean(axis=1))
+    m = np.where(own < 0, -1, 1)[:, None] * m
+    return (((m - m.T) / (abs(own)[:, None] + abs(own))) ** 2).sum(axis=1).max() / 2
+
+
+def test_components_of_every_recording_converge():
+    """Short recordings of noise, of which plain updates leave two in five going round in circles."""
+    x = np.random.default_rng(7).normal(size=(400, 4, 64))
+    ((at, s),) = dsp.fast_ica_many(x)
+    assert at.tolist() == list(range(400)) and max(map(_unrest, s)) < 2e-4
+    moved = dsp.fast_ica_many(x * (1 + 1e-15 * np.sign(x[::-1])))[0][1]  # nor does the outcome hang on the last bits
+    assert np.mean(np.abs(moved - s).max(axis=(1, 2)) > 1e-3) < 0.05
+
+
+def test_components_are_given_with_their_samples(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    data = {i: np.float32(rng.normal(size=(4, 64)) * 10).astype(float) for i in range(30)}
+    data[4][2], data[5][:], data[6][1, 3] = data[4][0], 0, 3e30
+    _epochs(spark, str(tmp_path), [(i, 0, x.tolist()) for i, x in data.items()])
+    got = {}
+    for r in QUERIES["ica_components"](spark, str(tmp_path)).orderBy("epoch_id", "component").collect():
+        assert r.n == len(r.samples) == 64 and r.component == len(got.setdefault(r.epoch_id, []))
+        got[r.epoch_id].append(r.samples)
+    assert {i: len(s) for i, s in got.items()} == {i: 3 if i == 4 else 4 for i in data if i != 5}
+    for i, s in got.items():
+        s, x = np.array(s), (data[i] - data[i].mean(axis=1, keepdims=True)) / data[i].std(axis=1, keepdims=True)
+        assert s @ s.T / 64 == pytest.approx(np.eye(len(s)), abs=1e-8) and _unrest(s) < 2e-4
+        assert dsp.mixing(x, s) @ s == pytest.approx(x, abs=1e-8)  # the channels are wholly made of them
+
+
 @pytest.fixture(scope="module")
 def two_rates(spark, tmp_path_factory):
     """The same 10 Hz wave recorded at 128 and at 256 Hz, and a source without rate."""
